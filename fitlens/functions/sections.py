@@ -10,27 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitlens.functions.text import BLANK, SPACE, _as_column, contains_any, strip
+from fitlens.functions.text import BLANK, SPACE, _as_column, contains_any, let, strip
 from fitlens.lexicon import BOILERPLATE_PATTERNS, CONTEXT_CHARS, DEFAULT_LEXICON, Lexicon
 
 MARKERS = r"(?:[•\-*]|\p{Nd}+[.)]|[a-z][.)])"
 WIDE_MARKERS = r"(?:[•\-*◦○▪▫]|\p{Nd}+[.)]|[a-zA-Z][.)])"
 
 
-def section_tag(line: Column, lexicon: Lexicon = DEFAULT_LEXICON, mode: str = "phrase") -> Column:
-    """``q`` or ``r`` for a line that opens a section, otherwise an empty string.
+def section_tag(low: Column, lexicon: Lexicon = DEFAULT_LEXICON, mode: str = "phrase") -> Column:
+    """``q`` or ``r`` for a lower-cased line that opens a section, otherwise an empty string.
 
     Qualifications are tried first. ``mode`` is ``phrase`` (substrings) or ``regex``."""
-    low = strip(F.lower(line))
     if mode == "phrase":
+        phrases = (*lexicon.qualification_headers, *lexicon.responsibility_headers)
         is_q = contains_any(low, lexicon.qualification_headers)
         is_r = contains_any(low, lexicon.responsibility_headers)
+        long_enough = all(len(p.strip()) >= 3 for p in phrases)
     elif mode == "regex":
         is_q = low.rlike("|".join(lexicon.qualification_patterns))
         is_r = low.rlike("|".join(lexicon.responsibility_patterns))
+        long_enough = False
     else:
         raise ValueError(f"unknown section mode {mode!r}")
-    return F.when(F.length(low) < 3, "").when(is_q, "q").when(is_r, "r").otherwise("")
+    tag = F.when(is_q, "q").when(is_r, "r").otherwise("")
+    # A line shorter than three characters never opens a section; a phrase of three or
+    # more already implies that.
+    return tag if long_enough else F.when(F.length(strip(low)) < 3, "").otherwise(tag)
 
 
 def _head(lines: Column, n: Column) -> Column:
@@ -58,7 +63,8 @@ def with_sections(df: DataFrame, text: str, lexicon: Lexicon = DEFAULT_LEXICON,
     if summary_mode not in ("sequential", "complement"):
         raise ValueError(f"unknown summary mode {summary_mode!r}")
     df = df.withColumn("_lines", F.split(F.col(text), "\n", -1))
-    df = df.withColumn("_tags", F.transform("_lines", lambda line: section_tag(line, lexicon, mode)))
+    df = df.withColumn("_tags", F.transform(F.split(F.lower(F.col(text)), "\n", -1),
+                                            lambda line: section_tag(line, lexicon, mode)))
     df = df.withColumn("_q", F.array_position("_tags", "q").cast("int"))
     df = df.withColumn("_r", F.array_position("_tags", "r").cast("int"))
     lines, q, r = F.col("_lines"), F.col("_q"), F.col("_r")
@@ -90,14 +96,12 @@ def bullets(text: Column | str, markers: str = MARKERS) -> Column:
         F.regexp_replace(F.regexp_replace(p, rf"(?d)\A{start[1:]}", ""), rf"[{BLANK}]*+\n[{SPACE}]*+", " ")))
 
 
-def qualification_class(text: Column, context: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    """``bonus`` when the item or its section context holds a bonus word, else ``required``."""
-    both = F.lower(F.concat(text, F.lit(" "), context))
-    return F.when(contains_any(both, lexicon.bonus_words), "bonus").otherwise("required")
+def _qualification_class(low: Column, lexicon: Lexicon) -> Column:
+    return F.when(contains_any(low, lexicon.bonus_words), "bonus").otherwise("required")
 
 
-def skill_type(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    return F.when(contains_any(F.lower(text), lexicon.soft_skills), "Soft").otherwise("Hard")
+def _skill_type(low: Column, lexicon: Lexicon) -> Column:
+    return F.when(contains_any(low, lexicon.soft_skills), "Soft").otherwise("Hard")
 
 
 def _first_class(low: Column, table, default: str) -> Column:
@@ -109,26 +113,41 @@ def _first_class(low: Column, table, default: str) -> Column:
     return chain.otherwise(default)
 
 
-def ownership_level(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    return _first_class(F.lower(text), lexicon.ownership, "lead")
+def qualification_class(text: Column | str, context: Column | str,
+                        lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    """``bonus`` when the item or its section context holds a bonus word, else ``required``."""
+    both = F.lower(F.concat(_as_column(text), F.lit(" "), _as_column(context)))
+    return let(both, lambda low: _qualification_class(low, lexicon))
+
+
+def skill_type(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    return let(F.lower(_as_column(text)), lambda low: _skill_type(low, lexicon))
 
 
-def frequency(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    return _first_class(F.lower(text), lexicon.frequency, "regularly")
+def ownership_level(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    return let(F.lower(_as_column(text)), lambda low: _first_class(low, lexicon.ownership, "lead"))
 
 
-def activity_type(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    return _first_class(F.lower(text), lexicon.activity_domains, "General")
+def frequency(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    return let(F.lower(_as_column(text)), lambda low: _first_class(low, lexicon.frequency, "regularly"))
+
+
+def activity_type(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    return let(F.lower(_as_column(text)),
+               lambda low: _first_class(low, lexicon.activity_domains, "General"))
 
 
 def classified_qualifications(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON,
                               markers: str = MARKERS) -> Column:
     """Array of ``{text, skill_type, kind}`` for one qualifications section."""
     text = _as_column(text)
-    context = F.substring(text, 1, CONTEXT_CHARS)
-    return F.transform(bullets(text, markers), lambda b: F.struct(
-        b.alias("text"), skill_type(b, lexicon).alias("skill_type"),
-        qualification_class(b, context, lexicon).alias("kind")))
+    context = F.lower(F.substring(text, 1, CONTEXT_CHARS))
+    return let(context, lambda ctx: F.transform(
+        F.transform(bullets(text, markers), lambda b: F.struct(b.alias("raw"), F.lower(b).alias("low"))),
+        lambda p: F.struct(
+            p["raw"].alias("text"), _skill_type(p["low"], lexicon).alias("skill_type"),
+            let(F.concat(p["low"], F.lit(" "), ctx),
+                lambda low: _qualification_class(low, lexicon)).alias("kind"))))
 
 
 def qualifications_of(items: Column | str, kind: str) -> Column:
@@ -179,7 +198,8 @@ def subsection_classes(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON,
     spans = F.split(text, rf"(?mdi)(?=^{heading})", -1)
     classed = F.transform(spans, lambda s: F.struct(
         F.when(s.rlike(rf"(?mdi)\A{heading}")
-               & contains_any(F.lower(F.substring_index(s, "\n", 1)), (*lexicon.bonus_words, "desired")),
+               & let(F.lower(F.substring_index(s, "\n", 1)),
+                     lambda low: contains_any(low, (*lexicon.bonus_words, "desired"))),
                "bonus").otherwise("required").alias("kind"),
         bullets(F.regexp_replace(s, rf"(?mdi)\A{heading}", ""), markers).alias("items")))
     return F.flatten(F.transform(classed, lambda c: F.transform(
@@ -217,8 +237,11 @@ RESPONSIBILITY_SIGNALS = (
 
 def confidence(text: Column | str, signals=QUALIFICATION_SIGNALS, base: float = 0.3) -> Column:
     """Advisory score in 0..1: a base plus the weights of the signals present."""
-    low = F.lower(_as_column(text))
-    total = F.lit(base)
-    for pattern, weight in signals:
-        total = total + F.when(low.rlike(pattern), F.lit(weight)).otherwise(F.lit(0.0))
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6)
+
+    def score(low: Column) -> Column:
+        total = F.lit(base)
+        for pattern, weight in signals:
+            total = total + F.when(low.rlike(pattern), F.lit(weight)).otherwise(F.lit(0.0))
+        return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6)
+
+    return let(F.lower(_as_column(text)), score)

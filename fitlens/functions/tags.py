@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fitlens.functions.text import _as_column, contains_any
+from fitlens.functions.text import _as_column, contains_any, let
 from fitlens.lexicon import DEFAULT_LEXICON, ENTITY_SKILL_LABELS, Lexicon
 
 TOKEN = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
@@ -22,35 +22,41 @@ def keyword_hits(text: Column | str, words: Sequence[str], match: str = "substri
     """Words found in the text, spelled as at their first case-insensitive occurrence,
     sorted and unique.
 
-    A plain substring test guards each pattern, so the regex runs only for words that
-    are there. ``match='word'`` asks for whole words instead of substrings."""
+    Where lower-casing kept the text's length, the spelling is cut out at the position of
+    the hit; only the few other texts (a letter that lowers to two) need a regex.
+    ``match='word'`` asks for whole words instead of substrings."""
+    if match not in ("substring", "word"):
+        raise ValueError(f"unknown match {match!r}")
     text = _as_column(text)
-    low = F.lower(text)
-    hits = []
-    for word in words:
-        pattern = _java_quote(word)
+
+    def spelled(row: Column, word: str) -> Column:
+        quoted = _java_quote(word)
         if match == "word":
-            pattern = rf"(?<!\w){pattern}(?!\w)"
-        elif match != "substring":
-            raise ValueError(f"unknown match {match!r}")
-        hits.append(F.when(F.contains(low, F.lit(word)), F.regexp_extract(text, f"(?iu){pattern}", 0)))
-    found = F.filter(F.array(*hits), lambda x: x.isNotNull() & (x != ""))
-    return F.array_sort(F.array_distinct(found))
+            hit = F.regexp_extract(row["text"], rf"(?iu)(?<!\w){quoted}(?!\w)", 0)
+        else:
+            hit = F.when(row["aligned"], F.substring(
+                row["text"], F.instr(row["low"], word), F.lit(len(word)))
+            ).otherwise(F.regexp_extract(row["text"], f"(?iu){quoted}", 0))
+        return F.when(F.contains(row["low"], F.lit(word)), hit)
+
+    row = let(F.lower(text), lambda low: F.struct(
+        text.alias("text"), low.alias("low"), (F.length(low) == F.length(text)).alias("aligned")))
+    found = let(row, lambda r: F.array(*[spelled(r, w) for w in words]))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != ""))))
 
 
 def profile_skills(text: Column | str, words: Sequence[str] = DEFAULT_LEXICON.profile_skills) -> Column:
     """List words present in the text, in list order and list spelling."""
-    low = F.lower(_as_column(text))
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), w) for w in words]))
+    return let(F.lower(_as_column(text)), lambda low: F.array_compact(
+        F.array(*[F.when(F.contains(low, F.lit(w)), w) for w in words])))
 
 
 def domain_tags(text: Column | str, domains: Mapping[str, Sequence[str]] | None = None) -> Column:
     """All domains with at least one matching word, sorted. The names are sorted when the
     expression is built, so the rows need no sort."""
     domains = DEFAULT_LEXICON.tag_domains if domains is None else domains
-    low = F.lower(_as_column(text))
-    return F.array_compact(F.array(*[
-        F.when(contains_any(low, domains[name]), name) for name in sorted(domains)]))
+    return let(F.lower(_as_column(text)), lambda low: F.array_compact(
+        F.array(*[F.when(contains_any(low, domains[name]), name) for name in sorted(domains)])))
 
 
 def tokens(text: Column | str) -> Column:
@@ -63,8 +69,8 @@ def ngrams(words: Column | str, size: int) -> Column:
     words = _as_column(words)
     if size == 1:
         return words
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1)))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+    starts = lambda w: F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1)))
+    runs = let(words, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, size), " ")))
     return F.coalesce(runs, F.array().cast("array<string>"))
 
 
@@ -75,21 +81,25 @@ def _string_array(values: Sequence[str]) -> Column:
 def entity_map(words: Column | str, entities: Mapping[str, str]) -> Column:
     """Label to sorted distinct names, for names of a small in-plan lexicon.
 
-    ``array_intersect`` hashes both sides, so a row costs its token count plus the
-    lexicon size. Large gazetteers go through ``operators.tagging.tag_entities``."""
-    by_size: dict[int, dict[str, list[str]]] = {}
-    for name, label in entities.items():
-        by_size.setdefault(len(name.split(" ")), {}).setdefault(label, []).append(name)
-    labels = sorted({label for label in entities.values()})
-    found = {label: [] for label in labels}
-    for size, groups in sorted(by_size.items()):
-        runs = ngrams(words, size)
-        for label, names in sorted(groups.items()):
-            found[label].append(F.array_intersect(runs, _string_array(sorted(names))))
-    entries = F.array(*[
-        F.struct(F.lit(label).alias("key"),
-                 F.array_sort(F.concat(*found[label])).alias("value")) for label in labels])
-    return F.map_from_entries(F.filter(entries, lambda e: F.size(e["value"]) > 0))
+    Single words: ``array_intersect`` hashes both sides, so a row costs its token count
+    plus the lexicon size. Longer names are looked up in the blank-joined tokens. Large
+    gazetteers go through ``operators.tagging.tag_entities``."""
+    return let(_as_column(words), lambda w: _entity_map(w, entities))
+
+
+def _entity_map(words: Column, entities: Mapping[str, str]) -> Column:
+    labels = sorted(set(entities.values()))
+    joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    multi = [n for n in sorted(entities) if " " in n]
+    longer = let(joined, lambda j: F.array_compact(
+        F.array(*[F.when(F.contains(j, F.lit(f" {n} ")), n) for n in multi]).cast("array<string>")))
+    entries = []
+    for label in labels:
+        names = sorted(n for n, of in entities.items() if of == label)
+        single = F.array_intersect(words, _string_array([n for n in names if " " not in n]))
+        found = F.array_sort(F.concat(single, F.array_intersect(longer, _string_array(names))))
+        entries.append(F.struct(F.lit(label).alias("key"), found.alias("value")))
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0))
 
 
 def entity_skills(entities: Column | str, marks: Sequence[str] = DEFAULT_LEXICON.entity_skill_marks,
@@ -98,7 +108,7 @@ def entity_skills(entities: Column | str, marks: Sequence[str] = DEFAULT_LEXICON
     entities = _as_column(entities)
     empty = F.array().cast("array<string>")
     names = F.concat(*[F.coalesce(F.try_element_at(entities, F.lit(label)), empty) for label in labels])
-    return F.filter(names, lambda n: contains_any(F.lower(n), marks))
+    return F.filter(names, lambda n: let(F.lower(n), lambda low: contains_any(low, marks)))
 
 
 def action_verbs(words: Column | str, forms: Mapping[str, str]) -> Column:
@@ -116,17 +126,21 @@ def extracted_skills(text: Column | str, entities: Column | str,
         keyword_hits(text, lexicon.posting_skills), entity_skills(entities, lexicon.entity_skill_marks)))
 
 
+def _lowered(profile: Column | str) -> Column:
+    return F.transform(_as_column(profile), F.lower)
+
+
 def matched_skills(job: Column | str, profile: Column | str) -> Column:
     """Posting skills the profile has, compared without case; spelling, order and
     duplicates of the posting side stay."""
-    lowered = F.transform(_as_column(profile), F.lower)
-    return F.filter(_as_column(job), lambda s: F.array_contains(lowered, F.lower(s)))
+    job = _as_column(job)
+    return let(_lowered(profile), lambda p: F.filter(job, lambda s: F.array_contains(p, F.lower(s))))
 
 
 def missing_skills(job: Column | str, profile: Column | str) -> Column:
     """Posting skills the profile lacks, by the same rules."""
-    lowered = F.transform(_as_column(profile), F.lower)
-    return F.filter(_as_column(job), lambda s: ~F.array_contains(lowered, F.lower(s)))
+    job = _as_column(job)
+    return let(_lowered(profile), lambda p: F.filter(job, lambda s: ~F.array_contains(p, F.lower(s))))
 
 
 def match_ratio(matched: Column | str, job: Column | str) -> Column:

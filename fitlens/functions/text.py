@@ -31,9 +31,13 @@ def _as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+_SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(text: Column | str) -> Column:
-    """Remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_as_column(text), rf"\A[{SPACE}]++|[{SPACE}]++\z", "")
+    """Remove Unicode whitespace at both ends. ``trim`` with a character set reads the ends
+    only, which matters for the many short lines of a long text."""
+    return F.trim(_as_column(text), F.lit(_SPACE_CHARS))
 
 
 def _entity_table() -> Column:
@@ -112,8 +116,15 @@ def truncate(text: Column | str, size: int) -> Column:
     return F.substring(_as_column(text), 1, size)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value`` evaluated once per row. A lambda that captures an
+    expression, or a chain of conditions that repeats it, would evaluate it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def contains_any(text: Column, words) -> Column:
-    """True when the text holds at least one of the words as a substring."""
+    """True when the text holds at least one of the words as a substring. Pass a plain
+    column or lambda variable, not an expression: it is read once per word."""
     hit = F.lit(False)
     for word in words:
         hit = hit | F.contains(text, F.lit(word))

@@ -85,14 +85,13 @@ class _Profile:
         present = np.asarray(vectors.is_valid())
         step = max(1, _CELLS // max(len(self.unit), 1))
         for at in range(0, len(jobs), step):
-            sims = np.clip(jobs[at:at + step] @ self.unit.T, 0.0, 1.0)
-            # Equal vectors may differ in the last bits of a matrix product; rounding makes
-            # them tie, and ties keep profile order.
-            key = -np.round(sims, 12)
+            # The last bits of a matrix product depend on the batch. Rounding makes equal
+            # vectors tie, and ties keep profile order, however the rows are batched.
+            sims = np.round(np.clip(jobs[at:at + step] @ self.unit.T, 0.0, 1.0), 12)
             for version, overall, picks in self.groups:
                 chosen = []
                 for columns, n in picks:
-                    order = np.argsort(key[:, columns], axis=1, kind="stable")[:, :n]
+                    order = np.argsort(-sims[:, columns], axis=1, kind="stable")[:, :n]
                     chosen.append(columns[order])
                 picked = np.concatenate(chosen, axis=1) if chosen else np.zeros((len(sims), 0), dtype=int)
                 whole = sims[:, overall[0]] if len(overall) else None
@@ -234,7 +233,7 @@ def _match_blocks(jobs, profile, top_n, per_section, vector, id_cols, max_rows)
     bests = cells.filter(F.col("match").isNotNull())
     section = [F.col("match.section")] if per_section is not None else []
     window = Window.partitionBy(*key, *section).orderBy(
-        F.round("match.similarity", 12).desc(), F.col("match.ordinal"))
+        F.desc("match.similarity"), F.col("match.ordinal"))
     ranked = bests.withColumn("_rk", F.row_number().over(window))
     if per_section is None:
         ranked = ranked.filter(F.col("_rk") <= top_n)

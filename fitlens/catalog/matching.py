@@ -11,6 +11,7 @@ from fitlens.functions import tags
 from fitlens.functions.vectors import cosine, embed_text
 from fitlens.operators.evaluate import composite, good_fit, ranking_quality, weight_grid
 from fitlens.operators.match import OVERALL, explode_matches, match_profile
+from fitlens.operators.rows import each_item
 from fitlens.operators.rank import global_rank, top_rows
 from fitlens.plans.score import rank_postings, score_postings
 from fitlens.sources.exports import summary
@@ -23,7 +24,7 @@ GRID = [{"own": 1.0}, {"overall": 1.0}, {"own": 0.5, "overall": 0.5}, {"own": 0.
 
 def _mean_vectors(df, *group):
     """Mean vector per group: partial sums per position, so no group of vectors is gathered."""
-    parts = df.select(*group, F.posexplode("embedding").alias("pos", "v")).groupBy(*group, "pos").agg(
+    parts = each_item(df, "embedding", group, "v").groupBy(*group, "pos").agg(
         F.avg(F.col("v").cast("double")).alias("v"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "v")))
     return parts.groupBy(*group).agg(F.transform(ordered, lambda x: x["v"]).alias("embedding"))
@@ -57,7 +58,7 @@ def _benchmark_profile(spark, sf):
 
 
 def hashed_embedding(spark, sf):
-    vectors = _document_vectors(spark, sf).select("job_id", F.posexplode("embedding").alias("pos", "v"))
+    vectors = each_item(_document_vectors(spark, sf), "embedding", ["job_id"], "v")
     return vectors.filter("v > 0").select("job_id", "pos", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 

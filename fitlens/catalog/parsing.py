@@ -11,6 +11,7 @@ from fitlens.catalog.shared import (
 from fitlens.functions import sections as sec
 from fitlens.functions.text import clean_html, clean_text, normalize_whitespace, truncate
 from fitlens.operators.evaluate import compare_counts, parse_quality
+from fitlens.operators.rows import each_item
 from fitlens.plans.embed import posting_sections
 
 Q_TEST = any_of("lo", lx.QUALIFICATION_HEADERS)
@@ -50,24 +51,24 @@ def section_split_regex(spark, sf):
 
 
 def bullet_extract(spark, sf):
-    return postings(spark, sf).select("doc_id", F.posexplode(sec.bullets("body")).alias("pos", "bullet"))
+    return each_item(postings(spark, sf), sec.bullets("body"), ["doc_id"], "bullet")
 
 
 def wide_bullets(spark, sf):
     docs = load_wide(spark, sf, "documents", "doc_id", "text")
     marked = F.expr("'▪ ' || replace(replace(text, chr(10), chr(10) || 'B) '), '. ', '.' || chr(10) || '◦ ')")
-    return docs.select("doc_id", F.posexplode(sec.bullets(marked, sec.WIDE_MARKERS)).alias("pos", "bullet"))
+    return each_item(docs, sec.bullets(marked, sec.WIDE_MARKERS), ["doc_id"], "bullet")
 
 
 def qualification_parse(spark, sf):
     df = sec.with_sections(postings(spark, sf), "body")
-    return df.select("doc_id", F.posexplode(sec.classified_qualifications("qual_text")).alias("pos", "_q")).select(
+    return each_item(df, sec.classified_qualifications("qual_text"), ["doc_id"], "_q").select(
         "doc_id", "pos", "_q.text", "_q.skill_type", "_q.kind")
 
 
 def responsibility_parse(spark, sf):
     df = sec.with_sections(postings(spark, sf), "body")
-    return df.select("doc_id", F.posexplode(sec.responsibilities("resp_text")).alias("pos", "_r")).select("doc_id", "pos", "_r.*")
+    return each_item(df, sec.responsibilities("resp_text"), ["doc_id"], "_r").select("doc_id", "pos", "_r.*")
 
 
 def section_union(spark, sf):
@@ -101,12 +102,12 @@ SUBSECTIONS = (f"'Qualifications' || chr(10) || 'Required:' || chr(10) || '- ' |
 
 def subsection_class(spark, sf):
     docs = load_wide(spark, sf, "documents", "doc_id", "text")
-    return docs.select("doc_id", F.posexplode(sec.subsection_classes(F.expr(SUBSECTIONS))).alias("pos", "_i")).select(
+    return each_item(docs, sec.subsection_classes(F.expr(SUBSECTIONS)), ["doc_id"], "_i").select(
         "doc_id", "pos", "_i.text", "_i.kind")
 
 
 def bullet_confidence(spark, sf):
-    items = postings(spark, sf).select("doc_id", F.posexplode(sec.bullets("body")).alias("pos", "_b"))
+    items = each_item(postings(spark, sf), sec.bullets("body"), ["doc_id"], "_b")
     return items.select("doc_id", "pos", sec.confidence("_b").alias("as_qualification"),
                         sec.confidence("_b", sec.RESPONSIBILITY_SIGNALS).alias("as_responsibility"))
 

@@ -11,6 +11,7 @@ from fitlens.catalog.parsing import QUAL_ITEMS, RESP_ITEMS, Q_TEST, R_TEST
 from fitlens.catalog.shared import (
     POSTING, any_of, check_html, check_sections, check_whitespace, load, load_wide, text_values)
 from fitlens.functions import tags
+from fitlens.operators.rows import each_item
 from fitlens.operators.tagging import tag_entities
 from fitlens.plans.clean import clean_postings
 
@@ -20,7 +21,7 @@ NAMES = {"The": "ORG", "Of the": "ORG", "Eriner": "ORG", "This": "PRODUCT", "to
 FORMS = {"was": "be", "is": "be", "are": "be", "be": "be", "thing": "thing", "ating": "ate", "ining": "in", "had": "have"}
 MARKS = ("th", "bi")
 LEX = replace(lx.DEFAULT_LEXICON, entities=NAMES, verbs=FORMS, entity_skill_marks=MARKS)
-TOKENS = rf"regexp_extract_all(%s, '{tags.TOKEN.replace(chr(39), chr(39) * 2)}')"
+TOKENS = rf"regexp_extract_all(%s, '{tags.TOKEN.replace('++', '+').replace('*+', '*').replace(chr(39), chr(39) * 2)}')"
 KEYWORDS = f"kw(k) AS (VALUES {text_values(lx.POSTING_SKILLS)})"
 PROFILE_WORDS = ", ".join(f"('{w}', {i})" for i, w in enumerate(lx.PROFILE_SKILLS))
 NAME_ROWS = ", ".join(f"('{n}', '{label}')" for n, label in NAMES.items())
@@ -59,8 +60,8 @@ def domain_tags(spark, sf):
 
 def entity_map(spark, sf):
     docs = load_wide(spark, sf, "documents", "doc_id", "text").withColumn("_w", tags.tokens("text"))
-    found = docs.select("doc_id", tags.entity_map("_w", NAMES).alias("_e"))
-    return found.select("doc_id", F.explode("_e").alias("label", "_n")).select("doc_id", "label", _joined("_n").alias("names"))
+    found = each_item(docs, F.map_entries(tags.entity_map("_w", NAMES)), ["doc_id"], "_e")
+    return found.select("doc_id", F.col("_e.key").alias("label"), _joined("_e.value").alias("names"))
 
 
 def entity_gazetteer(spark, sf):
@@ -80,7 +81,7 @@ def skill_match_gap(spark, sf):
     """Documents against the skills of one profile made of all benchmark items. The profile
     side is a set of list words, at most the length of the list."""
     items = load(spark, sf, "benchmark")
-    known = items.select(F.explode(tags.profile_skills("text")).alias("w")).agg(F.array_sort(F.collect_set("w"))).scalar()
+    known = each_item(items, tags.profile_skills("text"), [], "w").agg(F.array_sort(F.collect_set("w"))).scalar()
     docs = load_wide(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", tags.keyword_hits("text", lx.POSTING_SKILLS).alias("_job"), known.alias("_known"))
     df = docs.withColumn("_m", tags.matched_skills("_job", "_known")).withColumn("_g", tags.missing_skills("_job", "_known"))

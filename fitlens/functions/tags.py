@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fitlens.functions.text import _as_column, contains_any, let
 from fitlens.lexicon import DEFAULT_LEXICON, ENTITY_SKILL_LABELS, Lexicon
 
-TOKEN = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
+TOKEN = r"[\p{L}\p{N}]++(?:[-'][\p{L}\p{N}]++)*+"
 
 
 def _java_quote(word: str) -> str:
@@ -91,15 +91,17 @@ def _entity_map(words: Column, entities: Mapping[str, str]) -> Column:
     labels = sorted(set(entities.values()))
     joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     multi = [n for n in sorted(entities) if " " in n]
+    singles = F.array_intersect(words, _string_array([n for n in sorted(entities) if " " not in n]))
     longer = let(joined, lambda j: F.array_compact(
         F.array(*[F.when(F.contains(j, F.lit(f" {n} ")), n) for n in multi]).cast("array<string>")))
-    entries = []
-    for label in labels:
-        names = sorted(n for n, of in entities.items() if of == label)
-        single = F.array_intersect(words, _string_array([n for n in names if " " not in n]))
-        found = F.array_sort(F.concat(single, F.array_intersect(longer, _string_array(names))))
-        entries.append(F.struct(F.lit(label).alias("key"), found.alias("value")))
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0))
+
+    def by_label(found: Column) -> Column:
+        entries = F.array(*[
+            F.struct(F.lit(label).alias("key"), F.array_sort(F.array_intersect(found, _string_array(
+                sorted(n for n, of in entities.items() if of == label)))).alias("value")) for label in labels])
+        return F.map_from_entries(F.filter(entries, lambda e: F.size(e["value"]) > 0))
+
+    return let(F.concat(singles, longer), by_label)
 
 
 def entity_skills(entities: Column | str, marks: Sequence[str] = DEFAULT_LEXICON.entity_skill_marks,

@@ -13,11 +13,7 @@ from pyspark.sql import functions as F
 BLANK = r"\t\x0B\f\r\x1C-\x1F\x85\p{Z}"
 SPACE = BLANK + r"\n"
 
-_COMMON_ENTITIES = ("lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "middot", "bull", "ndash",
-                    "mdash", "hellip", "lsquo", "rsquo", "ldquo", "rdquo", "eacute")
 _ENTITY = r"&(?:[a-zA-Z][-.a-zA-Z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);?"
-_RARE_ENTITY = r"&(?!(?:amp|" + "|".join(_COMMON_ENTITIES) + r");)[a-zA-Z#]"
-
 _MARKUP = "|".join((
     r"<(?i:(script|style))\b[^>]*+>(?s:.*?)(?:</(?i:\1)\s*+>|\z)",
     r"<!--(?s:.*?)-->",
@@ -31,6 +27,12 @@ def _as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value`` evaluated once per row. A lambda that captures an
+    expression, or a chain of conditions that repeats it, would evaluate it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 _SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
@@ -66,32 +68,41 @@ def _decode_reference(ref: Column) -> Column:
 def decode_entities(text: Column | str) -> Column:
     """Decode character references exactly once.
 
-    Text with only everyday references takes a plain replace chain (``&amp;`` last,
-    so nothing is decoded twice). Any other reference sends the text through a cut
-    at every reference and a table lookup per piece.
-    """
-    text = _as_column(text)
-    chain = text
-    for name in _COMMON_ENTITIES:
-        chain = F.replace(chain, F.lit(f"&{name};"), F.lit(html.entities.html5[name + ";"]))
-    chain = F.replace(chain, F.lit("&amp;"), F.lit("&"))
-    gaps = F.split(text, _ENTITY, -1)
-    refs = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
-    pieces = F.zip_with(gaps, refs, lambda gap, ref: F.concat(
-        gap, F.when(ref.isNull(), "").otherwise(_decode_reference(ref))))
-    return (
-        F.when(~F.contains(text, F.lit("&")), text)
-        .when(text.rlike(_RARE_ENTITY), F.array_join(pieces, ""))
-        .otherwise(chain)
-    )
+    The distinct references of a text are few, so each is replaced in one sweep, those for
+    the ampersand itself last. Where sweeps could touch each other's output (a reference
+    without its semicolon, two spellings of the ampersand) the text is cut at every
+    reference instead."""
+    return let(_as_column(text), lambda t: F.when(~F.contains(t, F.lit("&")), t).otherwise(
+        let(F.array_distinct(F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0))), lambda refs: _decode_all(t, refs))))
+
+
+def _decode_all(text: Column, refs: Column) -> Column:
+    pairs = F.transform(refs, lambda r: F.struct(r.alias("ref"), _decode_reference(r).alias("char")))
+
+    def sweep(table: Column) -> Column:
+        plain = F.filter(table, lambda p: p["char"] != "&")
+        ampersands = F.filter(table, lambda p: p["char"] == "&")
+        return F.aggregate(F.concat(plain, ampersands), text,
+                           lambda done, p: F.replace(done, p["ref"], p["char"]))
+
+    def cut(table: Column) -> Column:
+        gaps = F.split(text, _ENTITY, -1)
+        found = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+        chars = let(F.map_from_entries(table), lambda m: F.transform(found, lambda r: F.element_at(m, r)))
+        return F.array_join(F.zip_with(gaps, chars, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+
+    return let(pairs, lambda table: F.when(
+        F.forall(table, lambda p: p["ref"].endswith(";") & ~p["char"].startswith("&"))
+        | ((F.size(F.filter(table, lambda p: p["char"].startswith("&"))) == 1)
+           & F.forall(table, lambda p: p["ref"].endswith(";") & (~p["char"].startswith("&") | (p["char"] == "&")))),
+        sweep(table)).otherwise(cut(table)))
 
 
 def clean_html(text: Column | str) -> Column:
     """Text of an HTML fragment: scripts, styles, comments and tags dropped, entities
     decoded. Nothing is put between neighbouring text nodes."""
     text = F.coalesce(_as_column(text), F.lit(""))
-    stripped = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, _MARKUP, "")).otherwise(text)
-    return decode_entities(stripped)
+    return decode_entities(F.regexp_replace(text, _MARKUP, ""))
 
 
 def normalize_whitespace(text: Column | str) -> Column:
@@ -116,12 +127,6 @@ def truncate(text: Column | str, size: int) -> Column:
     return F.substring(_as_column(text), 1, size)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` applied to ``value`` evaluated once per row. A lambda that captures an
-    expression, or a chain of conditions that repeats it, would evaluate it many times."""
-    return F.transform(F.array(value), body)[0]
-
-
 def contains_any(text: Column, words) -> Column:
     """True when the text holds at least one of the words as a substring. Pass a plain
     column or lambda variable, not an expression: it is read once per word."""

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fitlens.operators.rows import each_item
+
 OVERALL = "overall_resume"
 MAX_PROFILE_ROWS = 4096
 JOBS_PER_GROUP = 20_000
@@ -137,8 +139,7 @@ def match_profile(jobs: DataFrame, profile: DataFrame, top_n: int = 5,
 
     others = [c for c in jobs.columns if c != vector]
     return (
-        jobs.withColumn("_scores", score(F.col(vector)))
-        .select(*others, F.explode("_scores").alias("_s"))
+        each_item(jobs.withColumn("_scores", score(F.col(vector))), "_scores", others, "_s", "_i")
         .select(*others, "_s.profile_version", "_s.overall_similarity", "_s.matches")
     )
 
@@ -267,6 +268,6 @@ def _empty_cells(jobs_part: pa.Table, id_cols: Sequence[str]) -> pa.Table:
 def explode_matches(scored: DataFrame, id_cols: Sequence[str] = ("job_id",)) -> DataFrame:
     """One row per posting, profile version and match, with its position from 1."""
     return (
-        scored.select(*id_cols, "profile_version", F.posexplode("matches").alias("_p", "_m"))
+        each_item(scored, "matches", [*id_cols, "profile_version"], "_m", "_p")
         .select(*id_cols, "profile_version", (F.col("_p") + 1).alias("position"), "_m.*")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fitlens.functions.tags import ngrams, tokens
+from fitlens.operators.rows import each_item
 
 
 def tag_entities(df: DataFrame, text: str, gazetteer: DataFrame, id_col: str = "job_id",
@@ -21,8 +22,8 @@ def tag_entities(df: DataFrame, text: str, gazetteer: DataFrame, id_col: str = "
     measured size allows it, a large one is shuffled and its hot names split by AQE."""
     runs = F.concat(*[ngrams("_words", n) for n in range(1, max_words + 1)])
     named = (
-        df.select(id_col, tokens(text).alias("_words"))
-        .select(id_col, F.explode(F.array_distinct(runs)).alias("name"))
+        each_item(df.select(id_col, tokens(text).alias("_words")), F.array_distinct(runs), [id_col], "name")
+        .select(id_col, "name")
         .join(gazetteer.select("name", "label").distinct(), "name")
     )
     per_label = named.groupBy(id_col, "label").agg(F.array_sort(F.collect_set("name")).alias("names"))

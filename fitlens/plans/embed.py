@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fitlens.functions.vectors import DEFAULT_DIM, embed_text
 from fitlens.lexicon import MIN_SUMMARY_CHARS, STORED_TEXT_CHARS
 from fitlens.functions.text import strip
+from fitlens.operators.rows import each_item
 from fitlens.sources.profile import profile_rows
 
 
@@ -24,7 +25,7 @@ def posting_sections(clean: DataFrame) -> DataFrame:
             ("full_description", F.col("description_clean")), ("qualifications", quals),
             ("responsibilities", resps), ("summary", long_summary))])
     kept = F.filter(texts, lambda t: t["text"].isNotNull() & (t["text"] != ""))
-    return clean.select("job_id", F.explode(kept).alias("_t")).select("job_id", "_t.section", "_t.text")
+    return each_item(clean, kept, ["job_id"], "_t").select("job_id", "_t.section", "_t.text")
 
 
 def new_sections(sections: DataFrame, embedded: DataFrame) -> DataFrame:

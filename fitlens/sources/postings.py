@@ -11,6 +11,9 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fitlens.functions.text import let
+from fitlens.operators.rows import each_item
+
 # Accepted field names in order, and the default of each canonical column.
 ALIASES = {
     "job_title": (("job_title", "title", "position"), "Unknown Title"),
@@ -46,15 +49,11 @@ def parse_postings(texts: DataFrame) -> DataFrame:
                      F.from_json(body, "array<variant>", {"allowSingleQuotes": "false"}))
     as_object = F.when(body.rlike(r"(?s)\A\{.*\}\z"), F.try_parse_json(body))
     docs = F.when(as_object.isNotNull(), F.array(as_object)).otherwise(as_list)
-    good = (
-        texts.select("file", docs.alias("_docs"))
-        .withColumn("_bad", F.col("_docs").isNull())
-        .select("file", "_bad", F.explode(F.when(
-            F.col("_bad"), F.array(F.struct(F.lit(0).alias("pos"), F.lit(None).cast("variant").alias("doc"))))
-            .otherwise(F.transform("_docs", lambda d, i: F.struct(i.alias("pos"), d.alias("doc"))))).alias("_e"))
-    )
+    none = F.array(F.lit(None).cast("variant"))
+    parsed = texts.select("file", docs.alias("_docs")).withColumn("_bad", F.col("_docs").isNull())
+    rows = each_item(parsed, F.coalesce("_docs", none), ["file", "_bad"], "doc")
     kind = F.schema_of_variant(F.col("doc"))
-    return good.select("file", "_e.pos", "_e.doc", "_bad").select(
+    return rows.select(
         "file", "pos", "doc",
         F.when(F.col("_bad"), "invalid_file")
         .when(F.col("doc").isNull() | ~kind.startswith("OBJECT"), "not_an_object").alias("reason"))
@@ -82,7 +81,8 @@ def _field(doc: Column, name: str) -> Column:
 def first_truthy(doc: Column, names) -> Column:
     """The first alias with a usable value, as text."""
     return F.coalesce(*[
-        truthy_text(_field(doc, n), F.schema_of_variant(_field(doc, n))) for n in names])
+        let(_field(doc, n), lambda v: let(F.schema_of_variant(v), lambda kind: truthy_text(v, kind)))
+        for n in names])
 
 
 ISO_DATE = r"\A\d{4}-\d{2}-\d{2}(?:.\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?\z"
@@ -114,12 +114,15 @@ def normalize_postings(parsed: DataFrame, source: str = "manual",
     for name, (aliases, default) in ALIASES.items():
         value = first_truthy(doc, aliases)
         columns.append((F.coalesce(value, F.lit(default)) if default else value).alias(name))
-    kinds = [F.schema_of_variant(_field(doc, n)) for n in DATE_ALIASES]
-    values = [truthy_text(_field(doc, n), k) for n, k in zip(DATE_ALIASES, kinds)]
-    chosen = F.when(values[0].isNotNull(), kinds[0]).otherwise(kinds[1])
+    dated = F.coalesce(*[
+        let(_field(doc, n), lambda v: let(F.schema_of_variant(v), lambda kind: let(
+            truthy_text(v, kind), lambda text: F.when(text.isNotNull(), F.struct(text.alias("text"), kind.alias("kind"))))))
+        for n in DATE_ALIASES])
+    parsed = parsed.withColumn("_dated", dated)
+    chosen = F.coalesce("_dated.kind", F.lit(""))
     flag = chosen == "BOOLEAN"
     numeric = flag | chosen.isin("BIGINT", "DOUBLE", "FLOAT") | chosen.startswith("DECIMAL")
-    date_text = F.when(flag, "1").otherwise(F.coalesce(*values))
+    date_text = F.when(flag, "1").otherwise(F.col("_dated.text"))
     # A date that is a list or object, or a number beyond any clock, fails the posting;
     # every other unreadable date becomes ``as_of``.
     beyond = numeric & (F.abs(date_text.try_cast("double")) / 1000 >= float(2 ** 63))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fitlens.lexicon import STORED_TEXT_CHARS
 from fitlens.operators.match import OVERALL
+from fitlens.operators.rows import each_item
 
 _ITEMS = "array<struct<Content:string,Subsection:string,Bullet:string>>"
 _ROWS = "array<struct<section:string,subsection:string,content_type:string,text:string>>"
@@ -67,7 +68,7 @@ def profile_rows(profiles: DataFrame, stored_chars: int | None = None) -> DataFr
     items = F.flatten(F.transform("sections", lambda s: F.flatten(
         F.transform(s["items"], lambda i: of_item(s["section"], i)))))
     whole = F.array(_row(F.lit(OVERALL), none, "full_resume", overall_text("sections")))
-    rows = profiles.select("profile_version", F.posexplode(F.concat(whole, items)).alias("ordinal", "_r"))
+    rows = each_item(profiles, F.concat(whole, items), ["profile_version"], "_r", "ordinal")
     text = F.col("_r.text") if stored_chars is None else F.substring("_r.text", 1, stored_chars)
     return rows.select("profile_version", "ordinal", "_r.section", "_r.subsection", "_r.content_type",
                        text.alias("text"))

@@ -14,6 +14,8 @@ BLANK = r"\t\x0B\f\r\x1C-\x1F\x85\p{Z}"
 SPACE = BLANK + r"\n"
 
 _ENTITY = r"&(?:[a-zA-Z][-.a-zA-Z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);?"
+_OPEN_REFERENCE = r"(&(?:[a-zA-Z][-.a-zA-Z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+))(?=<)"
+_BARE_AMPERSAND = r"&(?=(?:#[xX]?)?<)"
 _MARKUP = "|".join((
     r"<(?i:(script|style))\b[^>]*+>(?s:.*?)(?:</(?i:\1)\s*+>|\z)",
     r"<!--(?s:.*?)-->",
@@ -102,6 +104,9 @@ def clean_html(text: Column | str) -> Column:
     """Text of an HTML fragment: scripts, styles, comments and tags dropped, entities
     decoded. Nothing is put between neighbouring text nodes."""
     text = F.coalesce(_as_column(text), F.lit(""))
+    # A reference ends where markup begins. Closing it there keeps it apart from the text
+    # that follows once the markup is gone.
+    text = F.regexp_replace(F.regexp_replace(text, _OPEN_REFERENCE, "$1;"), _BARE_AMPERSAND, "&amp;")
     return decode_entities(F.regexp_replace(text, _MARKUP, ""))
 
 

@@ -20,6 +20,7 @@ from fitlens.functions import text as t
     ("&eacute;&#233;&#xE9;&#150;&hearts;&nosuch; &copy", "ééé–♥&nosuch ©"),
     ("&#x1F600;|&#0;|&#99999999999;", "😀|\ufffd|\ufffd"),
     ("&amp;lt;b&amp;gt; &Aacute;", "&lt;b&gt; Á"),
+    ("a&amp<b>c</b>|&am<b>p;</b>|&<i>amp;</i>|&#<i>38;</i>", "a&c|&amp;|&amp;|&#38;"),
     (None, ""),
 ])
 def test_clean_html(one, raw, expected):

@@ -71,7 +71,7 @@ def check_whitespace(x: str) -> str:
 
 
 def check_html(x: str) -> str:
-    x = rf"regexp_replace(replace({x}, '&<', '&amp;<'), '(&(?:[a-zA-Z][-.a-zA-Z0-9]*|#[0-9]+))<', '\1;<', 'g')"
+    x = rf"regexp_replace(replace({x}, '&<', '&amp;<'), '(&(?:lt|gt|quot|copy|middot|nbsp|amp))<', '\1;<', 'g')"
     for pattern in (r"<script\b[^>]*>.*?</script\s*>", r"<style\b[^>]*>.*?</style\s*>", r"<!--.*?-->",
                     r"<![a-zA-Z][^>]*>", r"</?[a-zA-Z][^>]*>"):
         x = f"regexp_replace({x}, '{pattern}', '', 'gis')"

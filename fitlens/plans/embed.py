@@ -36,6 +36,12 @@ def new_sections(sections: DataFrame, embedded: DataFrame) -> DataFrame:
                       ["job_id", "section", "text_hash"], "left_anti")
 
 
+def stale_vectors(sections: DataFrame, embedded: DataFrame) -> DataFrame:
+    """Vectors of texts that no posting has any more."""
+    keyed = sections.select("job_id", "section", F.xxhash64("text").alias("text_hash"))
+    return embedded.join(keyed, ["job_id", "section", "text_hash"], "left_anti")
+
+
 def embed_sections(sections: DataFrame, embed=None, dim: int = DEFAULT_DIM) -> DataFrame:
     """Vectors of posting sections, with the text cut for storage after embedding."""
     text_hash = F.col("text_hash") if "text_hash" in sections.columns else F.xxhash64("text")

@@ -13,7 +13,7 @@ from fitlens.lexicon import DEFAULT_LEXICON, NATURAL_KEY, Lexicon, validate_weig
 from fitlens.operators.dedup import keep_first, only_new, posting_id
 from fitlens.operators.quality import outcome_rollup
 from fitlens.plans.clean import clean_postings
-from fitlens.plans.embed import embed_profiles, embed_sections, new_sections, posting_sections
+from fitlens.plans.embed import embed_profiles, embed_sections, new_sections, posting_sections, stale_vectors
 from fitlens.plans.score import granular_scores, rank_postings, rankings_table, score_postings
 from fitlens.session import ensure_checkpoint_dir
 from fitlens.sources import exports
@@ -38,37 +38,48 @@ class Settings:
     exported: dict = field(default_factory=dict)
 
 
+def intake_winners(postings: DataFrame, existing: DataFrame) -> DataFrame:
+    """``file, pos`` of the first good posting of every key that the existing table lacks.
+
+    Works on the key columns alone; the group limit in front of the shuffle sends at most
+    one row per key and task."""
+    keys = postings.filter("reason is null").select("file", "pos", *NATURAL_KEY)
+    return only_new(keep_first(keys, ["file", "pos"]), existing).select("file", "pos")
+
+
 def classify_intake(postings: DataFrame, existing: DataFrame) -> DataFrame:
-    """``outcome`` per posting: ``inserted`` for the first of its key by file and position
-    that the existing table lacks, ``duplicates``, or ``errors``.
-
-    Only ``inserted`` rows keep a winner's place: the winners are found with a group limit
-    before the shuffle and then matched back by (file, pos)."""
-    good = postings.filter("reason is null")
-    winners = only_new(keep_first(good, ["file", "pos"]), existing)
-    won = winners.select("file", "pos").withColumn("_won", F.lit(True))
+    """``outcome`` per posting: ``inserted`` for winners, ``duplicates`` or ``errors``."""
+    return _with_outcome(postings, intake_winners(postings, existing))
+
+
+def _with_outcome(postings: DataFrame, winners: DataFrame) -> DataFrame:
+    won = winners.withColumn("_won", F.lit(True))
     return postings.join(won, ["file", "pos"], "left").withColumn(
         "outcome", F.when(F.col("reason").isNotNull(), "errors").when(F.col("_won"), "inserted")
         .otherwise("duplicates")).drop("_won")
 
 
+def _as_raw(winning: DataFrame) -> DataFrame:
+    return winning.select(posting_id().alias("job_id"), *CANONICAL, F.current_timestamp().alias("date_ingested"))
+
+
 def new_raw_postings(postings: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows to append to the raw table."""
-    winners = only_new(keep_first(postings.filter("reason is null"), ["file", "pos"]), existing)
-    return winners.select(posting_id().alias("job_id"), *CANONICAL, F.current_timestamp().alias("date_ingested"))
+    """Rows to append to the raw table, in one pass over the postings."""
+    return _as_raw(only_new(keep_first(postings.filter("reason is null"), ["file", "pos"]), existing))
 
 
 def intake(store: Store, settings: Settings) -> DataFrame:
     """Append new postings; returns counts per file with a grand total.
 
-    The counts are taken before the append and pinned by a checkpoint, because the append
-    changes what counts as new."""
+    The files are parsed once, into a table of their own. The winners are pinned by a
+    checkpoint before the append, which would change what counts as new."""
     ensure_checkpoint_dir(store.spark)
-    postings = read_postings(store.spark, settings.postings, settings.source, settings.as_of)
+    store.write("incoming", read_postings(store.spark, settings.postings, settings.source, settings.as_of))
+    postings = store.read("incoming")
     existing = store.read_or_empty("raw_postings").select(*NATURAL_KEY)
-    stats = outcome_rollup(classify_intake(postings, existing)).checkpoint(eager=True)
-    store.append_new("raw_postings", new_raw_postings(postings, existing), NATURAL_KEY)
-    return stats
+    winners = intake_winners(postings, existing).checkpoint(eager=True)
+    store.write("raw_postings", _as_raw(postings.join(winners, ["file", "pos"], "left_semi")), "append")
+    return outcome_rollup(_with_outcome(postings.select("file", "pos", "reason"), winners))
 
 
 def preprocess(store: Store, settings: Settings) -> None:
@@ -80,8 +91,17 @@ def preprocess(store: Store, settings: Settings) -> None:
 def vectorize(store: Store, settings: Settings) -> None:
     """Embed new posting texts and, if a profile is given, the profile."""
     sections = posting_sections(store.read("clean_postings"))
-    fresh = new_sections(sections, store.read_or_empty("job_embeddings"))
-    store.write("job_embeddings", embed_sections(fresh, settings.embed, settings.dim), "append")
+    known = store.read_or_empty("job_embeddings")
+    fresh = embed_sections(new_sections(sections, known), settings.embed, settings.dim)
+    stale = stale_vectors(sections, known)
+    if stale.limit(1).count():
+        # Texts changed since: rewrite the table from the vectors that still hold. The
+        # checkpoint lets the table be read and overwritten in one step.
+        ensure_checkpoint_dir(store.spark)
+        kept = known.join(stale.select("job_id", "section", "text_hash"), ["job_id", "section", "text_hash"], "left_anti")
+        store.write("job_embeddings", kept.unionByName(fresh).checkpoint(eager=True))
+    else:
+        store.write("job_embeddings", fresh, "append")
     if settings.profile:
         profiles = read_profile(store.spark, settings.profile)
         store.write("profile_embeddings", embed_profiles(profiles, settings.embed, settings.dim))

@@ -6,6 +6,12 @@ RAW_POSTINGS = (
     "date_ingested timestamp, source string"
 )
 
+INCOMING = (
+    "file string, pos int, reason string, job_title string, company string, location string, "
+    "job_description string, job_url string, salary_range string, job_type string, "
+    "date_posted date, source string"
+)
+
 QUALIFICATION = "struct<text:string,skill_type:string>"
 RESPONSIBILITY = (
     "struct<activity:string,ownership_level:string,frequency:string,activity_type:string>"
@@ -43,6 +49,7 @@ GRANULAR_SCORES = (
 )
 
 TABLES = {
+    "incoming": INCOMING,
     "raw_postings": RAW_POSTINGS,
     "clean_postings": CLEAN_POSTINGS,
     "job_embeddings": JOB_EMBEDDINGS,

@@ -29,7 +29,7 @@ def start_intake(store: Store, settings: Settings, checkpoint: str, clean: bool
     def absorb(batch: DataFrame, _: int) -> None:
         postings = normalize_postings(parse_postings(batch), settings.source, settings.as_of)
         existing = store.read_or_empty("raw_postings").select(*NATURAL_KEY)
-        store.append_new("raw_postings", new_raw_postings(postings, existing), NATURAL_KEY)
+        store.write("raw_postings", new_raw_postings(postings, existing), "append")
         if clean:
             preprocess(store, settings)
 

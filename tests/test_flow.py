@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from fitlens.lexicon import Lexicon
 from fitlens.plans import run as flow
 from fitlens.plans.embed import posting_sections
 from fitlens.sources import exports, postings, profile
@@ -123,6 +124,14 @@ def test_full_run_is_idempotent(spark, tmp_path, folder):
     flow.run(spark, store.root, settings)
     assert {n: store.read(n).count() for n in counts} == counts
 
+    # Cleaning again with other rules replaces only the vectors of changed texts.
+    store.clear(["clean_postings"])
+    settings.lexicon = Lexicon(qualification_headers=("no such heading",))
+    flow.run(spark, store.root, settings, skip=("intake",))
+    vectors = {(r["job_id"], r["section"]) for r in store.read("job_embeddings").collect()}
+    assert len(vectors) == store.read("job_embeddings").count() < counts["job_embeddings"]
+    assert not [s for _, s in vectors if s == "qualifications"]
+
     other = tmp_path / "other.json"
     other.write_text(json.dumps({"Summary": [{"Content": "calm"}]}))
     settings.profile = str(other)

@@ -102,7 +102,9 @@ def test_dimension_mismatch_fails(spark, vectors):
         match.match_profile(bad, pdf).collect()
 
 
-def test_global_rank_with_a_hot_score(spark):
+@pytest.mark.parametrize("bound", [100_000, 1])
+def test_global_rank_with_a_hot_score(spark, bound, monkeypatch):
+    monkeypatch.setattr(rank, "MAX_BROADCAST_ROWS", bound)
     # Two thirds of the rows tie, and one group holds most rows.
     df = spark.range(3000).select(
         F.col("id").alias("job_id"), F.when(F.col("id") % 3 < 2, 0.0).otherwise(F.col("id") / 10).alias("score"),

@@ -134,8 +134,12 @@ def truncate(text: Column | str, size: int) -> Column:
 
 def contains_any(text: Column, words) -> Column:
     """True when the text holds at least one of the words as a substring. Pass a plain
-    column or lambda variable, not an expression: it is read once per word."""
+    column or lambda variable, not an expression: it is read once per word.
+
+    A word that holds another word of the list cannot change the answer and is left out."""
+    needed = [w for w in dict.fromkeys(words) if not any(o != w and o in w for o in words)]
     hit = F.lit(False)
-    for word in words:
-        hit = hit | F.contains(text, F.lit(word))
+    for i, word in enumerate(needed):
+        test = F.contains(text, F.lit(word))
+        hit = hit | test if i else test
     return hit

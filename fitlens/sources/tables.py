@@ -13,14 +13,22 @@ PARTITIONED = {"rankings": "profile_version", "granular_scores": "profile_versio
 DERIVED = ("clean_postings", "job_embeddings", "profile_embeddings", "rankings", "granular_scores")
 
 
+SMALL_BYTES_PER_CORE = 4 << 20
+BYTES_PER_SLICE = 128 << 10
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a plain scan has fewer splits than the session has cores.
+    """Rows over all cores when a plain scan is small and has fewer splits than cores.
 
     A small file in one row group would otherwise keep one core busy. A scan with enough
-    splits is left alone, so no large input is ever shuffled for this."""
+    splits, or one of more than a few MB per core, is left alone: no large input is ever
+    shuffled for this."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    execution = df._jdf.queryExecution()
+    size = int(str(execution.optimizedPlan().stats().sizeInBytes()))
+    if size > cores * SMALL_BYTES_PER_CORE or execution.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(max(1, min(cores, size // BYTES_PER_SLICE)))
 
 
 class Store:

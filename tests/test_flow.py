@@ -175,10 +175,13 @@ def test_stream_picks_up_only_new_files(spark, tmp_path, folder):
 
 
 def test_spread_leaves_wide_scans_alone(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert spread(docs).rdd.getNumPartitions() == cores
     wide = spark.range(100, numPartitions=50)
     assert spread(wide) is wide
+    large = spark.range(cores * (4 << 20), numPartitions=1)
+    assert spread(large) is large
 
 
 def test_scoring_without_a_full_description(spark):

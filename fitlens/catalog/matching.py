@@ -11,7 +11,7 @@ from fitlens.functions import tags
 from fitlens.functions.vectors import cosine, embed_text
 from fitlens.operators.evaluate import composite, good_fit, ranking_quality, weight_grid
 from fitlens.operators.match import OVERALL, explode_matches, match_profile
-from fitlens.operators.rows import each_item
+from fitlens.operators.rows import each_item, small_side
 from fitlens.operators.rank import global_rank, top_rows
 from fitlens.plans.score import rank_postings, score_postings
 from fitlens.sources.exports import summary
@@ -65,7 +65,7 @@ def hashed_embedding(spark, sf):
 def cosine_pairs(spark, sf):
     vectors = _embeddings(spark, sf)
     own = _mean_vectors(vectors, "label").withColumnRenamed("embedding", "centre")
-    return vectors.join(own, "label").select("vec_id", F.round(cosine("embedding", "centre"), 6).alias("similarity"))
+    return vectors.join(small_side(own, 10_000), "label").select("vec_id", F.round(cosine("embedding", "centre"), 6).alias("similarity"))
 
 
 def overall_similarity(spark, sf):
@@ -116,7 +116,7 @@ def _component_scores(spark, sf):
     own = _mean_vectors(vectors, "label").withColumnRenamed("embedding", "centre")
     scored = match_profile(vectors, _overall_profile(vectors), 1, vector="embedding", id_cols=["vec_id"]).select(
         "vec_id", F.round("overall_similarity", 9).alias("overall"))
-    return vectors.join(own, "label").select("vec_id", F.round(cosine("embedding", "centre"), 9).alias("own")).join(scored, "vec_id")
+    return vectors.join(small_side(own, 10_000), "label").select("vec_id", F.round(cosine("embedding", "centre"), 9).alias("own")).join(scored, "vec_id")
 
 
 def fit_flag(spark, sf):

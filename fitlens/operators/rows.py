@@ -1,4 +1,4 @@
-"""One row per array element."""
+"""One row per array element, and small join sides."""
 
 from __future__ import annotations
 
@@ -14,3 +14,11 @@ def each_item(df: DataFrame, array: Column | str, keep, item: str = "item", pos:
     below a repartition. The outer form does not, and its padding row is dropped after."""
     rows = df.select(*keep, F.posexplode_outer(array).alias(pos, item))
     return rows.filter(F.col(pos).isNotNull())
+
+
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """The frame with a broadcast hint if it has at most ``max_rows`` rows, else unchanged.
+
+    For a join on a key that few values share among most rows: shuffling on it would send
+    those rows to few tasks. The count stops at the bound and reads no other column."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

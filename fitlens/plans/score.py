@@ -12,6 +12,7 @@ from fitlens.lexicon import DEFAULT_LEXICON, SECTION_TOP_N, Lexicon
 from fitlens.operators.evaluate import composite
 from fitlens.operators.match import explode_matches, match_profile
 from fitlens.operators.rank import global_rank
+from fitlens.operators.rows import small_side
 from fitlens.sources.profile import technical_skills_text
 
 
@@ -41,7 +42,8 @@ def score_postings(raw: DataFrame, clean: DataFrame, job_embeddings: DataFrame,
     meta = raw.select("job_id", "company", "job_title", "location", "job_url", "date_posted")
     # The inner join with the clean table is both the lookup of the skills and the filter
     # for processed postings.
-    df = matched.join(job_skills, "job_id").join(meta, "job_id").join(skills, "profile_version", "left")
+    df = matched.join(job_skills, "job_id").join(meta, "job_id").join(
+        small_side(skills), "profile_version", "left")
     known = F.coalesce("_profile_skills", F.array().cast("array<string>"))
     df = df.withColumn("matched_skills", tags.matched_skills("_job_skills", known))
     df = df.withColumn("missing_skills", tags.missing_skills("_job_skills", known))
@@ -71,7 +73,7 @@ def granular_scores(job_embeddings: DataFrame, profile_embeddings: DataFrame,
         "profile_version", "ordinal", tags.extracted_skills("text", "entities", lexicon).alias("extracted_skills"),
         "entities", tags.action_verbs("_words", lexicon.verbs).alias("action_verbs"),
         tags.domain_tags("text", lexicon.tag_domains).alias("domain_tags"))
-    return rows.join(content, ["profile_version", "ordinal"]).select(
+    return rows.join(small_side(content, 10_000), ["profile_version", "ordinal"]).select(
         "job_id", "profile_version", F.col("section").alias("section_name"),
         F.col("subsection").alias("subsection_name"), "content_type", F.col("text").alias("content_text"),
         "extracted_skills", "entities", "action_verbs", "domain_tags",

@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fitlens.llm import mixing, outliers
+from fitlens.llm import langid, mixing, outliers, tokens
 from fitlens.llm.common import table
 
 
+def vocabulary(name: str = "piece_bpe_32k.model") -> str:
+    """Path of a public vocabulary file of the machine; none is part of this repository."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_piece_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -16,7 +27,13 @@ def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_verdicts(table(spark, sf_dir, "documents")).drop("distance")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES = {
+    "op5_piece_languages": (op5_piece_languages, None),
     "op6_mix_sources": (op6_mix_sources, mixing.SQL),
     "op7_robust_outliers": (op7_robust_outliers, None),
+    "op9_token_counts": (op9_token_counts, None),
 }

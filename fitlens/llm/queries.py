@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fitlens.llm import langid, mixing, outliers, simhash, tokens
+from fitlens.llm import langid, mixing, outliers, simhash, tiling, tokens
 from fitlens.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_piece_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -37,6 +41,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_vantage_simhash": (op2_vantage_simhash, None),
+    "op4_string_tiling": (op4_string_tiling, None),
     "op5_piece_languages": (op5_piece_languages, None),
     "op6_mix_sources": (op6_mix_sources, mixing.SQL),
     "op7_robust_outliers": (op7_robust_outliers, None),

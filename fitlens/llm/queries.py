@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fitlens.llm import langid, mixing, outliers, simhash, tiling, tokens
+from fitlens.llm import langid, lines, mixing, outliers, simhash, tiling, tokens
 from fitlens.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_vantage_simhash": (op2_vantage_simhash, None),
     "op4_string_tiling": (op4_string_tiling, None),
@@ -46,4 +50,5 @@ QUERIES = {
     "op6_mix_sources": (op6_mix_sources, mixing.SQL),
     "op7_robust_outliers": (op7_robust_outliers, None),
     "op9_token_counts": (op9_token_counts, None),
+    "op10_segment_line_dedup": (op10_segment_line_dedup, None),
 }

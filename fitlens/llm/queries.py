@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fitlens.llm import langid, lines, mixing, outliers, simhash, tiling, tokens
+from fitlens.llm import langid, lines, mixing, outliers, simhash, suffixes, tiling, tokens
 from fitlens.llm.common import table
 
 
@@ -35,6 +36,11 @@ def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_verdicts(table(spark, sf_dir, "documents")).drop("distance")
 
 
+def op8_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.without_repeats(table(spark, sf_dir, "documents"), keep_first=False)
+    return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -49,6 +55,7 @@ QUERIES = {
     "op5_piece_languages": (op5_piece_languages, None),
     "op6_mix_sources": (op6_mix_sources, mixing.SQL),
     "op7_robust_outliers": (op7_robust_outliers, None),
+    "op8_longest_previous_factors": (op8_longest_previous_factors, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_segment_line_dedup": (op10_segment_line_dedup, None),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlens.llm import langid, lines, mixing, outliers, simhash, suffixes, tiling, tokens
+from fitlens.llm import langid, lines, mixing, outliers, pages, simhash, suffixes, tiling, tokens, urls
 from fitlens.llm.common import table
 
 
@@ -16,10 +16,19 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    site = table(spark, sf_dir, "pages", "page_id", "url")
+    return urls.judge(site, urls.labelled_urls(site, table(spark, sf_dir, "labels")))
+
+
 def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +59,9 @@ def op10_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_style_tree_text": (op1_style_tree_text, None),
     "op2_vantage_simhash": (op2_vantage_simhash, None),
+    "op3_boosted_url_filter": (op3_boosted_url_filter, None),
     "op4_string_tiling": (op4_string_tiling, None),
     "op5_piece_languages": (op5_piece_languages, None),
     "op6_mix_sources": (op6_mix_sources, mixing.SQL),

@@ -24,6 +24,8 @@ SUPPORT, STEPS, CUTOFF = 0.5, 4, 42.0
 #: have statistics that are zero throughout their nearest half; without a floor, any other
 #: value would be infinitely far away.
 FLOORS = (0.1, 0.25, 0.05, 0.08)
+GROUPS = ("lang", "source")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Distances are ranked in bins of this many to a unit of their logarithm.
 BINS = 50
 
@@ -129,14 +131,11 @@ def _with_shape(rows: DataFrame, shape: DataFrame, groups, k: int) -> DataFrame:
     return joined.select("r.*", *[F.col(f"s.{c}") for c in keep])
 
 
-def robust_distance(rows: DataFrame, groups, k: int, floors=FLOORS, support: float = SUPPORT,
-                    steps: int = STEPS) -> DataFrame:
-    """``rows`` (with ``x0..``, ``weighs`` and group columns) with ``distance``, the squared robust
-    Mahalanobis distance within the group. Only rows that ``weigh`` shape the estimate.
+def estimate(base: DataFrame, groups, k: int, floors=FLOORS, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
+    """Centre and shape (``m0..``, ``l00..``) of each group of ``base`` (``x0..`` and group columns).
 
     Every step is an aggregate by group, summed up in the tasks before the shuffle, so the size
     of a group does not matter. The nearest rows are found by counting binned distances."""
-    base = rows.filter("weighs")
     start = base.groupBy(*groups).agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(k)])
     spread = start.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(k) for j in range(i + 1)})
     shape = _factor(spread, k, floors)
@@ -162,21 +161,35 @@ def robust_distance(rows: DataFrame, groups, k: int, floors=FLOORS, support: flo
             for i in range(k) for j in range(i + 1)}), k, floors)
         shape = written(shape.select(*groups, *[f"m{i}" for i in range(k)],
                                      *[f"l{i}{j}" for i in range(k) for j in range(i + 1)]))
-    return _with_shape(rows, shape, groups, k).withColumn("distance", _distance(k))
+    return shape
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return base_counts(docs).withColumns({f"x{i}": x for i, x in enumerate(_statistics())})
+
+
+def _judged(rows: DataFrame, shape: DataFrame, cutoff: float) -> DataFrame:
+    """``rows`` with ``distance``, the squared robust Mahalanobis distance, and ``kept``."""
+    far = _with_shape(rows, shape, GROUPS, len(FLOORS)).withColumn("distance", _distance(len(FLOORS)))
+    return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
 
 
-def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id`` and ``carry``, the base counts, ``base_failed``, ``distance`` and ``kept`` for every row of
-    ``docs`` (``doc_id, text, lang, source``; other columns are ignored).
+def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """``doc_id``, the base counts, ``base_failed``, ``distance`` and ``kept`` for every row of ``docs``
+    (``doc_id, text, lang, source``; other columns are ignored).
 
     Null languages and sources are groups of their own. A null or empty text fails the base
     rules. Rows that fail the base rules do not shape the estimate of their group; where all of
     a group fail there is none, and distance is null. Equal rows get equal verdicts."""
-    columns = list(dict.fromkeys(["doc_id", "lang", "source", *carry]))
-    counted = base_counts(docs.select(*columns, "text")).drop("text")
-    rows = written(counted.withColumns({f"x{i}": x for i, x in enumerate(_statistics())}).withColumn(
-        "weighs", ~F.col("base_failed")))
-    far = robust_distance(rows, ("lang", "source"), len(FLOORS))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
-    return far.select(*dict.fromkeys(["doc_id", *carry]), "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                      "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+    rows = written(_measured(docs.select("doc_id", "text", *GROUPS)).drop("text"))
+    judged = _judged(rows, estimate(rows.filter("NOT base_failed"), GROUPS, len(FLOORS)), cutoff)
+    return judged.select("doc_id", *COUNTS, "base_failed", "distance", "kept")
+
+
+def kept_documents(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality_verdicts`` keeps. The counts are taken
+    twice, once for the estimate and once for the verdict, so that no text is written or shuffled."""
+    narrow = written(_measured(docs.select("text", *GROUPS)).drop("text").filter("NOT base_failed"))
+    shape = estimate(narrow, GROUPS, len(FLOORS))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select("_row", "_row.text", *[f"_row.{g}" for g in GROUPS])
+    return _judged(_measured(rows), shape, cutoff).filter("kept").select("_row.*")

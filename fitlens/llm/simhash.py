@@ -226,17 +226,37 @@ def close_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return grouped.mapInArrow(search, "a long, b long").distinct()
 
 
+def _classes(each: DataFrame, max_bits: int) -> DataFrame:
+    """``fp, root`` for every distinct fingerprint: ``root`` names its component."""
+    distinct = written(each.select("fp").distinct())
+    found = written(components(close_links(distinct, max_bits)))
+    return distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs`` (``doc_id, text``; other columns
     are ignored). Fingerprints link at ``max_bits`` or fewer differing bits; ``component_id`` is
     the smallest id that links reach. A null or empty text has fingerprint zero and links like
     any other. Rows without id form components but do not name them, unless no row has one."""
     each = written(fingerprints(docs))
-    distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = written(components(close_links(distinct, max_bits)))
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = _classes(each, max_bits)
+    least = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = written(classes.join(least, "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
     return each.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay when each component keeps one: the one of
+    the smallest id (null last). Of rows equal in id and text one stays."""
+    key = F.xxhash64("doc_id", "text")
+    each = written(fingerprints(docs.select("doc_id", "text", key.alias("_key")), ("doc_id", "_key")))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    by_fp = each.groupBy("fp").agg(F.min(first).alias("first"))
+    winners = _classes(each, max_bits).join(by_fp, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    winners = winners.select(F.col("first.doc_id").alias("_id"), F.col("first._key").alias("_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own"), key.alias("_hash"))
+    kept = rows.join(winners, (F.col("_hash") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["_own", "_hash"]).select("_row.*")

@@ -171,7 +171,10 @@ def _measured(docs: DataFrame) -> DataFrame:
 def _judged(rows: DataFrame, shape: DataFrame, cutoff: float) -> DataFrame:
     """``rows`` with ``distance``, the squared robust Mahalanobis distance, and ``kept``."""
     far = _with_shape(rows, shape, GROUPS, len(FLOORS)).withColumn("distance", _distance(len(FLOORS)))
-    return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
+    # One expression, not a conjunction: Spark would push the first part of that below the join and
+    # take the counts a second time there.
+    return far.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(
+        F.coalesce(F.col("distance") <= cutoff, F.lit(True))))
 
 
 def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

@@ -374,14 +374,14 @@ def without_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_char
     """``docs`` with all columns, its texts without the lines that ``removed_lines`` removes, ``n_chars``,
     where there is one, the length of what is left. A document that loses every line goes with
     them; one that had none stays as it is."""
-    gone = removed_lines(docs, threshold, min_chars).alias("r")
-    rows = _with_key(docs).alias("d")
-    joined = rows.join(gone, F.col("d._key").eqNullSafe(F.col("r._key")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), "left")
-    left = F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i))
-    text = F.when(F.col("removed").isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n"))
-    rest = F.col("removed").isNull() | (F.length(F.regexp_replace(text, SPACE + "+", "")) > 0)
+    gone = removed_lines(docs, threshold, min_chars).select(F.col("doc_id").alias("_id"), "_key", "removed")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("doc_id", "text").alias("_own"))
+    joined = rows.join(gone, (F.col("_own") == F.col("_key")) & F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left")
+    left = F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i))
+    untouched = F.col("removed").isNull()
+    text = F.when(untouched, F.col("_row.text")).otherwise(F.array_join(left, "\n"))
     new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("removed").isNull(), F.col("d.n_chars")).otherwise(
-            F.length(text).cast(docs.schema["n_chars"].dataType))
-    return joined.filter(rest).select(*[new[c].alias(c) if c in new else F.col(f"d.`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(untouched, F.col("_row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    rest = untouched | (F.length(F.regexp_replace(text, SPACE + "+", "")) > 0)
+    return joined.filter(rest).select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -49,11 +49,12 @@ def _benchmark_profile(spark, sf):
         F.lit("items").alias("profile_version"), (F.col("item_id") + 1).cast("int").alias("ordinal"),
         F.element_at(F.array(*[F.lit(s) for s in PER_SECTION]), (F.col("item_id") % 3 + 1).cast("int")).alias("section"),
         F.lit(None).cast("string").alias("subsection"), F.lit("content").alias("content_type"),
-        F.substring("text", 1, lx.STORED_TEXT_CHARS).alias("text"), embed_text("text", dim=DIM).alias("embedding"))
+        F.substring("text", 1, lx.STORED_TEXT_CHARS).alias("text"), F.col("text").alias("full_text"),
+        embed_text("text", dim=DIM).alias("embedding"))
     whole = _mean_vectors(items).select(
         F.lit("items").alias("profile_version"), F.lit(0).alias("ordinal"), F.lit(OVERALL).alias("section"),
         F.lit(None).cast("string").alias("subsection"), F.lit("full_resume").alias("content_type"),
-        F.lit("").alias("text"), F.col("embedding").cast("array<float>").alias("embedding"))
+        F.lit("").alias("text"), F.lit("").alias("full_text"), F.col("embedding").cast("array<float>").alias("embedding"))
     return items.unionByName(whole)
 
 
@@ -70,7 +71,7 @@ def cosine_pairs(spark, sf):
 
 def overall_similarity(spark, sf):
     vectors = _embeddings(spark, sf)
-    scored = match_profile(vectors, _overall_profile(vectors), 1, id_cols=["vec_id"])
+    scored = match_profile(vectors, _overall_profile(vectors), 1)
     return scored.select("vec_id", F.round("overall_similarity", 6).alias("similarity"))
 
 
@@ -87,7 +88,7 @@ def topk_per_section(spark, sf):
 
 def _overall_scores(spark, sf):
     vectors = _embeddings(spark, sf)
-    scored = match_profile(vectors, _overall_profile(vectors), 1, id_cols=["vec_id"])
+    scored = match_profile(vectors, _overall_profile(vectors), 1)
     return scored.select("vec_id", "label", "overall_similarity").withColumn("composite_score", composite())
 
 
@@ -106,7 +107,7 @@ def multi_profile_rank(spark, sf):
     profiles = _mean_vectors(vectors, "label").select(
         F.concat(F.lit("v"), F.col("label")).alias("profile_version"), F.lit(0).alias("ordinal"),
         F.lit(OVERALL).alias("section"), "embedding")
-    scored = match_profile(vectors.select("vec_id", "embedding"), profiles, 1, id_cols=["vec_id"])
+    scored = match_profile(vectors.select("vec_id", "embedding"), profiles, 1)
     ranked = global_rank(scored.drop("matches"), [F.desc("overall_similarity"), "vec_id"], group=["profile_version"])
     return ranked.select("profile_version", "vec_id", "rank", F.round("overall_similarity", 6).alias("score"))
 
@@ -114,7 +115,7 @@ def multi_profile_rank(spark, sf):
 def _component_scores(spark, sf):
     vectors = _embeddings(spark, sf)
     own = _mean_vectors(vectors, "label").withColumnRenamed("embedding", "centre")
-    scored = match_profile(vectors, _overall_profile(vectors), 1, vector="embedding", id_cols=["vec_id"]).select(
+    scored = match_profile(vectors, _overall_profile(vectors), 1, vector="embedding").select(
         "vec_id", F.round("overall_similarity", 9).alias("overall"))
     return vectors.join(small_side(own, 10_000), "label").select("vec_id", F.round(cosine("embedding", "centre"), 9).alias("own")).join(scored, "vec_id")
 
@@ -197,7 +198,7 @@ whole AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(v) AS m FROM u GROU
 _COMPONENTS = f"""WITH {_CENTRES}, sc AS (SELECT vec_id, round({_cos('x.e', 'own.c')}, 9) AS own, round({_cos('x.e', 'whole.c')}, 9) AS overall
     FROM x JOIN own USING (label) CROSS JOIN whole)"""
 _RANKED = f"""WITH {KEYWORDS}, pw(k, i) AS (VALUES {PROFILE_WORDS}), {_PROFILE_CHECK}, {_keywords('documents', 'text', 'doc_id', 'h')},
-known AS (SELECT k FROM pw, benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark WHERE item_id % 3 = 0) AND contains(lower(substr(text, 1, 500)), k)),
+known AS (SELECT k FROM pw, benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark WHERE item_id % 3 = 0) AND contains(lower(text), k)),
 m AS (SELECT doc_id, count(*) FILTER (lower(w) IN (SELECT k FROM known)) AS hit, count(*) AS n FROM h GROUP BY 1),
 best AS (SELECT job_id, string_agg(ordinal::VARCHAR, '|' ORDER BY rn) AS best FROM (
     SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY s DESC, ordinal) AS rn FROM sim) WHERE rn <= 5 GROUP BY 1),

@@ -84,7 +84,7 @@ def dedup_keep_first(spark, sf):
 
 def dedup_exact_text(spark, sf):
     docs = load(spark, sf, "documents").select("doc_id", "text", "source")
-    return dedup.keep_first(docs, ["doc_id"], ["text"]).select("doc_id", "source")
+    return dedup.keep_first_text(docs, "text", "doc_id").select("doc_id", "source")
 
 
 def dedup_ignore_case(spark, sf):

@@ -138,10 +138,11 @@ def activity_type(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Col
 
 
 def classified_qualifications(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON,
-                              markers: str = MARKERS) -> Column:
-    """Array of ``{text, skill_type, kind}`` for one qualifications section."""
+                              markers: str = MARKERS, context_chars: int | None = CONTEXT_CHARS) -> Column:
+    """Array of ``{text, skill_type, kind}`` for one qualifications section. Each item is classified
+    together with the first ``context_chars`` characters of the section, None for all of it."""
     text = _as_column(text)
-    context = F.lower(F.substring(text, 1, CONTEXT_CHARS))
+    context = F.lower(text if context_chars is None else F.substring(text, 1, context_chars))
     return let(context, lambda ctx: F.transform(
         F.transform(bullets(text, markers), lambda b: F.struct(b.alias("raw"), F.lower(b).alias("low"))),
         lambda p: F.struct(

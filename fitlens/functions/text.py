@@ -54,7 +54,11 @@ def _decode_reference(ref: Column) -> Column:
     """One character reference to its text; an unknown name keeps its ampersand."""
     body = F.regexp_replace(ref, r"\A&|;\z", "")
     hexa = F.lower(F.substring(body, 2, 1)) == "x"
-    digits = F.when(hexa, F.conv(F.substring(body, 3, 16), 16, 10)).otherwise(F.substring(body, 2, 18))
+    # A number may have any count of leading zeros; one of more digits than these is too large
+    # to be a character.
+    number = F.regexp_replace(body, r"\A#[xX]?0*", "")
+    digits = F.when(F.length(number) > F.when(hexa, 8).otherwise(10), "9999999").when(
+        hexa, F.conv(number, 16, 10)).otherwise(F.when(number == "", "0").otherwise(number))
     code = digits.try_cast("bigint")
     windows = F.array(*[F.lit(bytes([i]).decode("cp1252", "replace")) for i in range(128, 160)])
     valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)

@@ -24,6 +24,15 @@ def keep_first(df: DataFrame, order: Sequence[Column | str], key: Sequence[Colum
     return df.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")
 
 
+def keep_first_text(df: DataFrame, text: str, order: str) -> DataFrame:
+    """The row with the smallest ``order`` for each distinct text, without sorting or shuffling
+    texts: they are compared by a 256-bit hash, and tasks sum up their rows before the shuffle.
+    Null is a text of its own."""
+    rest = F.struct(order, *[c for c in df.columns if c not in (text, order)])
+    kept = df.groupBy(F.sha2(F.col(text), 256).alias("_hash")).agg(F.min_by(rest, order).alias("_row"))
+    return kept.select("_row.*")
+
+
 def only_new(incoming: DataFrame, existing: DataFrame, key: Sequence[str] = NATURAL_KEY) -> DataFrame:
     """Incoming rows whose key the existing table lacks. Only key columns of the existing
     table are read. Null keys never count as known."""

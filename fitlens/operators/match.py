@@ -11,25 +11,26 @@ result, one shuffle, and only the best rows of each block leave a task.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fitlens.operators.rows import each_item
+from fitlens.session import ensure_checkpoint_dir
 
 OVERALL = "overall_resume"
 MAX_PROFILE_ROWS = 4096
-JOBS_PER_GROUP = 20_000
+JOBS_PER_GROUP = 5_000
 _CELLS = 4_000_000
+_OUTPUT_BYTES = 32 << 20
 _META = ("section", "subsection", "content_type", "text")
 _META_DDL = ",".join(f"{c}:string" for c in _META)
 _MATCH_DDL = f"struct<ordinal:int,{_META_DDL},similarity:double>"
-_RESULT_DDL = (f"array<struct<profile_version:string,overall_similarity:double,"
-               f"matches:array<{_MATCH_DDL}>>>")
 
 
 def _matrix(vectors: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -56,12 +57,13 @@ class _Profile:
     rows: pa.Table
     top_n: int
     per_section: Mapping[str, int] | None
+    dim: int = 0
 
     def __post_init__(self):
         order = np.lexsort((np.asarray(self.rows["ordinal"]),
                             np.asarray(self.rows["profile_version"].to_pylist(), dtype=str)))
         rows = self.rows.take(pa.array(order)).combine_chunks()
-        self.unit = _matrix(rows["embedding"])
+        self.unit = _matrix(rows["embedding"], self.dim) if self.dim else np.zeros((len(order), 0))
         meta = {"ordinal": rows["ordinal"].cast(pa.int32()).combine_chunks()}
         for name in _META:
             column = rows[name].combine_chunks() if name in rows.column_names else None
@@ -83,7 +85,8 @@ class _Profile:
     def best(self, vectors: pa.Array):
         """Per chunk of rows and profile version: overall similarities (or None) and the
         picked profile rows with their similarities, best first."""
-        jobs = _matrix(vectors, self.unit.shape[1])
+        # A profile without any vector is similar to nothing.
+        jobs = _matrix(vectors, self.dim) if self.dim else np.zeros((len(vectors), 0))
         present = np.asarray(vectors.is_valid())
         step = max(1, _CELLS // max(len(self.unit), 1))
         for at in range(0, len(jobs), step):
@@ -100,6 +103,12 @@ class _Profile:
                 yield (version, at, present[at:at + step], whole, picked,
                        np.take_along_axis(sims, picked, axis=1))
 
+    def bytes_per_row(self) -> int:
+        """About the most bytes that the matches of one posting take."""
+        texts = [sum(len(v) for v in row if v) for row in zip(*(self.meta[m].to_pylist() for m in _META))]
+        picked = sum(min(n, len(c)) for *_, picks in self.groups for c, n in picks)
+        return (picked + len(self.groups)) * (32 + 4 * max(texts, default=0))
+
     def match_struct(self, picked: np.ndarray, sims: np.ndarray) -> pa.StructArray:
         flat = pa.array(picked.reshape(-1))
         arrays = [self.meta["ordinal"].take(flat), *[self.meta[m].take(flat) for m in _META],
@@ -116,8 +125,10 @@ def _bounded(profile: DataFrame, limit: int) -> pa.Table | None:
 
 def match_profile(jobs: DataFrame, profile: DataFrame, top_n: int = 5,
                   per_section: Mapping[str, int] | None = None, vector: str = "embedding",
-                  id_cols: Sequence[str] = ("job_id",), max_profile_rows: int = MAX_PROFILE_ROWS) -> DataFrame:
-    """One row per posting and profile version with ``overall_similarity`` and ``matches``.
+                  max_profile_rows: int = MAX_PROFILE_ROWS) -> DataFrame:
+    """One row per posting and profile version with ``overall_similarity`` and ``matches``, whether or
+    not postings have ids and whether these differ. ``overall_similarity`` is that of the overall
+    row with the smallest ordinal.
 
     ``matches`` holds the ``top_n`` profile rows by cosine similarity, ties in profile
     order. With ``per_section`` it holds the best n rows of every named section instead.
@@ -126,22 +137,35 @@ def match_profile(jobs: DataFrame, profile: DataFrame, top_n: int = 5,
     """
     if "profile_version" not in profile.columns:
         profile = profile.withColumn("profile_version", F.lit("default"))
+    dim = _dimension(profile)
     rows = _bounded(profile, max_profile_rows)
     if rows is None:
-        return _match_blocks(jobs, profile, top_n, per_section, vector, id_cols, max_profile_rows)
+        return _match_blocks(jobs, profile, top_n, per_section, vector, max_profile_rows, dim)
     if rows.num_rows == 0:
         raise ValueError("the profile has no rows")
-    packed = _Profile(rows, top_n, per_section)
+    packed = _Profile(rows, top_n, per_section, dim)
+    others = [c for c in jobs.columns if c != vector]
+    found = T.StructType.fromDDL(f"profile_version string, overall_similarity double, matches array<{_MATCH_DDL}>")
+    # Rows whose results, texts included, are written at once.
+    step = max(1, _OUTPUT_BYTES // packed.bytes_per_row())
 
-    @F.arrow_udf(_RESULT_DDL)
-    def score(vectors: pa.Array) -> pa.Array:
-        return _score_batch(packed, vectors)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in [*others, vector]}
+            for at in range(0, batch.num_rows, step):
+                lists = _score_batch(packed, columns[vector].slice(at, step))
+                row = pa.array(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())) + at)
+                yield pa.RecordBatch.from_arrays(
+                    [*(columns[c].take(row) for c in others), *lists.flatten().flatten()],
+                    [*others, "profile_version", "overall_similarity", "matches"])
+
+    return jobs.select(*others, vector).mapInArrow(score, T.StructType([*[jobs.schema[c] for c in others], *found.fields]))
 
-    others = [c for c in jobs.columns if c != vector]
-    return (
-        each_item(jobs.withColumn("_scores", score(F.col(vector))), "_scores", others, "_s", "_i")
-        .select(*others, "_s.profile_version", "_s.overall_similarity", "_s.matches")
-    )
+
+def _dimension(profile: DataFrame) -> int:
+    """Length of the profile's vectors, 0 if it has none."""
+    first = profile.filter(F.col("embedding").isNotNull()).select(F.size("embedding")).limit(1).collect()
+    return first[0][0] if first else 0
 
 
 def _score_batch(packed: _Profile, vectors: pa.Array) -> pa.Array:
@@ -174,13 +198,17 @@ def _score_batch(packed: _Profile, vectors: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, stacked.take(interleave))
 
 
-def _match_blocks(jobs, profile, top_n, per_section, vector, id_cols, max_rows) -> DataFrame:
+def _match_blocks(jobs, profile, top_n, per_section, vector, max_rows, dim) -> DataFrame:
     """The exact match for a profile that does not fit one task.
 
     Profile rows hash into blocks of about half the bound, postings into salts of bounded
     size. Every (block, salt) cell is one group; it emits its best rows only, and the best
-    of those bests is the overall best."""
-    id_cols = list(id_cols)
+    of those bests is the overall best. A posting is known by a number of its row, given
+    before the split, so equal and null ids stay apart."""
+    ensure_checkpoint_dir(jobs.sparkSession)
+    jobs = jobs.withColumn("_posting", F.monotonically_increasing_id()).checkpoint(eager=True)
+    others = [c for c in jobs.columns if c not in (vector, "_posting")]
+    id_cols = ["_posting"]
     blocks = max(2, math.ceil(2 * profile.count() / max_rows))
     salts = max(1, math.ceil(jobs.count() / JOBS_PER_GROUP))
     hash_of = lambda cols, n: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
@@ -195,12 +223,13 @@ def _match_blocks(jobs, profile, top_n, per_section, vector, id_cols, max_rows)
     )
     ids = [jobs.schema[c] for c in id_cols]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in ids],
-                        "profile_version string", "overall_similarity double", f"match {_MATCH_DDL}"])
+                        "profile_version string", "overall_ordinal int", "overall_similarity double", f"match {_MATCH_DDL}"])
 
     def cell(jobs_part: pa.Table, profile_part: pa.Table) -> pa.Table:
         out = []
         if jobs_part.num_rows and profile_part.num_rows:
-            packed = _Profile(profile_part, top_n, per_section)
+            packed = _Profile(profile_part, top_n, per_section, dim)
+            first = {version: overall for version, overall, _ in packed.groups}
             vectors = jobs_part["embedding"].combine_chunks()
             for version, at, present, whole, picked, sims in packed.best(vectors):
                 size = picked.shape[1]
@@ -211,6 +240,7 @@ def _match_blocks(jobs, profile, top_n, per_section, vector, id_cols, max_rows)
                     out.append(pa.table({
                         **{c: jobs_part[c].take(take) for c in id_cols},
                         "profile_version": pa.array([version] * len(take), pa.string()),
+                        "overall_ordinal": pa.nulls(len(take), pa.int32()),
                         "overall_similarity": pa.nulls(len(take), pa.float64()),
                         "match": packed.match_struct(picked[present], sims[present])}))
                 base = pa.array(np.arange(at, at + len(present)))
@@ -219,6 +249,8 @@ def _match_blocks(jobs, profile, top_n, per_section, vector, id_cols, max_rows)
                 out.append(pa.table({
                     **{c: jobs_part[c].take(base) for c in id_cols},
                     "profile_version": pa.array([version] * len(present), pa.string()),
+                    "overall_ordinal": (pa.nulls(len(present), pa.int32()) if whole is None else
+                                        packed.meta["ordinal"].take(pa.array(np.repeat(first[version], len(present))))),
                     "overall_similarity": value,
                     "match": pa.nulls(len(present), packed.match_struct(
                         np.zeros((0,), int), np.zeros((0,))).type)}))
@@ -249,12 +281,12 @@ def _match_blocks(jobs, profile, top_n, per_section, vector, id_cols, max_rows)
         ranked = ranked.filter(F.col("_rk") <= limit)
     gathered = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(
         F.struct(place.alias("p"), F.col("_rk").alias("r"), F.col("match").alias("m")))).alias("_m"))
-    overall = cells.groupBy(*key).agg(F.coalesce(F.max("overall_similarity"), F.lit(0.0)).alias("overall_similarity"))
+    overall = cells.groupBy(*key).agg(F.coalesce(
+        F.min_by("overall_similarity", "overall_ordinal"), F.lit(0.0)).alias("overall_similarity"))
     result = overall.join(gathered, key, "left").select(
         *key, "overall_similarity",
         F.coalesce(F.transform("_m", lambda x: x["m"]), F.array().cast(f"array<{_MATCH_DDL}>")).alias("matches"))
-    others = [c for c in jobs.columns if c != vector]
-    return jobs.select(*others).join(result, id_cols).select(
+    return jobs.select(*others, "_posting").join(result, id_cols).select(
         *others, "profile_version", "overall_similarity", "matches")
 
 
@@ -262,7 +294,7 @@ def _empty_cells(jobs_part: pa.Table, id_cols: Sequence[str]) -> pa.Table:
     match = pa.struct([("ordinal", pa.int32()), *[(m, pa.string()) for m in _META], ("similarity", pa.float64())])
     return pa.table({
         **{c: jobs_part[c].slice(0, 0) for c in id_cols}, "profile_version": pa.array([], pa.string()),
-        "overall_similarity": pa.array([], pa.float64()), "match": pa.array([], match)})
+        "overall_ordinal": pa.array([], pa.int32()), "overall_similarity": pa.array([], pa.float64()), "match": pa.array([], match)})
 
 
 def explode_matches(scored: DataFrame, id_cols: Sequence[str] = ("job_id",)) -> DataFrame:

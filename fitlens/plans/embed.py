@@ -52,8 +52,8 @@ def embed_sections(sections: DataFrame, embed=None, dim: int = DEFAULT_DIM) -> D
 
 
 def embed_profiles(profiles: DataFrame, embed=None, dim: int = DEFAULT_DIM) -> DataFrame:
-    """Vectors of all rows of the profiles."""
+    """Vectors of all rows of the profiles, the text cut for display and whole."""
     return profile_rows(profiles).select(
         "profile_version", "ordinal", "section", "subsection", "content_type",
-        F.substring("text", 1, STORED_TEXT_CHARS).alias("text"),
+        F.substring("text", 1, STORED_TEXT_CHARS).alias("text"), F.col("text").alias("full_text"),
         embed_text("text", embed, dim).alias("embedding"))

@@ -67,7 +67,7 @@ def granular_scores(job_embeddings: DataFrame, profile_embeddings: DataFrame,
     """The best rows of every profile section for every posting, with tags of their text."""
     matched = match_profile(full_vectors(job_embeddings), profile_embeddings, per_section=per_section)
     rows = explode_matches(matched)
-    content = profile_embeddings.select("profile_version", "ordinal", "text")
+    content = profile_embeddings.select("profile_version", "ordinal", F.col("full_text").alias("text"))
     content = content.withColumn("_words", tags.tokens("text"))
     content = content.withColumn("entities", tags.entity_map("_words", lexicon.entities)).select(
         "profile_version", "ordinal", tags.extracted_skills("text", "entities", lexicon).alias("extracted_skills"),

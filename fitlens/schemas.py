@@ -32,7 +32,7 @@ JOB_EMBEDDINGS = (
 
 PROFILE_EMBEDDINGS = (
     "profile_version string, ordinal int, section string, subsection string, "
-    "content_type string, text string, embedding array<float>"
+    "content_type string, text string, full_text string, embedding array<float>"
 )
 
 RANKINGS = (

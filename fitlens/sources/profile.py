@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlens.lexicon import STORED_TEXT_CHARS
 from fitlens.operators.match import OVERALL
 from fitlens.operators.rows import each_item
 
@@ -75,8 +74,8 @@ def profile_rows(profiles: DataFrame, stored_chars: int | None = None) -> DataFr
 
 
 def technical_skills_text(embedded: DataFrame, section: str = "TechnicalSkills") -> DataFrame:
-    """``profile_version, text``: the first row of the skills section of each version."""
+    """``profile_version, text``: the whole first row of the skills section of each version."""
     return (
         embedded.filter(F.col("section") == section).groupBy("profile_version")
-        .agg(F.min_by(F.substring("text", 1, STORED_TEXT_CHARS), "ordinal").alias("text"))
+        .agg(F.min_by("full_text", "ordinal").alias("text"))
     )

@@ -77,7 +77,39 @@ def test_match_is_narrow(spark):
     emb = spark.read.parquet(f"{DATA}/embeddings.parquet").withColumnRenamed("vec_id", "job_id")
     profile = emb.groupBy(F.col("label").alias("ordinal")).agg(F.min_by("embedding", "job_id").alias("embedding"))
     text = plan(match.match_profile(emb, profile.withColumn("section", F.lit("s"))))
-    assert "Exchange" not in text and "ArrowEvalPython" in text
+    assert "Exchange" not in text and "MapInArrow" in text
+
+
+@pytest.mark.parametrize("per_section", [None, {"Summary": 1, "Projects": 3}])
+def test_match_is_the_same_at_any_bound(spark, vectors, per_section, monkeypatch):
+    """Equal and null ids, several overall rows, null vectors and many versions."""
+    jobs, profile, _, _ = vectors
+    monkeypatch.setattr(match, "JOBS_PER_GROUP", 7)
+    jdf = spark.createDataFrame([(1, jobs[0][1]), (1, jobs[1][1]), (None, jobs[2][1]), (None, None), (3, jobs[3][1])],
+                                "job_id long, embedding array<float>")
+    rows = [(f"v{v}", i, "overall_resume" if i < 2 else s, None if i == 9 else x) for v in range(4) for i, s, x in profile[v:v + 14]]
+    rows += [("empty", 0, "overall_resume", None), ("empty", 1, "Summary", None)]
+    pdf = spark.createDataFrame(rows, "profile_version string, ordinal int, section string, embedding array<float>")
+
+    def result(bound, profile_rows):
+        got = match.match_profile(jdf, profile_rows, 5, per_section, max_profile_rows=bound).collect()
+        return sorted(((r.job_id, r.profile_version, r.overall_similarity, [(m["ordinal"], m["similarity"]) for m in r.matches]) for r in got), key=str)
+    want = result(4096, pdf)
+    assert len(want) == 5 * 5
+    assert result(10, pdf) == result(3, pdf) == want
+    nothing = pdf.filter("profile_version = 'empty'")
+    assert result(1, nothing) == result(10, nothing)
+
+
+def test_many_versions_in_bounded_batches(spark, vectors, monkeypatch):
+    jobs, profile, jdf, _ = vectors
+    monkeypatch.setattr(match, "_OUTPUT_BYTES", 50_000)
+    text = "t" * 500
+    pdf = spark.createDataFrame([(f"v{v:03}", i, s, text, x) for v in range(100) for i, s, x in profile[:6]],
+                                "profile_version string, ordinal int, section string, text string, embedding array<float>")
+    got = match.match_profile(jdf, pdf, 5)
+    assert got.count() == 100 * len(jobs)
+    assert got.filter(F.size("matches") == 5).count() == 100 * (len(jobs) - 1)
 
 
 def test_several_profile_versions(spark, vectors):

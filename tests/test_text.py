@@ -83,3 +83,10 @@ def test_named_entities_follow_the_standard_table(spark):
     rows = spark.createDataFrame([(f"x&{n}y",) for n in names], "s string")
     for row in rows.select("s", t.clean_html("s").alias("out")).collect():
         assert row["out"] == pyhtml.unescape(row["s"])
+
+
+@pytest.mark.parametrize("ref, char", [
+    ("&#0000000000000000000065;", "A"), ("&#x0000000000000000041;", "A"), ("&#X41;", "A"), ("&#0;", "�"), ("&#x0;", "�"),
+    ("&#99999999999999999999;", "�"), ("&#xffffffffffffffffff;", "�"), ("&#128;", "€"), ("&#x1F600;", "\U0001f600")])
+def test_numbers_of_any_length(one, ref, char):
+    assert one(t.decode_entities, x=f"a{ref}b") == f"a{char}b"

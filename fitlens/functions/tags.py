@@ -145,6 +145,14 @@ def missing_skills(job: Column | str, profile: Column | str) -> Column:
     return let(_lowered(profile), lambda p: F.filter(job, lambda s: ~F.array_contains(p, F.lower(s))))
 
 
+def mention_ratio(texts: Column | str, profile: Column | str) -> Column:
+    """Share of the texts that mention one of the profile's skills, compared without case; 0.0
+    where there are no texts."""
+    texts = F.coalesce(_as_column(texts), F.array().cast("array<string>"))
+    hits = let(_lowered(profile), lambda p: F.size(F.filter(texts, lambda t: F.exists(p, lambda s: F.contains(F.lower(t), s)))))
+    return F.coalesce(F.try_divide(hits, F.size(texts)).cast("double"), F.lit(0.0))
+
+
 def match_ratio(matched: Column | str, job: Column | str) -> Column:
     """Share of posting skills that matched; 0.0 for a posting without skills."""
     share = F.try_divide(F.size(_as_column(matched)), F.size(_as_column(job)))

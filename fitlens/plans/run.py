@@ -14,7 +14,7 @@ from fitlens.operators.dedup import keep_first, only_new, posting_id
 from fitlens.operators.quality import outcome_rollup
 from fitlens.plans.clean import clean_postings
 from fitlens.plans.embed import embed_profiles, embed_sections, new_sections, posting_sections, stale_vectors
-from fitlens.plans.score import granular_scores, rank_postings, rankings_table, score_postings
+from fitlens.plans.score import COMPONENTS, granular_scores, rank_postings, rankings_table, score_postings
 from fitlens.session import ensure_checkpoint_dir
 from fitlens.sources import exports
 from fitlens.sources.postings import CANONICAL, read_postings
@@ -130,6 +130,9 @@ def check_inputs(store: Store, settings: Settings, skip=()) -> list[str]:
         validate_weights(settings.weights or {"overall_similarity": 1.0})
     except ValueError as error:
         problems.append(str(error))
+    unknown = sorted(set(settings.weights or ()) - set(COMPONENTS))
+    if unknown:
+        problems.append(f"no such score: {', '.join(unknown)}")
     if "intake" not in skip:
         if not settings.postings:
             problems.append("no folder of posting files given")

@@ -16,6 +16,10 @@ from fitlens.operators.rows import small_side
 from fitlens.sources.profile import technical_skills_text
 
 
+#: Scores that a composite may weigh.
+COMPONENTS = ("overall_similarity", "required_match", "responsibility_alignment", "bonus_match", "skill_match_ratio")
+
+
 def full_vectors(job_embeddings: DataFrame) -> DataFrame:
     """``job_id, embedding`` of every posting with any vector: the full-description vector,
     null where only other sections have one.
@@ -33,18 +37,34 @@ def score_postings(raw: DataFrame, clean: DataFrame, job_embeddings: DataFrame,
                    weights: Mapping[str, float] | None = None, top_n: int = 5) -> DataFrame:
     """One row per processed posting and profile version, without rank.
 
+    ``weights`` may name the overall similarity (alone by default), the share of required or of
+    bonus items that mention a profile skill, the similarity of the responsibilities to the
+    profile, and the skill match ratio (``COMPONENTS``).
+
     The matching itself is narrow; what follows are equi joins on ``job_id``."""
     matched = match_profile(full_vectors(job_embeddings), profile_embeddings, top_n)
     skills = technical_skills_text(profile_embeddings).select(
         "profile_version", tags.profile_skills("text", lexicon.profile_skills).alias("_profile_skills"))
     job_skills = clean.select("job_id", F.coalesce(
-        "extracted_skills", F.array().cast("array<string>")).alias("_job_skills"))
+        "extracted_skills", F.array().cast("array<string>")).alias("_job_skills"),
+        *[F.transform(c, lambda q: q["text"]).alias(f"_{c}") for c in ("qualifications_required", "qualifications_bonus")])
     meta = raw.select("job_id", "company", "job_title", "location", "job_url", "date_posted")
     # The inner join with the clean table is both the lookup of the skills and the filter
     # for processed postings.
     df = matched.join(job_skills, "job_id").join(meta, "job_id").join(
         small_side(skills), "profile_version", "left")
+    if "responsibility_alignment" in (weights or ()):
+        activities = job_embeddings.filter("section = 'responsibilities'").select("job_id", "embedding")
+        aligned = match_profile(activities, profile_embeddings, 1).select(
+            "job_id", "profile_version", F.col("overall_similarity").alias("_aligned"))
+        df = df.join(aligned, ["job_id", "profile_version"], "left")
+    else:
+        df = df.withColumn("_aligned", F.lit(None).cast("double"))
     known = F.coalesce("_profile_skills", F.array().cast("array<string>"))
+    df = df.withColumns({
+        "required_match": tags.mention_ratio("_qualifications_required", known),
+        "bonus_match": tags.mention_ratio("_qualifications_bonus", known),
+        "responsibility_alignment": F.coalesce("_aligned", F.lit(0.0))})
     df = df.withColumn("matched_skills", tags.matched_skills("_job_skills", known))
     df = df.withColumn("missing_skills", tags.missing_skills("_job_skills", known))
     df = df.withColumn("skill_match_ratio", tags.match_ratio("matched_skills", "_job_skills"))

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fitlens.lexicon import Lexicon
+from fitlens.lexicon import SCORE_WEIGHTS, Lexicon
 from fitlens.plans import run as flow
 from fitlens.plans.embed import posting_sections
 from fitlens.sources import exports, postings, profile
@@ -124,6 +124,16 @@ def test_full_run_is_idempotent(spark, tmp_path, folder):
     flow.run(spark, store.root, settings)
     assert {n: store.read(n).count() for n in counts} == counts
 
+    # Declared weights use every component.
+    settings.weights = dict(SCORE_WEIGHTS)
+    weighted = {r["company"]: r["composite_score"] for r in flow.run(
+        spark, store.root, settings, skip=("intake", "preprocess", "vectorize")).collect()}
+    assert set(weighted) == {"A", "B", "C"} and weighted != {r["company"]: r["composite_score"] for r in rows}
+    assert max(weighted.values()) <= 1.0 and min(weighted.values()) >= 0.0
+    settings.weights = {"overall_similarity": 0.5, "charm": 0.5}
+    assert "no such score: charm" in flow.check_inputs(store, settings)
+    settings.weights = None
+
     # Cleaning again with other rules replaces only the vectors of changed texts.
     store.clear(["clean_postings"])
     settings.lexicon = Lexicon(qualification_headers=("no such heading",))

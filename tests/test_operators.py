@@ -188,6 +188,18 @@ def test_weight_grid_finds_the_right_component(spark):
     assert best["point"] == 1 and best["rank_correlation"] == pytest.approx(1.0)
 
 
+def test_gazetteer_names_of_any_shape(spark):
+    """Names of five words, with punctuation, and ones that only look alike."""
+    df = spark.createDataFrame([(1, "At Bank of New York Mellon, Paris, she wrote Node.js and C++."), (2, "Plan C, Node js"), (3, None)],
+                               "job_id long, text string")
+    gaz = spark.createDataFrame([("Bank of New York Mellon", "ORG"), ("Node.js", "PRODUCT"), ("C++", "PRODUCT"), ("Paris", "GPE"), ("!?", "ORG")],
+                                "name string, label string")
+    got = {r["job_id"]: r["entities"] for r in tagging.tag_entities(df, "text", gaz).collect()}
+    assert got == {1: {"ORG": ["Bank of New York Mellon"], "PRODUCT": ["C++", "Node.js"], "GPE": ["Paris"]}}
+    assert [r["entities"] for r in tagging.tag_entities(df, "text", gaz, max_words=1).collect()] == [{"GPE": ["Paris"], "PRODUCT": ["C++"]}]
+    assert tagging.tag_entities(df, "text", gaz.limit(0)).collect() == []
+
+
 def test_gazetteer_table_and_model_hooks(spark):
     df = spark.createDataFrame([(1, "Ann met Power BI at New York"), (2, "nothing here")], "job_id long, text string")
     gaz = spark.createDataFrame([("Ann", "PERSON"), ("Power BI", "PRODUCT"), ("New York", "GPE")],

@@ -45,9 +45,12 @@ def score_postings(raw: DataFrame, clean: DataFrame, job_embeddings: DataFrame,
     matched = match_profile(full_vectors(job_embeddings), profile_embeddings, top_n)
     skills = technical_skills_text(profile_embeddings).select(
         "profile_version", tags.profile_skills("text", lexicon.profile_skills).alias("_profile_skills"))
+    # Components are taken, and their columns read, only where the weights name them.
+    items = {score: column for score, column in (("required_match", "qualifications_required"), ("bonus_match", "qualifications_bonus"))
+             if score in (weights or ())}
     job_skills = clean.select("job_id", F.coalesce(
         "extracted_skills", F.array().cast("array<string>")).alias("_job_skills"),
-        *[F.transform(c, lambda q: q["text"]).alias(f"_{c}") for c in ("qualifications_required", "qualifications_bonus")])
+        *[F.transform(c, lambda q: q["text"]).alias(f"_{c}") for c in items.values()])
     meta = raw.select("job_id", "company", "job_title", "location", "job_url", "date_posted")
     # The inner join with the clean table is both the lookup of the skills and the filter
     # for processed postings.
@@ -57,14 +60,10 @@ def score_postings(raw: DataFrame, clean: DataFrame, job_embeddings: DataFrame,
         activities = job_embeddings.filter("section = 'responsibilities'").select("job_id", "embedding")
         aligned = match_profile(activities, profile_embeddings, 1).select(
             "job_id", "profile_version", F.col("overall_similarity").alias("_aligned"))
-        df = df.join(aligned, ["job_id", "profile_version"], "left")
-    else:
-        df = df.withColumn("_aligned", F.lit(None).cast("double"))
+        df = df.join(aligned, ["job_id", "profile_version"], "left").withColumn(
+            "responsibility_alignment", F.coalesce("_aligned", F.lit(0.0)))
     known = F.coalesce("_profile_skills", F.array().cast("array<string>"))
-    df = df.withColumns({
-        "required_match": tags.mention_ratio("_qualifications_required", known),
-        "bonus_match": tags.mention_ratio("_qualifications_bonus", known),
-        "responsibility_alignment": F.coalesce("_aligned", F.lit(0.0))})
+    df = df.withColumns({score: tags.mention_ratio(f"_{column}", known) for score, column in items.items()})
     df = df.withColumn("matched_skills", tags.matched_skills("_job_skills", known))
     df = df.withColumn("missing_skills", tags.missing_skills("_job_skills", known))
     df = df.withColumn("skill_match_ratio", tags.match_ratio("matched_skills", "_job_skills"))

@@ -26,6 +26,8 @@ SAMPLE, PER_SHARD, MAX_LEVELS = 20_000, 1500, 16
 #: Members of one shard that a task holds; a larger shard is cut into parts, each of which gets
 #: all look-ups of the shard.
 PART_ROWS = 20_000
+#: Pairs compared at once. In a crowd of close fingerprints all of them may be links.
+COMPARED = 1 << 18
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -136,7 +138,7 @@ def links_of(members: np.ndarray, asked: np.ndarray, max_bits: int) -> tuple[np.
     every = np.unique(np.concatenate((members, asked)))
     forest = Forest(len(every))
     at_member, at_asked = np.searchsorted(every, members), np.searchsorted(every, asked)
-    step = max(1, (1 << 21) // max(1, len(members)))
+    step = max(1, COMPARED // max(1, len(members)))
     for i in range(0, len(asked), step):
         close = np.bitwise_count(asked[i:i + step, None] ^ members[None, :]) <= max_bits
         q, m = np.nonzero(close)

@@ -192,7 +192,8 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 def kept_documents(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``quality_verdicts`` keeps. The counts are taken
     twice, once for the estimate and once for the verdict, so that no text is written or shuffled."""
-    narrow = written(_measured(docs.select("text", *GROUPS)).drop("text").filter("NOT base_failed"))
-    shape = estimate(narrow, GROUPS, len(FLOORS))
+    # Written before it is filtered, as the filter would take the counts a second time.
+    narrow = written(_measured(docs.select("text", *GROUPS)).drop("text"))
+    shape = estimate(narrow.filter("NOT base_failed"), GROUPS, len(FLOORS))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select("_row", "_row.text", *[f"_row.{g}" for g in GROUPS])
     return _judged(_measured(rows), shape, cutoff).filter("kept").select("_row.*")

@@ -353,7 +353,9 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
                                           F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("other")))).alias("e")).select("e.*")
     later = both.join(first, "id").join(first.select(F.col("id").alias("other"), F.col("first").alias("than")), "other").filter(
         "than < first").select("id").distinct().withColumn("late", F.lit(True))
-    kept = first.join(later, "id", "left").filter("late IS NULL").select("id", F.col("first").alias("kept_at"))
+    # Written, so that the join with all occurrences reads two plain tables: Spark can then split
+    # the partition of a line that very many documents share.
+    kept = written(first.join(later, "id", "left").filter("late IS NULL").select("id", F.col("first").alias("kept_at")))
     return lines.withColumn("at", order).join(kept, "id", "left").filter("kept_at IS NULL OR at <> kept_at").groupBy(
         "doc_id", "_key").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 

@@ -309,7 +309,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     if not crowded.isEmpty():
         matched = matched.unionByName(_counted_windows(_contexts(docs, crowded, length), length))
     matched = matched.groupBy("anchor", "stretch").agg(F.first("every").alias("every"), F.first("later").alias("later"))
-    hits = classes.join(matched, ["anchor", "stretch"], "left").filter("n > 1 OR every IS NOT NULL")
+    # Written, so that the join with all occurrences reads two plain tables: Spark can then split
+    # the partition of a stretch that very many documents share.
+    hits = written(classes.join(matched, ["anchor", "stretch"], "left").filter("n > 1 OR every IS NOT NULL"))
     rows = found.join(hits.withColumnRenamed("first", "one"), ["anchor", "stretch"])
     anchor = F.shiftright("place", 24)
     low, high = anchor - F.shiftright("place", 12).bitwiseAND(4095), anchor - F.col("place").bitwiseAND(4095)

@@ -163,9 +163,11 @@ def fit(docs: DataFrame, pieces: list[str], sample: int = SAMPLE, rounds: int =
     driver holds one row per language and piece."""
     spark = docs.sparkSession
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    chosen = known.select("lang", "text", "doc_id").join(sizes, "lang").filter(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(float(sample << 30)) / F.col("_n"))
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    # The share to take of each language is a literal of the plan, so texts are not shuffled.
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, float(sample << 30) / n)]) if sizes else None
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share[F.col("lang")]
+                          if sizes else F.lit(False)).select("lang", "text")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,9 +180,9 @@ def fit(docs: DataFrame, pieces: list[str], sample: int = SAMPLE, rounds: int =
                 ["lang", "word"]).aggregate([([], "count_all")]).rename_columns(["lang", "word", "n"])
             yield from counted.cast(pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])).to_batches()
 
-    counts = written(chosen.select("lang", "text").mapInArrow(split, "lang string, word string, n long").groupBy(
+    counts = written(chosen.mapInArrow(split, "lang string, word string, n long").groupBy(
         "lang", "word").agg(F.sum("n").alias("n")))
-    langs = sorted(r[0] for r in sizes.select("lang").collect())
+    langs = sorted(sizes)
     number = {lang: i for i, lang in enumerate(langs)}
     p = np.tile(np.array([10.0 ** -(len(x.removeprefix(MARK)) + 1) for x in pieces]), (len(langs), 1))
     for _ in range(rounds if langs else 0):

@@ -26,6 +26,8 @@ CHUNK = 1 << 20
 #: Different stretches of one anchor whose suffixes one task sorts. The windows of an anchor with
 #: more are counted one by one instead, by a hash of the whole window.
 MAX_STRETCHES = 50_000
+#: Groups into which the occurrences of one stretch are dealt; bits of a long.
+SALTS = 64
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = np.uint64((1 << 24) - 1)
@@ -298,8 +300,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     if not 2 * gram <= length <= 4000:
         raise ValueError("length must be between two anchors and 4000")
     found = written(_occurrences(docs, length, gram))
+    salt = F.pmod(F.xxhash64("doc_id", "_key", "place"), F.lit(SALTS)).cast("int")
     classes = written(found.groupBy("anchor", "stretch").agg(
-        F.count(F.lit(1)).alias("n"), F.min(_order()).alias("first")))
+        F.count(F.lit(1)).alias("n"), F.min(_order()).alias("first"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt)).alias("salts")))
     several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("stretches")).filter("stretches > 1")
     # The first occurrence of a stretch stands for all of them.
     chosen = classes.join(several, "anchor").select("first.*", "anchor", "stretch", "stretches")
@@ -310,7 +314,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
         matched = matched.unionByName(_counted_windows(_contexts(docs, crowded, length), length))
     matched = matched.groupBy("anchor", "stretch").agg(F.first("every").alias("every"), F.first("later").alias("later"))
     hits = classes.join(matched, ["anchor", "stretch"], "left").filter("n > 1 OR every IS NOT NULL")
-    rows = found.join(hits.withColumnRenamed("first", "one"), ["anchor", "stretch"])
+    # A stretch that very many documents share meets them in one group per salt that they have.
+    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)
+    hits = hits.withColumnRenamed("first", "one").withColumn("salt", F.explode(salts)).drop("salts")
+    rows = found.withColumn("salt", salt).join(hits, ["anchor", "stretch", "salt"])
     anchor = F.shiftright("place", 24)
     low, high = anchor - F.shiftright("place", 12).bitwiseAND(4095), anchor - F.col("place").bitwiseAND(4095)
     whole = F.array(low, high + length)

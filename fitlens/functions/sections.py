@@ -7,6 +7,8 @@ it happens inside the row, so no step here moves data between partitions.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,26 @@ MARKERS = r"(?:[•\-*]|\p{Nd}+[.)]|[a-z][.)])"
 WIDE_MARKERS = r"(?:[•\-*◦○▪▫]|\p{Nd}+[.)]|[a-zA-Z][.)])"
 
 
+@dataclass(frozen=True)
+class Parser:
+    """Rules by which a description is cut into sections and items.
+
+    With ``subsections``, headings such as ``Preferred:`` decide which qualifications are bonus
+    items; with ``boilerplate``, the summary loses its standard passages; with ``confidence``, a
+    score is kept for every item. Items below ``min_confidence`` are left out."""
+    mode: str = "phrase"
+    summary_mode: str = "sequential"
+    markers: str = MARKERS
+    subsections: bool = False
+    boilerplate: bool = False
+    confidence: bool = False
+    min_confidence: float = 0.0
+
+
+BASIC = Parser()
+ENHANCED = Parser("regex", "complement", WIDE_MARKERS, subsections=True, boilerplate=True, confidence=True)
+
+
 def section_tag(low: Column, lexicon: Lexicon = DEFAULT_LEXICON, mode: str = "phrase") -> Column:
     """``q`` or ``r`` for a lower-cased line that opens a section, otherwise an empty string.
 
@@ -171,17 +193,25 @@ def responsibilities(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON,
 
 
 def parse_description(df: DataFrame, text: str, lexicon: Lexicon = DEFAULT_LEXICON,
-                      mode: str = "phrase", summary_mode: str = "sequential",
-                      markers: str = MARKERS) -> DataFrame:
-    """Add the structured columns of a cleaned description."""
-    return (
-        with_sections(df, text, lexicon, mode, summary_mode)
-        .withColumn("_items", classified_qualifications("qual_text", lexicon, markers))
-        .withColumn("qualifications_required", qualifications_of("_items", "required"))
-        .withColumn("qualifications_bonus", qualifications_of("_items", "bonus"))
-        .withColumn("responsibilities", responsibilities("resp_text", lexicon, markers))
-        .drop("_items", "qual_text", "resp_text")
-    )
+                      parser: Parser = BASIC, **changes) -> DataFrame:
+    """Add the structured columns of a cleaned description; ``changes`` are fields of the parser
+    that differ. The three arrays of confidences are null unless the parser asks for them."""
+    parser = replace(parser, **changes)
+    df = with_sections(df, text, lexicon, parser.mode, parser.summary_mode)
+    classify = subsection_qualifications if parser.subsections else classified_qualifications
+    df = df.withColumn("_items", classify("qual_text", lexicon, parser.markers))
+    columns = {"qualifications_required": (qualifications_of("_items", "required"), "text", QUALIFICATION_SIGNALS),
+               "qualifications_bonus": (qualifications_of("_items", "bonus"), "text", QUALIFICATION_SIGNALS),
+               "responsibilities": (responsibilities("resp_text", lexicon, parser.markers), "activity", RESPONSIBILITY_SIGNALS)}
+    for name, (items, field, signals) in columns.items():
+        if parser.min_confidence > 0:
+            items = F.filter(items, lambda x: confidence(x[field], signals) >= parser.min_confidence)
+        df = df.withColumn(name, items)
+        scores = F.transform(name, lambda x: confidence(x[field], signals)) if parser.confidence else F.lit(None)
+        df = df.withColumn(f"{name}_confidence", scores.cast("array<double>"))
+    if parser.boilerplate:
+        df = df.withColumn("summary", drop_boilerplate("summary"))
+    return df.drop("_items", "qual_text", "resp_text")
 
 
 SUBHEADING = r"(?:required|minimum|must have|essential|preferred|desired|nice to have|bonus)\b[^\n]*:"
@@ -207,6 +237,13 @@ def subsection_classes(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON,
         c["items"], lambda i: F.struct(i.alias("text"), c["kind"].alias("kind")))))
 
 
+def subsection_qualifications(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON,
+                              markers: str = WIDE_MARKERS) -> Column:
+    """Array of ``{text, skill_type, kind}`` whose kind comes from the heading above the item."""
+    return F.transform(subsection_classes(text, lexicon, markers), lambda x: F.struct(
+        x["text"].alias("text"), skill_type(x["text"], lexicon).alias("skill_type"), x["kind"].alias("kind")))
+
+
 def drop_boilerplate(text: Column | str, patterns=BOILERPLATE_PATTERNS) -> Column:
     """Remove equal-opportunity, application and benefits passages from a summary."""
     out = _as_column(text)

@@ -40,6 +40,15 @@ def tag_entities(df: DataFrame, text: str, gazetteer: DataFrame, id_col: str = "
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "names")))).alias("entities"))
 
 
+def tag_verbs(df: DataFrame, text: str, verbs: DataFrame, id_col: str = "job_id") -> DataFrame:
+    """``id, action_verbs`` for every row that holds a form of a verb table (``form, lemma``): the
+    lemmas, sorted. A text sends each of its words once."""
+    forms = verbs.select(F.lower("form").alias("_form"), "lemma").distinct()
+    words = F.array_distinct(F.transform(tokens(text), F.lower))
+    found = each_item(df.select(id_col, words.alias("_words")), "_words", [id_col], "_form").join(forms, "_form")
+    return found.groupBy(id_col).agg(F.array_sort(F.collect_set("lemma")).alias("action_verbs"))
+
+
 def tag_with(df: DataFrame, text: str, load: Callable[[], Callable[[pd.Series], pd.DataFrame]]) -> DataFrame:
     """Add ``entities`` and ``action_verbs`` from a tagger of the caller's.
 

@@ -6,24 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitlens.functions import tags
-from fitlens.functions.sections import MARKERS, parse_description
+from fitlens.functions.sections import BASIC, Parser, parse_description
 from fitlens.functions.text import clean_text
 from fitlens.lexicon import DEFAULT_LEXICON, Lexicon
+from fitlens.operators.tagging import tag_entities, tag_verbs, tag_with
 
 
-def clean_postings(raw: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, mode: str = "phrase",
-                   summary_mode: str = "sequential", markers: str = MARKERS) -> DataFrame:
-    """The whole per-posting transformation. Narrow: no row leaves its partition.
+def clean_postings(raw: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, parser: Parser = BASIC,
+                   load_tagger=None, gazetteer: DataFrame | None = None, verbs: DataFrame | None = None) -> DataFrame:
+    """The whole per-posting transformation. Narrow, unless entities come from a gazetteer table
+    (``name, label``) or verbs from a verb table (``form, lemma``), which are joined.
 
-    Spelling is kept until tagging, which works on the cleaned description."""
-    df = raw.withColumn("description_clean", clean_text("job_description"))
-    df = parse_description(df, "description_clean", lexicon, mode, summary_mode, markers)
-    df = df.withColumn("_words", tags.tokens("description_clean"))
-    df = df.withColumn("entities", tags.entity_map("_words", lexicon.entities))
+    ``load_tagger`` runs once per task and returns a tagger for entities and verbs; without it
+    they come from the lexicon. Spelling is kept until tagging, which works on the cleaned
+    description."""
+    df = raw.select("job_id", "job_title", "company", "location", "job_url", "date_posted",
+                    clean_text("job_description").alias("description_clean"))
+    if load_tagger:
+        df = tag_with(df, "description_clean", load_tagger)
+    texts = df.select("job_id", "description_clean")
+    df = parse_description(df, "description_clean", lexicon, parser)
+    if not load_tagger:
+        df = df.withColumn("_words", tags.tokens("description_clean"))
+        df = df.withColumns({"entities": tags.entity_map("_words", lexicon.entities),
+                             "action_verbs": tags.action_verbs("_words", lexicon.verbs)})
+    if gazetteer is not None:
+        found = tag_entities(texts, "description_clean", gazetteer)
+        none = F.create_map().cast("map<string,array<string>>")
+        df = df.drop("entities").join(found, "job_id", "left").withColumn("entities", F.coalesce("entities", none))
+    if verbs is not None:
+        found = tag_verbs(texts, "description_clean", verbs)
+        none = F.array().cast("array<string>")
+        df = df.drop("action_verbs").join(found, "job_id", "left").withColumn("action_verbs", F.coalesce("action_verbs", none))
     return df.select(
         "job_id", F.col("job_title").alias("job_title_clean"), "company", "location",
         "description_clean", "qualifications_required", "qualifications_bonus", "responsibilities",
         "summary", tags.extracted_skills("description_clean", "entities", lexicon).alias("extracted_skills"),
-        "entities", tags.action_verbs("_words", lexicon.verbs).alias("action_verbs"),
-        tags.domain_tags("description_clean", lexicon.tag_domains).alias("domain_tags"),
-        "job_url", "date_posted")
+        "entities", "action_verbs", tags.domain_tags("description_clean", lexicon.tag_domains).alias("domain_tags"),
+        "job_url", "date_posted", "qualifications_required_confidence", "qualifications_bonus_confidence",
+        "responsibilities_confidence")

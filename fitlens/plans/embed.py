@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitlens.functions.vectors import DEFAULT_DIM, embed_text
+from fitlens.functions.vectors import DEFAULT_DIM, embed_text, embed_text_with
 from fitlens.lexicon import MIN_SUMMARY_CHARS, STORED_TEXT_CHARS
 from fitlens.functions.text import strip
 from fitlens.operators.rows import each_item
 from fitlens.sources.profile import profile_rows
 
+#: Name of the encoder that is used where none is given; stored beside every vector.
+DEFAULT_ENCODER = f"hashed/{DEFAULT_DIM}"
+
 
 def posting_sections(clean: DataFrame) -> DataFrame:
     """``job_id, section, text``: up to four texts per posting, from one pass over the row.
@@ -28,32 +31,54 @@ def posting_sections(clean: DataFrame) -> DataFrame:
     return each_item(clean, kept, ["job_id"], "_t").select("job_id", "_t.section", "_t.text")
 
 
-def new_sections(sections: DataFrame, embedded: DataFrame) -> DataFrame:
-    """Sections without a vector for their present text, so that a repeated run embeds only
-    what is new."""
-    keyed = sections.withColumn("text_hash", F.xxhash64("text"))
-    return keyed.join(embedded.select("job_id", "section", "text_hash"),
-                      ["job_id", "section", "text_hash"], "left_anti")
+def _keyed(sections: DataFrame, encoder: str) -> DataFrame:
+    return sections.withColumns({"text_hash": F.xxhash64("text"), "encoder": F.lit(encoder)})
+
+
+_VECTOR_KEY = ["job_id", "section", "text_hash", "encoder"]
+
+
+def new_sections(sections: DataFrame, embedded: DataFrame, encoder: str = DEFAULT_ENCODER) -> DataFrame:
+    """Sections without a vector of this encoder for their present text, so that a repeated run
+    embeds only what is new."""
+    return _keyed(sections, encoder).join(embedded.select(*_VECTOR_KEY), _VECTOR_KEY, "left_anti")
+
 
+def held_vectors(sections: DataFrame, embedded: DataFrame, encoder: str = DEFAULT_ENCODER) -> DataFrame:
+    """Vectors of this encoder for texts that postings still have."""
+    return embedded.join(_keyed(sections, encoder).select(*_VECTOR_KEY), _VECTOR_KEY, "left_semi")
 
-def stale_vectors(sections: DataFrame, embedded: DataFrame) -> DataFrame:
-    """Vectors of texts that no posting has any more."""
-    keyed = sections.select("job_id", "section", F.xxhash64("text").alias("text_hash"))
-    return embedded.join(keyed, ["job_id", "section", "text_hash"], "left_anti")
 
+def stale_vectors(sections: DataFrame, embedded: DataFrame, encoder: str = DEFAULT_ENCODER) -> DataFrame:
+    """Vectors of other encoders, or of texts that no posting has any more."""
+    return embedded.join(_keyed(sections, encoder).select(*_VECTOR_KEY), _VECTOR_KEY, "left_anti")
 
-def embed_sections(sections: DataFrame, embed=None, dim: int = DEFAULT_DIM) -> DataFrame:
-    """Vectors of posting sections, with the text cut for storage after embedding."""
+
+def _vector(text: str, embed, dim: int, load):
+    return embed_text_with(text, load) if load else embed_text(text, embed, dim)
+
+
+def embed_sections(sections: DataFrame, embed=None, dim: int = DEFAULT_DIM, load=None,
+                   encoder: str = DEFAULT_ENCODER) -> DataFrame:
+    """Vectors of posting sections, with the text cut for storage after embedding. ``load`` runs
+    once per task and returns the function that embeds."""
     text_hash = F.col("text_hash") if "text_hash" in sections.columns else F.xxhash64("text")
     return sections.select(
         "job_id", "section", F.lit(None).cast("string").alias("subsection"),
         F.substring("text", 1, STORED_TEXT_CHARS).alias("text"), text_hash.alias("text_hash"),
-        embed_text("text", embed, dim).alias("embedding"))
+        F.lit(encoder).alias("encoder"), _vector("text", embed, dim, load).alias("embedding"))
 
 
-def embed_profiles(profiles: DataFrame, embed=None, dim: int = DEFAULT_DIM) -> DataFrame:
+def embed_profiles(profiles: DataFrame, embed=None, dim: int = DEFAULT_DIM, load=None,
+                   encoder: str = DEFAULT_ENCODER) -> DataFrame:
     """Vectors of all rows of the profiles, the text cut for display and whole."""
     return profile_rows(profiles).select(
         "profile_version", "ordinal", "section", "subsection", "content_type",
         F.substring("text", 1, STORED_TEXT_CHARS).alias("text"), F.col("text").alias("full_text"),
-        embed_text("text", embed, dim).alias("embedding"))
+        F.lit(encoder).alias("encoder"), _vector("text", embed, dim, load).alias("embedding"))
+
+
+def embed_again(embedded: DataFrame, embed=None, dim: int = DEFAULT_DIM, load=None,
+                encoder: str = DEFAULT_ENCODER) -> DataFrame:
+    """Stored profile rows with vectors of another encoder, from their whole texts."""
+    return embedded.withColumns({"encoder": F.lit(encoder), "embedding": _vector("full_text", embed, dim, load)})

@@ -8,12 +8,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fitlens.functions.sections import BASIC, Parser
 from fitlens.functions.vectors import DEFAULT_DIM
 from fitlens.lexicon import DEFAULT_LEXICON, NATURAL_KEY, Lexicon, validate_weights
 from fitlens.operators.dedup import keep_first, only_new, posting_id
 from fitlens.operators.quality import outcome_rollup
 from fitlens.plans.clean import clean_postings
-from fitlens.plans.embed import embed_profiles, embed_sections, new_sections, posting_sections, stale_vectors
+from fitlens.operators.rows import small_side
+from fitlens.plans.embed import (
+    embed_again, embed_profiles, embed_sections, held_vectors, new_sections, posting_sections, stale_vectors)
 from fitlens.plans.score import COMPONENTS, granular_scores, rank_postings, rankings_table, score_postings
 from fitlens.session import ensure_checkpoint_dir
 from fitlens.sources import exports
@@ -31,12 +34,28 @@ class Settings:
     as_of: datetime.date | None = None
     lexicon: Lexicon = DEFAULT_LEXICON
     weights: dict | None = None
+    parser: Parser = BASIC
+    #: A function of texts to vectors, or one that loads it once per task; ``encoder`` names it.
     embed: object = None
+    load_encoder: object = None
+    encoder: str | None = None
     dim: int = DEFAULT_DIM
+    #: A function that loads a tagger once per task; tables of names and of verb forms.
+    load_tagger: object = None
+    gazetteer: DataFrame | None = None
+    verbs: DataFrame | None = None
     export_csv: bool = True
     export_json: bool = True
     exported: dict = field(default_factory=dict)
 
+    @property
+    def encoder_id(self) -> str:
+        """Name and dimension, stored with every vector. A function that changes what it computes
+        under the same name needs another ``encoder``."""
+        function = self.load_encoder or self.embed
+        name = self.encoder or (getattr(function, "__qualname__", type(function).__name__) if function else "hashed")
+        return f"{name}/{self.dim}"
+
 
 def intake_winners(postings: DataFrame, existing: DataFrame) -> DataFrame:
     """``file, pos`` of the first good posting of every key that the existing table lacks.
@@ -68,43 +87,77 @@ def new_raw_postings(postings: DataFrame, existing: DataFrame) -> DataFrame:
     return _as_raw(only_new(keep_first(postings.filter("reason is null"), ["file", "pos"]), existing))
 
 
-def intake(store: Store, settings: Settings) -> DataFrame:
-    """Append new postings; returns counts per file with a grand total.
+def absorb(store: Store) -> tuple[DataFrame, DataFrame]:
+    """Append what is new in the table of parsed postings, and its rejects. Returns the rows
+    appended, and ``file, pos, reason, outcome`` of all postings.
 
-    The files are parsed once, into a table of their own. The winners are pinned by a
-    checkpoint before the append, which would change what counts as new."""
+    The winners are pinned by a checkpoint before the append, which would change what counts
+    as new."""
     ensure_checkpoint_dir(store.spark)
-    store.write("incoming", read_postings(store.spark, settings.postings, settings.source, settings.as_of))
     postings = store.read("incoming")
     existing = store.read_or_empty("raw_postings").select(*NATURAL_KEY)
     winners = intake_winners(postings, existing).checkpoint(eager=True)
-    store.write("raw_postings", _as_raw(postings.join(winners, ["file", "pos"], "left_semi")), "append")
-    return outcome_rollup(_with_outcome(postings.select("file", "pos", "reason"), winners))
+    arrived = _as_raw(postings.join(winners, ["file", "pos"], "left_semi"))
+    store.write("raw_postings", arrived, "append")
+    store.append_new("rejects", postings.filter("reason is not null"), ["file", "pos", "reason"])
+    return arrived, _with_outcome(postings.select("file", "pos", "reason"), winners)
+
+
+def intake(store: Store, settings: Settings) -> DataFrame:
+    """Append new postings; returns counts per file with a grand total.
+
+    The files are parsed once, into a table of their own; rejected postings are kept in another."""
+    store.write("incoming", read_postings(store.spark, settings.postings, settings.source, settings.as_of))
+    return outcome_rollup(absorb(store)[1])
+
+
+def _clean(store: Store, settings: Settings, raw: DataFrame) -> None:
+    store.write("clean_postings", clean_postings(
+        raw, settings.lexicon, settings.parser, settings.load_tagger, settings.gazetteer, settings.verbs), "append")
 
 
 def preprocess(store: Store, settings: Settings) -> None:
-    """Clean every raw posting that has no clean row yet."""
+    """Clean every raw posting that has no clean row yet. What is missing is found on ids alone."""
     raw, done = store.read("raw_postings"), store.read_or_empty("clean_postings")
-    store.write("clean_postings", clean_postings(only_new(raw, done, ["job_id"]), settings.lexicon), "append")
+    missing = small_side(only_new(raw.select("job_id"), done, ["job_id"]))
+    _clean(store, settings, raw.join(missing, "job_id", "left_semi"))
+
+
+def preprocess_arrived(store: Store, settings: Settings, arrived: DataFrame) -> None:
+    """Clean the rows just appended, reading no older description. If other postings of the batch
+    lack a clean row, as after a run that failed half-way, all that is missing is cleaned."""
+    batch = store.read("incoming").filter("reason is null").select(posting_id().alias("job_id")).distinct()
+    missing = only_new(batch, store.read_or_empty("clean_postings"), ["job_id"])
+    if only_new(missing, arrived, ["job_id"]).isEmpty():
+        _clean(store, settings, arrived)
+    else:
+        preprocess(store, settings)
 
 
 def vectorize(store: Store, settings: Settings) -> None:
-    """Embed new posting texts and, if a profile is given, the profile."""
+    """Embed new posting texts and, if a profile is given, the profile. Vectors of another
+    encoder than that of the settings are made anew."""
+    encoder = settings.encoder_id
+    how = {"embed": settings.embed, "dim": settings.dim, "load": settings.load_encoder, "encoder": encoder}
     sections = posting_sections(store.read("clean_postings"))
     known = store.read_or_empty("job_embeddings")
-    fresh = embed_sections(new_sections(sections, known), settings.embed, settings.dim)
-    stale = stale_vectors(sections, known)
-    if stale.limit(1).count():
-        # Texts changed since: rewrite the table from the vectors that still hold. The
-        # checkpoint lets the table be read and overwritten in one step.
+    fresh = embed_sections(new_sections(sections, known, encoder), **how)
+    if not stale_vectors(sections, known, encoder).isEmpty():
+        # Texts or the encoder changed since: rewrite the table from the vectors that still hold.
+        # The checkpoint lets the table be read and overwritten in one step.
         ensure_checkpoint_dir(store.spark)
-        kept = known.join(stale.select("job_id", "section", "text_hash"), ["job_id", "section", "text_hash"], "left_anti")
+        kept = held_vectors(sections, known, encoder)
         store.write("job_embeddings", kept.unionByName(fresh).checkpoint(eager=True))
     else:
         store.write("job_embeddings", fresh, "append")
     if settings.profile:
         profiles = read_profile(store.spark, settings.profile)
-        store.write("profile_embeddings", embed_profiles(profiles, settings.embed, settings.dim))
+        store.write("profile_embeddings", embed_profiles(profiles, **how))
+        return
+    profiles = store.read_or_empty("profile_embeddings")
+    if not profiles.filter(~F.col("encoder").eqNullSafe(encoder)).isEmpty():
+        ensure_checkpoint_dir(store.spark)
+        store.write("profile_embeddings", embed_again(profiles, **how).checkpoint(eager=True))
 
 
 def rank(store: Store, settings: Settings) -> DataFrame:
@@ -113,8 +166,8 @@ def rank(store: Store, settings: Settings) -> DataFrame:
     scored = score_postings(store.read("raw_postings"), store.read("clean_postings"), jobs, profile,
                             settings.lexicon, settings.weights)
     ranked = rank_postings(scored)
-    store.replace_version("rankings", rankings_table(ranked))
-    store.replace_version("granular_scores", granular_scores(jobs, profile, lexicon=settings.lexicon))
+    store.replace_version("rankings", rankings_table(ranked), profile)
+    store.replace_version("granular_scores", granular_scores(jobs, profile, lexicon=settings.lexicon), profile)
     if settings.results:
         stamp = datetime.datetime.now().strftime("%Y%m%d_%H%M%S")
         settings.exported = {"csv": f"{settings.results}/rankings_{stamp}", "json": f"{settings.results}/detailed_{stamp}"}
@@ -145,6 +198,9 @@ def check_inputs(store: Store, settings: Settings, skip=()) -> list[str]:
         problems.append("clean_postings is not there")
     if "vectorize" in skip and not (store.exists("job_embeddings") and store.exists("profile_embeddings")):
         problems.append("embeddings are not there")
+    elif "vectorize" in skip and store.read("job_embeddings").select("encoder").union(
+            store.read("profile_embeddings").select("encoder")).distinct().limit(2).count() > 1:
+        problems.append("vectors come from several encoders")
     if "vectorize" not in skip and not settings.profile and not store.exists("profile_embeddings"):
         problems.append("no profile given")
     return problems

@@ -73,8 +73,23 @@ class Store:
         """Append the rows whose key is not there yet. Running it again adds nothing."""
         self.write(name, only_new(df, self.read_or_empty(name), key), "append")
 
-    def replace_version(self, name: str, df: DataFrame) -> None:
-        """Replace the rows of exactly the profile versions in ``df``; others stay."""
+    def empty_versions(self, name: str, versions: DataFrame) -> None:
+        """Empty the partitions of the given profile versions, one folder each."""
+        column = PARTITIONED[name]
+        if not self.exists(name):
+            return
+        held = self.read(name).select(column, F.col("_metadata.file_path").alias("file"))
+        none = self.spark.createDataFrame([], schemas.TABLES[name]).drop(column)
+        folders = held.join(versions.select(column).distinct(), column, "left_semi").select(
+            F.regexp_replace("file", "/[^/]*$", "").alias("folder")).distinct()
+        for row in folders.collect():
+            none.write.mode("overwrite").parquet(row["folder"])
+
+    def replace_version(self, name: str, df: DataFrame, versions: DataFrame | None = None) -> None:
+        """Replace the rows of the profile versions in ``df``; others stay. Of the versions given,
+        the old rows go first, so that a version without new rows keeps none."""
+        if versions is not None:
+            self.empty_versions(name, versions)
         columns = [f.name for f in self.spark.createDataFrame([], schemas.TABLES[name]).schema]
         (df.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(PARTITIONED[name]).parquet(self.path(name)))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fitlens.lexicon import NATURAL_KEY
-from fitlens.plans.run import Settings, new_raw_postings, preprocess
+from fitlens.operators.quality import outcome_rollup
+from fitlens.plans.run import Settings, absorb, preprocess_arrived
 from fitlens.sources.postings import normalize_postings, parse_postings
 from fitlens.sources.tables import Store
 
@@ -18,7 +18,8 @@ def start_intake(store: Store, settings: Settings, checkpoint: str, clean: bool
 
     The stream's checkpoint remembers the files; the keyed append makes a replayed batch
     harmless. Known keys live in the table, not in streaming state, so nothing grows with
-    the age of the stream."""
+    the age of the stream. Rejected postings go to ``rejects``, the outcomes of every batch to
+    ``intake_counts``."""
     spark = store.spark
     files = (
         spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json")
@@ -26,14 +27,15 @@ def start_intake(store: Store, settings: Settings, checkpoint: str, clean: bool
         .select(F.col("_metadata.file_name").alias("file"), "value")
     )
 
-    def absorb(batch: DataFrame, _: int) -> None:
-        postings = normalize_postings(parse_postings(batch), settings.source, settings.as_of)
-        existing = store.read_or_empty("raw_postings").select(*NATURAL_KEY)
-        store.write("raw_postings", new_raw_postings(postings, existing), "append")
+    def take(batch: DataFrame, number: int) -> None:
+        store.write("incoming", normalize_postings(parse_postings(batch), settings.source, settings.as_of))
+        arrived, outcomes = absorb(store)
+        counts = outcome_rollup(outcomes).withColumns({"stream": F.lit(checkpoint), "batch": F.lit(number).cast("long")})
+        store.append_new("intake_counts", counts, ["stream", "batch"])
         if clean:
-            preprocess(store, settings)
+            preprocess_arrived(store, settings, arrived)
 
     return (
-        files.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint)
+        files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

@@ -10,7 +10,7 @@ from fitlens.catalog.shared import (
     check_whitespace, first_of, load_wide, postings)
 from fitlens.functions import sections as sec
 from fitlens.functions.text import clean_html, clean_text, normalize_whitespace, truncate
-from fitlens.operators.evaluate import compare_counts, parse_quality
+from fitlens.operators.evaluate import compare_parsers, parse_quality
 from fitlens.operators.rows import each_item
 from fitlens.plans.embed import posting_sections
 
@@ -81,14 +81,12 @@ def section_union(spark, sf):
 
 
 def variant_compare(spark, sf):
-    df = postings(spark, sf)
+    return compare_parsers(postings(spark, sf), "body", "doc_id", sec.BASIC, sec.Parser(mode="regex"))
 
-    def counts(mode):
-        parsed = sec.parse_description(df, "body", mode=mode)
-        return parsed.select("doc_id", F.size("qualifications_required").alias("required"),
-                             F.size("qualifications_bonus").alias("bonus"),
-                             F.size("responsibilities").alias("duties"), F.length("summary").alias("summary_chars"))
-    return compare_counts(counts("phrase"), counts("regex"), "doc_id", ["required", "bonus", "duties", "summary_chars"])
+
+def low_confidence_items(spark, sf):
+    parsed = sec.parse_description(postings(spark, sf), "body", confidence=True)
+    return sec.low_confidence_items(parsed, "doc_id")
 
 
 def quality_metrics(spark, sf):
@@ -189,5 +187,10 @@ QUERIES = {
     "bullet_confidence": (bullet_confidence, f"""WITH {CHECK_POSTINGS}, pt AS (SELECT doc_id, body AS txt FROM p), {check_bullets('pt', 'b')}
         SELECT doc_id, o - 1 AS pos, {_signal_sum(sec.QUALIFICATION_SIGNALS)} AS as_qualification,
                {_signal_sum(sec.RESPONSIBILITY_SIGNALS)} AS as_responsibility FROM b"""),
+    "low_confidence_items": (low_confidence_items, f"""{SECTIONS}, {QUAL_ITEMS}, {RESP_ITEMS},
+        q AS (SELECT doc_id, kind, (row_number() OVER (PARTITION BY doc_id, kind ORDER BY o) - 1)::INT AS pos, item AS txt FROM qi),
+        c AS (SELECT *, {_signal_sum(sec.QUALIFICATION_SIGNALS)} AS confidence FROM q
+              UNION ALL SELECT doc_id, 'responsibility', o - 1, txt, {_signal_sum(sec.RESPONSIBILITY_SIGNALS)} FROM rb)
+        SELECT doc_id, kind, pos, txt AS text, confidence FROM c WHERE confidence < {sec.LOW_CONFIDENCE}"""),
     "boilerplate_drop": (boilerplate_drop, f"SELECT doc_id, {_boilerplate_sql(PITCH)} AS summary FROM documents"),
 }

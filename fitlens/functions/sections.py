@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fitlens.functions.text import BLANK, SPACE, _as_column, contains_any, let, strip
 from fitlens.lexicon import BOILERPLATE_PATTERNS, CONTEXT_CHARS, DEFAULT_LEXICON, Lexicon
+from fitlens.operators.rows import each_item
 
 MARKERS = r"(?:[•\-*]|\p{Nd}+[.)]|[a-z][.)])"
 WIDE_MARKERS = r"(?:[•\-*◦○▪▫]|\p{Nd}+[.)]|[a-zA-Z][.)])"
@@ -283,3 +284,20 @@ def confidence(text: Column | str, signals=QUALIFICATION_SIGNALS, base: float =
         return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6)
 
     return let(F.lower(_as_column(text)), score)
+
+
+LOW_CONFIDENCE = 0.4
+
+
+def low_confidence_items(parsed: DataFrame, id_col: str = "job_id", threshold: float = LOW_CONFIDENCE) -> DataFrame:
+    """``id, kind, pos, text, confidence`` of the items of parsed postings below a threshold, for
+    review. Postings parsed without confidences have none."""
+    def of(column: str, field: str, kind: str) -> Column:
+        return F.transform(F.col(column), lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("pos"), x[field].alias("text"),
+            F.get(f"{column}_confidence", i).alias("confidence")))
+
+    items = F.concat(of("qualifications_required", "text", "required"), of("qualifications_bonus", "text", "bonus"),
+                     of("responsibilities", "activity", "responsibility"))
+    low = F.filter(items, lambda x: x["confidence"] < threshold)
+    return each_item(parsed, low, [id_col], "_low", "_n").select(id_col, "_low.*")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from fitlens.functions.text import _as_column
 from fitlens.lexicon import FIT_THRESHOLD, validate_weights
+from fitlens.functions.sections import Parser, parse_description
+from fitlens.lexicon import DEFAULT_LEXICON, Lexicon
 from fitlens.operators.rank import global_rank
 
 
@@ -36,12 +38,16 @@ def confusion(df: DataFrame, truth: Column | str, predicted: Column | str) -> Da
         F.count(F.lit(1)).alias("n_rows"))
 
 
-def compare_counts(left: DataFrame, right: DataFrame, key: str, counts: Sequence[str]) -> DataFrame:
-    """Per key the counts of two parser runs and their difference."""
-    a = left.select(key, *[F.col(c).alias(f"{c}_a") for c in counts])
-    b = right.select(key, *[F.col(c).alias(f"{c}_b") for c in counts])
-    joined = a.join(b, key)
-    return joined.select(key, *[c for n in counts for c in (
+def compare_parsers(df: DataFrame, text: str, key: str, a: Parser, b: Parser,
+                    lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+    """Per row the item counts and summary lengths of two parsers, and their differences. Both
+    parse in one pass over the rows, without a join."""
+    counts = ("required", "bonus", "duties", "summary_chars")
+    for side, parser in (("a", a), ("b", b)):
+        parsed = parse_description(df, text, lexicon, parser)
+        values = (F.size("qualifications_required"), F.size("qualifications_bonus"), F.size("responsibilities"), F.length("summary"))
+        df = parsed.select(*df.columns, *[v.alias(f"{c}_{side}") for c, v in zip(counts, values)])
+    return df.select(key, *[c for n in counts for c in (
         F.col(f"{n}_a"), F.col(f"{n}_b"), (F.col(f"{n}_b") - F.col(f"{n}_a")).alias(f"{n}_delta"))])
 
 

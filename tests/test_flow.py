@@ -3,9 +3,11 @@ import datetime
 import glob
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fitlens.functions.sections import ENHANCED, Parser, low_confidence_items
 from fitlens.lexicon import SCORE_WEIGHTS, Lexicon
 from fitlens.plans import run as flow
 from fitlens.plans.embed import posting_sections
@@ -159,6 +161,50 @@ def test_full_run_is_idempotent(spark, tmp_path, folder):
     assert {r["table"] for r in store.listing().filter("present").collect()} >= {"raw_postings", "rankings"}
 
 
+def test_hooks_options_and_encoders(spark, tmp_path, folder):
+    text = "Qualifications\n- 3 years of SQL\nPreferred:\n- Kafka\n- builds charts at Acme Group, Inc.\n"
+    raw = folder("one.json", [post("A", text), post("B", "Responsibilities\n- You will lead\n"), 7])
+    (tmp_path / "me.json").write_text(json.dumps(PROFILE))
+    names = spark.createDataFrame([("Acme Group, Inc.", "ORG")], "name string, label string")
+    verbs = spark.createDataFrame([("builds", "build"), ("LEAD", "lead")], "form string, lemma string")
+    settings = flow.Settings(postings=raw, profile=str(tmp_path / "me.json"), as_of=AS_OF, dim=8, parser=ENHANCED,
+                             gazetteer=names, verbs=verbs)
+    store = Store(spark, str(tmp_path / "store"))
+    flow.run(spark, store.root, settings)
+    assert [tuple(r) for r in store.read("rejects").collect()] == [("one.json", 2, "not_an_object")]
+    rows = {r["company"]: r for r in store.read("clean_postings").collect()}
+    a = rows["A"]
+    assert [q["text"] for q in a["qualifications_required"]] == ["3 years of SQL"]
+    assert [q["text"] for q in a["qualifications_bonus"]] == ["Kafka", "builds charts at Acme Group, Inc."]
+    assert len(a["qualifications_bonus_confidence"]) == 2 and a["qualifications_required_confidence"] == [0.7]
+    assert a["entities"] == {"ORG": ["Acme Group, Inc."]} and a["action_verbs"] == ["build"]
+    assert rows["B"]["entities"] == {} and rows["B"]["action_verbs"] == ["lead"]
+    low = low_confidence_items(store.read("clean_postings")).collect()
+    assert {r["text"] for r in low} == {"Kafka", "builds charts at Acme Group, Inc."}
+
+    # Another encoder replaces every vector, those of the stored profile too.
+    def load():
+        return lambda texts: texts.map(lambda t: [1.0, float(len(t))])
+
+    settings.load_encoder, settings.encoder, settings.dim, settings.profile = load, "length", 2, None
+    flow.run(spark, store.root, settings, skip=("intake", "preprocess"))
+    for table in ("job_embeddings", "profile_embeddings"):
+        assert {(r["encoder"], len(r["embedding"])) for r in store.read(table).collect()} == {("length/2", 2)}
+    assert store.read("rankings").count() == 2
+    store.replace_version("rankings", store.read("rankings").limit(0), store.read("profile_embeddings"))
+    assert store.read("rankings").count() == 0
+
+    def load_tagger():
+        return lambda texts: pd.DataFrame({"entities": [{"X": ["y"]} for _ in texts], "action_verbs": [["do"] for _ in texts]})
+
+    store.clear(["clean_postings"])
+    flow.preprocess(store, flow.Settings(load_tagger=load_tagger, parser=Parser(subsections=True, min_confidence=0.6)))
+    rows = {r["company"]: r for r in store.read("clean_postings").collect()}
+    assert rows["A"]["entities"] == {"X": ["y"]} and rows["B"]["action_verbs"] == ["do"]
+    kept = [*rows["A"]["qualifications_required"], *rows["A"]["qualifications_bonus"]]
+    assert [q["text"] for q in kept] == ["3 years of SQL"] and rows["A"]["qualifications_required_confidence"] is None
+
+
 def test_check_inputs(spark, tmp_path):
     store = Store(spark, str(tmp_path / "none"))
     assert flow.check_inputs(store, flow.Settings()) == ["no folder of posting files given", "no profile given"]
@@ -179,6 +225,8 @@ def test_stream_picks_up_only_new_files(spark, tmp_path, folder):
         start_intake(store, settings, str(tmp_path / "cp")).awaitTermination()
         assert store.read("raw_postings").count() == expected
         assert store.read("clean_postings").count() == expected
+    counts = {(r["batch"], r["file"]): (r["inserted"], r["duplicates"]) for r in store.read("intake_counts").collect()}
+    assert counts == {(0, "one.json"): (2, 1), (0, None): (2, 1), (1, "two.json"): (1, 1), (1, None): (1, 1)}
     # A lost stream checkpoint replays every file and still adds nothing.
     start_intake(store, settings, str(tmp_path / "cp2")).awaitTermination()
     assert store.read("raw_postings").count() == 3 and store.read("clean_postings").count() == 3

@@ -250,6 +250,15 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_rows(docs: DataFrame, winners: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``winners`` (``first``: id and hash of id and text) name, each once."""
+    key = F.xxhash64("doc_id", "text")
+    winners = winners.select(F.col("first.doc_id").alias("_id"), F.col("first._key").alias("_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own"), key.alias("_hash"))
+    kept = rows.join(winners, (F.col("_hash") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["_own", "_hash"]).select("_row.*")
+
+
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay when each component keeps one: the one of
     the smallest id (null last). Of rows equal in id and text one stays."""
@@ -258,7 +267,4 @@ def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
     by_fp = each.groupBy("fp").agg(F.min(first).alias("first"))
     winners = _classes(each, max_bits).join(by_fp, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    winners = winners.select(F.col("first.doc_id").alias("_id"), F.col("first._key").alias("_key"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own"), key.alias("_hash"))
-    kept = rows.join(winners, (F.col("_hash") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["_own", "_hash"]).select("_row.*")
+    return keep_rows(docs, winners)

@@ -161,13 +161,13 @@ def parse(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
 
 
 def main_text(page: str | None, noise_paths=frozenset()) -> str:
-    """Blocks that count, joined by an empty line. Entropy never empties a page: if it would leave
-    no block at all, only the marked elements go."""
+    """Blocks that count, joined by an empty line. Entropy takes nothing of a marked article and never
+    empties a page: if it would leave no block at all, only the marked elements go."""
     blocks, _ = parse(page)
     good = [b for b in blocks if not b.noise]
     if any(b.inside for b in good):
         good = [b for b in good if b.inside]
-    important = [b for b in good if b.path not in noise_paths] if noise_paths else good
+    important = [b for b in good if b.inside or b.path not in noise_paths] if noise_paths else good
     return "\n\n".join(b.text for b in important or good)
 
 
@@ -178,28 +178,32 @@ def host_of(url: Column) -> Column:
 
 def style_nodes(pages: DataFrame) -> DataFrame:
     """One row per host and style node: ``host, path, pages``, the entropy of its layouts and of its
-    texts. ``pages`` needs ``url, html``."""
+    texts. Pages of a host with the same blocks count once. ``pages`` needs ``url, html``."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            out: dict[str, list] = {"row": [], "path": [], "kind": [], "feature": []}
+            out: dict[str, list] = {"row": [], "page": [], "path": [], "kind": [], "feature": []}
             for i, page in enumerate(batch.column("html").to_pylist()):
                 blocks, children = parse(page)
                 found = {(b.path, 1, b.text) for b in blocks if not b.noise}
                 found |= {(p, 2, " ".join(c)) for p, c in children.items()}
                 found |= {(p, 0, "") for p in {f[0] for f in found}}
+                own = "\n".join(f"{b.path}\n{b.text}" for b in blocks if not b.noise)
+                out_page = xxh3_64_intdigest(own.encode("utf-8", "surrogatepass")) >> 1
                 for path, kind, feature in found:
                     out["row"].append(i)
+                    out["page"].append(out_page)
                     out["path"].append(path)
                     out["kind"].append(kind)
                     out["feature"].append(xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass")) >> 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("host").take(pa.array(out["row"], pa.int64())), pa.array(out["path"], pa.string()),
-                 pa.array(out["kind"], pa.int32()), pa.array(out["feature"], pa.int64())], ["host", "path", "kind", "feature"])
+                [batch.column("host").take(pa.array(out["row"], pa.int64())), pa.array(out["page"], pa.int64()),
+                 pa.array(out["path"], pa.string()), pa.array(out["kind"], pa.int32()), pa.array(out["feature"], pa.int64())],
+                ["host", "page", "path", "kind", "feature"])
 
     narrow = pages.select(host_of(F.col("url")).alias("host"), "html")
-    features = narrow.mapInArrow(emit, "host string, path string, kind int, feature long")
+    features = narrow.mapInArrow(emit, "host string, page long, path string, kind int, feature long").distinct()
     counts = features.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
     nodes = counts.groupBy("host", "path").agg(

@@ -50,6 +50,22 @@ def test_copies_are_no_noise(spark):
     assert {r.text for r in pages.extract_main_text(df).collect()} == {"Copy"}
 
 
+def test_list_of_copies_stays(spark):
+    """Copies of one page on a mixed host keep what only they have, with a marked article or without."""
+    page = "<{0}><h1>Copied</h1><p>Its text</p><ul><li>one</li><li>two</li></ul><blockquote>said</blockquote></{0}>"
+    for tag in ("article", "div"):
+        rows = [(i, f"http://m.org/{i}", f"<{tag}><h1>Title {i}</h1><p>Text {i}</p></{tag}>") for i in range(20)]
+        rows += [(100 + i, f"http://m.org/c{i}", page.format(tag)) for i in range(8)]
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in pages.extract_main_text(df).collect()}
+        assert {got[100 + i] for i in range(8)} == {"Copied\n\nIts text\n\none\n\ntwo\n\nsaid"}
+        assert got[3] == "Title 3\n\nText 3"
+
+
+def test_entropy_takes_nothing_of_an_article():
+    assert pages.main_text("<article><h2>Same</h2><p>Text</p></article>", frozenset(["/article/h2"])) == "Same\n\nText"
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert pages.extract_main_text(df).collect() == []

@@ -4,8 +4,9 @@ The pages of a host are merged into one tree of style nodes (a path of tags and
 is important if its pages lay out its children in many ways (presentation) or if its texts
 differ from page to page (content), both measured as entropy; branches that are unimportant
 throughout are removed from each page, and so are the elements that HTML itself or a usual
-class name marks as navigation, notice, advert, form or comment. Where a page marks its
-article, the text is taken from there."""
+class name marks as navigation, notice, advert, form or comment; if that leaves nothing, marked
+text stays. Where a page marks an article that holds most of its unmarked text, only that is
+taken."""
 
 from __future__ import annotations
 
@@ -38,6 +39,11 @@ NOISE_WORDS = frozenset(
     "signup skip social sponsor sponsored subscribe subscription tagcloud toc toolbar topbar widget".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 CONTENT_TAGS = frozenset(["article", "main"])
+#: Elements of running text: inside an article a class name does not take them away.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption".split())
+#: How an element is marked: not at all, by a word that is only part of its class or id, by a whole
+#: word, by its tag or role.
+PLAIN, HINT, WORD, TAG = range(4)
 CLOSED_BY = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)),
              "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
              "option": ("option", ("select", "datalist"))}
@@ -52,28 +58,39 @@ _NAME = re.compile(r"[a-z][a-z-]*[a-z]|[a-z]")
 MIN_PAGES, BELOW, NOISE = 5, 0.9, 0.2
 
 
-def _marked(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """Style name of an element, and whether its name or class marks it as noise."""
-    noise, style = tag in NOISE_TAGS or tag == "header" and not in_article, tag
+def _marked(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
+    """Style name of an element, and how its name or class marks it as noise. A form may wrap a whole
+    page, so it marks no more than a word does."""
+    noise, style = PLAIN, tag
+    if tag in NOISE_TAGS or tag == "header" and not in_article:
+        noise = WORD if tag == "form" else TAG
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             words = value.split()
             if name == "role":
-                noise |= any(w in NOISE_ROLES for w in words)
+                if any(w in NOISE_ROLES for w in words):
+                    noise = max(noise, WORD if "form" in words else TAG)
             else:
-                parts = {p for w in words for p in (w, *re.split(r"[-_]", w))}
-                noise |= tag not in ("body", "html", *CONTENT_TAGS) and bool(parts & NOISE_WORDS)
+                if tag not in ("body", "html", *CONTENT_TAGS) and not (in_article and tag in TEXT_TAGS):
+                    if not NOISE_WORDS.isdisjoint(words):
+                        noise = max(noise, WORD)
+                    elif any(not NOISE_WORDS.isdisjoint(re.split(r"[-_]", w)) for w in words):
+                        noise = max(noise, HINT)
                 if name == "class" and words:
                     style = f"{tag}.{'.'.join(sorted(words))}"
     return style, noise
 
 
 class Block:
-    __slots__ = ("path", "text", "noise", "inside")
+    __slots__ = ("path", "text", "mark", "inside")
 
-    def __init__(self, path: str, text: str, noise: bool, inside: bool):
-        self.path, self.text, self.noise, self.inside = path, text, noise, inside
+    def __init__(self, path: str, text: str, mark: int, inside: bool):
+        self.path, self.text, self.mark, self.inside = path, text, mark, inside
+
+    @property
+    def noise(self) -> bool:
+        return self.mark >= WORD
 
 
 def parse(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
@@ -81,7 +98,7 @@ def parse(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
     White space in a block is one space, character references are decoded, empty blocks left out."""
     blocks: list[Block] = []
     children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, inside
+    stack: list[tuple[str, str, int, bool]] = [("", "", PLAIN, False)]  # tag, path, mark, inside
     parts: list[str] = []
     text = page or ""
     at, end, owner = 0, len(text), stack[0]
@@ -155,7 +172,9 @@ def parse(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
             closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(text, at)
             at = closing.end() if closing else end
             continue
-        stack.append((tag, path, top[2] or noise, top[3] or tag in CONTENT_TAGS))
+        # The words of a wrapper say nothing of an article below it.
+        above = PLAIN if tag in CONTENT_TAGS and top[2] < TAG else top[2]
+        stack.append((tag, path, max(above, noise), top[3] or tag in CONTENT_TAGS))
     flush()
     return blocks, children
 
@@ -164,11 +183,14 @@ def main_text(page: str | None, noise_paths=frozenset()) -> str:
     """Blocks that count, joined by an empty line. Entropy takes nothing of a marked article and never
     empties a page: if it would leave no block at all, only the marked elements go."""
     blocks, _ = parse(page)
-    good = [b for b in blocks if not b.noise]
-    if any(b.inside for b in good):
-        good = [b for b in good if b.inside]
+    good = [b for b in blocks if not b.noise] or [b for b in blocks if b.mark < TAG] or blocks
     important = [b for b in good if b.inside or b.path not in noise_paths] if noise_paths else good
-    return "\n\n".join(b.text for b in important or good)
+    good = important or good
+    # An article has the text where it holds at least half of what nothing marks.
+    size = lambda inside: sum(len(b.text) for b in good if b.inside == inside and b.mark == PLAIN)
+    if any(b.inside for b in good) and size(True) >= size(False):
+        good = [b for b in good if b.inside]
+    return "\n\n".join(b.text for b in good)
 
 
 def host_of(url: Column) -> Column:

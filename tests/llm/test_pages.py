@@ -66,6 +66,23 @@ def test_entropy_takes_nothing_of_an_article():
     assert pages.main_text("<article><h2>Same</h2><p>Text</p></article>", frozenset(["/article/h2"])) == "Same\n\nText"
 
 
+def test_marks_do_not_empty_a_page():
+    text = "<h1>Title</h1><p>Main text of the page</p>"
+    for wrapper in ('class="content no-sidebar"', "class=has-sidebar", 'class="layout-with-menu"', 'id="skip-target"', "class=widget"):
+        assert pages.main_text(f"<div {wrapper}><article>{text}</article></div>") == "Title\n\nMain text of the page"
+        assert pages.main_text(f"<div {wrapper}>{text}</div>") == "Title\n\nMain text of the page"
+    assert pages.main_text(f"<form><main>{text}</main></form>") == "Title\n\nMain text of the page"
+    inside = '<article><p>Text</p><section id="related-work"><p>Others</p></section><p class="notice">Mind this</p></article>'
+    assert pages.main_text(inside) == "Text\n\nOthers\n\nMind this"
+    assert pages.main_text("<nav>menu</nav><div class=sidebar>side</div><p>Text</p>") == "Text"
+
+
+def test_a_teaser_is_not_the_page():
+    teaser = "<article><p>Short card</p></article>"
+    assert pages.main_text(f"<div><p>{'Long text of the page. ' * 9}</p></div>{teaser}").startswith("Long text")
+    assert pages.main_text(f"<div>few</div>{teaser}") == "Short card"
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert pages.extract_main_text(df).collect() == []

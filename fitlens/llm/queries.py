@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlens.llm import langid, lines, mixing, outliers, pages, simhash, suffixes, tiling, tokens, urls
+from fitlens.llm import langid, lines, middle, mixing, outliers, pages, simhash, suffixes, tiling, tokens, urls
 from fitlens.llm.common import table
 
 
@@ -58,6 +58,12 @@ def op10_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_style_tree_text": (op1_style_tree_text, None),
     "op2_vantage_simhash": (op2_vantage_simhash, None),
@@ -69,4 +75,5 @@ QUERIES = {
     "op8_longest_previous_factors": (op8_longest_previous_factors, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_segment_line_dedup": (op10_segment_line_dedup, None),
+    "op11_fill_in_middle": (op11_fill_in_middle, middle.SQL),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlens.llm import langid, lines, middle, mixing, outliers, pages, simhash, suffixes, tiling, tokens, urls
+from fitlens.llm import langid, lines, middle, mixing, outliers, pages, simhash, suffixes, tiling, tokens, urls, whitening
 from fitlens.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_multiplicity_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_style_tree_text": (op1_style_tree_text, None),
     "op2_vantage_simhash": (op2_vantage_simhash, None),
@@ -76,4 +80,5 @@ QUERIES = {
     "op9_token_counts": (op9_token_counts, None),
     "op10_segment_line_dedup": (op10_segment_line_dedup, None),
     "op11_fill_in_middle": (op11_fill_in_middle, middle.SQL),
+    "op12_multiplicity_whitening": (op12_multiplicity_whitening, None),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlens.llm import langid, lines, middle, mixing, outliers, pages, simhash, suffixes, tiling, tokens, urls, whitening
+from fitlens.llm import langid, lines, middle, mixing, outliers, overlap, pages, simhash, suffixes, tiling, tokens, urls, whitening
 from fitlens.llm.common import table
 
 
@@ -68,6 +68,10 @@ def op12_multiplicity_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_count_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.similar_sets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_style_tree_text": (op1_style_tree_text, None),
     "op2_vantage_simhash": (op2_vantage_simhash, None),
@@ -81,4 +85,5 @@ QUERIES = {
     "op10_segment_line_dedup": (op10_segment_line_dedup, None),
     "op11_fill_in_middle": (op11_fill_in_middle, middle.SQL),
     "op12_multiplicity_whitening": (op12_multiplicity_whitening, None),
+    "op13_count_rtree_join": (op13_count_rtree_join, None),
 }

@@ -68,7 +68,7 @@ def test_registered():
 
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert "op6_mix_sources" in __spark_entry__.oracle_sql()
 
 

@@ -81,6 +81,17 @@ def topk_matches(spark, sf):
                                           F.round("similarity", 6).alias("similarity"))
 
 
+def match_large_profile(spark, sf):
+    """Documents against the sentences of all documents: both sides grow with the table."""
+    docs = load_wide(spark, sf, "documents", "doc_id", "text")
+    sentences = each_item(docs, F.split("text", "[.] "), ["doc_id"], "text")
+    numbered = global_rank(sentences, ["doc_id", "pos"], rank_col="ordinal")
+    profile = numbered.select(F.lit("sentences").alias("profile_version"), F.col("ordinal").cast("int").alias("ordinal"),
+                              F.lit("Projects").alias("section"), embed_text("text", dim=DIM).alias("embedding"))
+    scored = match_profile(_document_vectors(spark, sf), profile, 3)
+    return explode_matches(scored).select("job_id", "position", "ordinal", F.round("similarity", 6).alias("similarity"))
+
+
 def topk_per_section(spark, sf):
     scored = match_profile(_document_vectors(spark, sf), _benchmark_profile(spark, sf), per_section=PER_SECTION)
     return explode_matches(scored).select("job_id", "section", "ordinal", F.round("similarity", 6).alias("similarity"))
@@ -215,6 +226,12 @@ QUERIES = {
     "topk_matches": (topk_matches, f"""WITH {_PROFILE_CHECK}
         SELECT job_id, rn::INT AS position, ordinal, section, round(s, 6) AS similarity FROM (
             SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY s DESC, ordinal) AS rn FROM sim) WHERE rn <= 5"""),
+    "match_large_profile": (match_large_profile, f"""WITH p AS (SELECT doc_id, unnest(string_split(text, '. ')) AS text, generate_subscripts(string_split(text, '. '), 1) AS i FROM documents),
+        n AS (SELECT row_number() OVER (ORDER BY doc_id, i) AS ordinal, text FROM p),
+        {_hash_check('documents', 'doc_id', 'text', 'd')}, {_hash_check('n', 'ordinal', 'text', 's')},
+        sim AS (SELECT d_e.id AS job_id, s_e.id AS ordinal, {_cos('d_e.e', 's_e.e')} AS s FROM d_e CROSS JOIN s_e)
+        SELECT job_id, rn::INT AS position, ordinal::INT AS ordinal, round(s, 6) AS similarity FROM (
+            SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY s DESC, ordinal) AS rn FROM sim) WHERE rn <= 3"""),
     "topk_per_section": (topk_per_section, f"""WITH {_PROFILE_CHECK}
         SELECT job_id, section, ordinal, round(s, 6) AS similarity FROM (
             SELECT *, row_number() OVER (PARTITION BY job_id, section ORDER BY s DESC, ordinal) AS rn FROM sim)

@@ -4,28 +4,26 @@ The profile side is one document's rows, some dozens. It is read with a row limi
 above ``MAX_PROFILE_ROWS``; below the bound it is packed into a matrix that each task
 holds, and one matrix product per Arrow batch gives all similarities of the batch. The
 best rows are picked in the same step, so nothing is shuffled and no pair is ever
-written out. A larger profile goes through hash blocks of bounded size instead: same
-result, one shuffle, and only the best rows of each block leave a task.
+written out. A larger profile is laid out in cells, of which a posting meets those that can
+hold its best rows: same result, and only the best rows of each cell leave a task.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fitlens.operators.rows import each_item
-from fitlens.session import ensure_checkpoint_dir
+from fitlens.operators.cells import best_rows, similarities, unit_rows
+from fitlens.operators.rows import each_item, stored
 
 OVERALL = "overall_resume"
 MAX_PROFILE_ROWS = 4096
-JOBS_PER_GROUP = 5_000
 _CELLS = 4_000_000
 _OUTPUT_BYTES = 32 << 20
 _META = ("section", "subsection", "content_type", "text")
@@ -33,23 +31,6 @@ _META_DDL = ",".join(f"{c}:string" for c in _META)
 _MATCH_DDL = f"struct<ordinal:int,{_META_DDL},similarity:double>"
 
 
-def _matrix(vectors: pa.Array, dim: int | None = None) -> np.ndarray:
-    """Unit row vectors of a list array; null and zero vectors become zero rows."""
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    present = np.asarray(vectors.is_valid())
-    if dim is None:
-        dim = len(flat) // max(int(present.sum()), 1)
-    if len(flat) != int(present.sum()) * dim:
-        raise ValueError(f"all vectors must have {dim} dimensions")
-    rows = np.zeros((len(vectors), dim))
-    rows[present] = flat.reshape(-1, dim)
-    length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-    length[length == 0] = 1.0
-    return rows / length[:, None]
-
-
 @dataclass
 class _Profile:
     """A bounded set of profile rows in a form cheap to ship to tasks."""
@@ -63,7 +44,7 @@ class _Profile:
         order = np.lexsort((np.asarray(self.rows["ordinal"]),
                             np.asarray(self.rows["profile_version"].to_pylist(), dtype=str)))
         rows = self.rows.take(pa.array(order)).combine_chunks()
-        self.unit = _matrix(rows["embedding"], self.dim) if self.dim else np.zeros((len(order), 0))
+        self.unit = unit_rows(rows["embedding"], self.dim) if self.dim else np.zeros((len(order), 0))
         meta = {"ordinal": rows["ordinal"].cast(pa.int32()).combine_chunks()}
         for name in _META:
             column = rows[name].combine_chunks() if name in rows.column_names else None
@@ -86,13 +67,11 @@ class _Profile:
         """Per chunk of rows and profile version: overall similarities (or None) and the
         picked profile rows with their similarities, best first."""
         # A profile without any vector is similar to nothing.
-        jobs = _matrix(vectors, self.dim) if self.dim else np.zeros((len(vectors), 0))
+        jobs = unit_rows(vectors, self.dim) if self.dim else np.zeros((len(vectors), 0))
         present = np.asarray(vectors.is_valid())
         step = max(1, _CELLS // max(len(self.unit), 1))
         for at in range(0, len(jobs), step):
-            # The last bits of a matrix product depend on the batch. Rounding makes equal
-            # vectors tie, and ties keep profile order, however the rows are batched.
-            sims = np.round(np.clip(jobs[at:at + step] @ self.unit.T, 0.0, 1.0), 12)
+            sims = similarities(jobs[at:at + step], self.unit)
             for version, overall, picks in self.groups:
                 chosen = []
                 for columns, n in picks:
@@ -125,7 +104,7 @@ def _bounded(profile: DataFrame, limit: int) -> pa.Table | None:
 
 def match_profile(jobs: DataFrame, profile: DataFrame, top_n: int = 5,
                   per_section: Mapping[str, int] | None = None, vector: str = "embedding",
-                  max_profile_rows: int = MAX_PROFILE_ROWS) -> DataFrame:
+                  max_profile_rows: int = MAX_PROFILE_ROWS, report: dict | None = None) -> DataFrame:
     """One row per posting and profile version with ``overall_similarity`` and ``matches``, whether or
     not postings have ids and whether these differ. ``overall_similarity`` is that of the overall
     row with the smallest ordinal.
@@ -134,13 +113,14 @@ def match_profile(jobs: DataFrame, profile: DataFrame, top_n: int = 5,
     order. With ``per_section`` it holds the best n rows of every named section instead.
     A posting without a vector gets 0.0 and no matches. ``profile`` has the columns
     ``profile_version, ordinal, section, embedding`` and may have the descriptive ones.
+    ``report`` gets what ``cells.best_rows`` says of a profile beyond the bound.
     """
     if "profile_version" not in profile.columns:
         profile = profile.withColumn("profile_version", F.lit("default"))
     dim = _dimension(profile)
     rows = _bounded(profile, max_profile_rows)
     if rows is None:
-        return _match_blocks(jobs, profile, top_n, per_section, vector, max_profile_rows, dim)
+        return _match_large(jobs, profile, top_n, per_section, vector, max_profile_rows, dim, report)
     if rows.num_rows == 0:
         raise ValueError("the profile has no rows")
     packed = _Profile(rows, top_n, per_section, dim)
@@ -198,103 +178,49 @@ def _score_batch(packed: _Profile, vectors: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, stacked.take(interleave))
 
 
-def _match_blocks(jobs, profile, top_n, per_section, vector, max_rows, dim) -> DataFrame:
-    """The exact match for a profile that does not fit one task.
-
-    Profile rows hash into blocks of about half the bound, postings into salts of bounded
-    size. Every (block, salt) cell is one group; it emits its best rows only, and the best
-    of those bests is the overall best. A posting is known by a number of its row, given
-    before the split, so equal and null ids stay apart."""
-    ensure_checkpoint_dir(jobs.sparkSession)
-    jobs = jobs.withColumn("_posting", F.monotonically_increasing_id()).checkpoint(eager=True)
+def _match_large(jobs, profile, top_n, per_section, vector, max_rows, dim, report) -> DataFrame:
+    """The exact match for a profile that does not fit one task: ``best_rows`` over groups of its rows, one
+    a version (and section), and one of the first overall row of each version. Postings and rows are
+    known by numbers given before the split, so equal and null ids stay apart, and the texts of rows
+    are joined to the best ones only."""
+    jobs = stored(jobs.withColumn("_posting", F.monotonically_increasing_id()))
     others = [c for c in jobs.columns if c not in (vector, "_posting")]
-    id_cols = ["_posting"]
-    blocks = max(2, math.ceil(2 * profile.count() / max_rows))
-    salts = max(1, math.ceil(jobs.count() / JOBS_PER_GROUP))
-    hash_of = lambda cols, n: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
-    left = (
-        jobs.select(*id_cols, F.col(vector).alias("embedding"))
-        .withColumn("_salt", hash_of(id_cols, salts))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    )
-    right = (
-        profile.withColumn("_block", hash_of(["profile_version", "ordinal"], blocks))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    ids = [jobs.schema[c] for c in id_cols]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in ids],
-                        "profile_version string", "overall_ordinal int", "overall_similarity double", f"match {_MATCH_DDL}"])
-
-    def cell(jobs_part: pa.Table, profile_part: pa.Table) -> pa.Table:
-        out = []
-        if jobs_part.num_rows and profile_part.num_rows:
-            packed = _Profile(profile_part, top_n, per_section, dim)
-            first = {version: overall for version, overall, _ in packed.groups}
-            vectors = jobs_part["embedding"].combine_chunks()
-            for version, at, present, whole, picked, sims in packed.best(vectors):
-                size = picked.shape[1]
-                # A row per picked match; the overall similarity rides on a row of its own.
-                where = np.flatnonzero(present) + at
-                if size:
-                    take = pa.array(np.repeat(where, size))
-                    out.append(pa.table({
-                        **{c: jobs_part[c].take(take) for c in id_cols},
-                        "profile_version": pa.array([version] * len(take), pa.string()),
-                        "overall_ordinal": pa.nulls(len(take), pa.int32()),
-                        "overall_similarity": pa.nulls(len(take), pa.float64()),
-                        "match": packed.match_struct(picked[present], sims[present])}))
-                base = pa.array(np.arange(at, at + len(present)))
-                value = (pa.nulls(len(present), pa.float64()) if whole is None
-                         else pa.array(np.where(present, whole, 0.0)))
-                out.append(pa.table({
-                    **{c: jobs_part[c].take(base) for c in id_cols},
-                    "profile_version": pa.array([version] * len(present), pa.string()),
-                    "overall_ordinal": (pa.nulls(len(present), pa.int32()) if whole is None else
-                                        packed.meta["ordinal"].take(pa.array(np.repeat(first[version], len(present))))),
-                    "overall_similarity": value,
-                    "match": pa.nulls(len(present), packed.match_struct(
-                        np.zeros((0,), int), np.zeros((0,))).type)}))
-        if not out:
-            return _empty_cells(jobs_part, id_cols)
-        return pa.concat_tables(out)
-
-    cells = (
-        left.groupBy("_block", "_salt").cogroup(right.groupBy("_block", "_salt"))
-        .applyInArrow(cell, schema)
-    )
-    key = [*id_cols, "profile_version"]
-    bests = cells.filter(F.col("match").isNotNull())
-    section = [F.col("match.section")] if per_section is not None else []
-    window = Window.partitionBy(*key, *section).orderBy(
-        F.desc("match.similarity"), F.col("match.ordinal"))
-    ranked = bests.withColumn("_rk", F.row_number().over(window))
-    if per_section is None:
-        ranked = ranked.filter(F.col("_rk") <= top_n)
-        place = F.lit(0)
+    kept = [c for c in ("profile_version", "ordinal", *_META, "embedding") if c in profile.columns]
+    profile = stored(profile.select(*kept).withColumn("_row", F.monotonically_increasing_id()))
+    named = F.struct(F.lit("best").alias("kind"), "profile_version", *(["section"] if per_section is not None else []))
+    limit = F.lit(top_n)
+    if per_section is not None:
+        limit = F.element_at(F.create_map(*[F.lit(x) for pair in per_section.items() for x in pair]), F.col("section"))
+        profile_rows = profile.filter(F.col("section").isin(list(per_section)))
     else:
-        ranked = ranked.filter(F.col("_rk") <= max(per_section.values()))
-        limit = F.lit(0)
-        place = F.lit(0)
-        for i, (name, n) in enumerate(per_section.items()):
-            limit = F.when(F.col("match.section") == name, n).otherwise(limit)
-            place = F.when(F.col("match.section") == name, i).otherwise(place)
-        ranked = ranked.filter(F.col("_rk") <= limit)
-    gathered = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(
-        F.struct(place.alias("p"), F.col("_rk").alias("r"), F.col("match").alias("m")))).alias("_m"))
-    overall = cells.groupBy(*key).agg(F.coalesce(
-        F.min_by("overall_similarity", "overall_ordinal"), F.lit(0.0)).alias("overall_similarity"))
-    result = overall.join(gathered, key, "left").select(
-        *key, "overall_similarity",
-        F.coalesce(F.transform("_m", lambda x: x["m"]), F.array().cast(f"array<{_MATCH_DDL}>")).alias("matches"))
-    return jobs.select(*others, "_posting").join(result, id_cols).select(
-        *others, "profile_version", "overall_similarity", "matches")
-
-
-def _empty_cells(jobs_part: pa.Table, id_cols: Sequence[str]) -> pa.Table:
-    match = pa.struct([("ordinal", pa.int32()), *[(m, pa.string()) for m in _META], ("similarity", pa.float64())])
-    return pa.table({
-        **{c: jobs_part[c].slice(0, 0) for c in id_cols}, "profile_version": pa.array([], pa.string()),
-        "overall_ordinal": pa.array([], pa.int32()), "overall_similarity": pa.array([], pa.float64()), "match": pa.array([], match)})
+        profile_rows = profile
+    columns = ["_row", "_group", "_n", "ordinal", "embedding"]
+    rows = profile_rows.withColumn("_group", F.to_json(named)).withColumn("_n", limit.cast("int")).filter("_n > 0").select(*columns)
+    whole = F.when(F.col("section") == OVERALL, F.struct("ordinal", "_row", "embedding"))
+    first = profile.groupBy("profile_version").agg(F.min(whole).alias("w"))
+    overall = first.select(
+        F.coalesce("w._row", F.lit(-1).cast("long")).alias("_row"), F.to_json(F.struct(F.lit("overall").alias("kind"), "profile_version")).alias("_group"),
+        F.lit(1).alias("_n"), F.coalesce("w.ordinal", F.lit(0)).alias("ordinal"), F.col("w.embedding").alias("embedding"))
+    asked = jobs.select("_posting", F.col(vector).alias("_vector"))
+    found = best_rows(asked, stored(rows.unionByName(overall)), dim, max_rows, report)
+    group = F.from_json("_group", "kind string, profile_version string, section string")
+    found = stored(found.withColumn("_g", group)).withColumn("profile_version", F.col("_g.profile_version"))
+    key = ["_posting", "profile_version"]
+    meta = [F.col(c) if c in profile.columns else F.lit(None).cast("string").alias(c) for c in _META]
+    best = found.filter("_g.kind = 'best'").join(profile.select("_row", *meta), "_row")
+    place = F.lit(0)
+    for i, name in enumerate(per_section or ()):
+        place = F.when(F.col("section") == name, i).otherwise(place)
+    match = F.struct(F.col("ordinal"), *_META, "similarity").cast(_MATCH_DDL)
+    gathered = best.groupBy(*key).agg(F.array_sort(F.collect_list(
+        F.struct(place.alias("p"), F.col("_rk").alias("r"), match.alias("m")))).alias("_m"))
+    whole = found.filter("_g.kind = 'overall'").select(*key, F.col("similarity").alias("overall_similarity"))
+    scored = whole.alias("w").join(gathered.alias("g"), (F.col("w._posting") == F.col("g._posting")) & F.col(
+        "w.profile_version").eqNullSafe(F.col("g.profile_version")), "left").select("w.*", "_m")
+    nothing = F.array().cast(f"array<{_MATCH_DDL}>")
+    return jobs.join(scored, "_posting").select(
+        *others, "profile_version", "overall_similarity",
+        F.when(F.col(vector).isNotNull() & F.col("_m").isNotNull(), F.transform("_m", lambda x: x["m"])).otherwise(nothing).alias("matches"))
 
 
 def explode_matches(scored: DataFrame, id_cols: Sequence[str] = ("job_id",)) -> DataFrame:

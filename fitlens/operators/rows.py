@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fitlens.session import ensure_checkpoint_dir
+
 
 def each_item(df: DataFrame, array: Column | str, keep, item: str = "item", pos: str = "pos") -> DataFrame:
     """``keep`` columns, the element and its position from 0; no row for an empty array.
@@ -22,3 +24,9 @@ def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     For a join on a key that few values share among most rows: shuffling on it would send
     those rows to few tasks. The count stops at the bound and reads no other column."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame computed once and kept in the shared checkpoint folder, its lineage cut."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

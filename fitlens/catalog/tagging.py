@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitlens import lexicon as lx
@@ -12,7 +14,7 @@ from fitlens.catalog.shared import (
     POSTING, any_of, check_html, check_sections, check_whitespace, load, load_wide, text_values)
 from fitlens.functions import tags
 from fitlens.operators.rows import each_item
-from fitlens.operators.tagging import tag_entities
+from fitlens.operators.gazetteer import tag_entities
 from fitlens.plans.clean import clean_postings
 
 # A small lexicon of words that the driver's prose has.
@@ -72,6 +74,20 @@ def entity_gazetteer(spark, sf):
     return tagged.select("doc_id", F.explode("entities").alias("label", "_n")).select("doc_id", "label", _joined("_n").alias("names"))
 
 
+def entity_gazetteer_long(spark, sf):
+    """Names are all runs of one to six words of the benchmark, as they are written there."""
+    raw = load(spark, sf, "benchmark").select(F.split("text", " ").alias("w"))
+
+    def runs(n):
+        each = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+        return raw.filter(F.size("w") >= n).select(F.explode(each).alias("name"), F.lit(f"words {n}").alias("label"))
+
+    gazetteer = reduce(DataFrame.unionByName, map(runs, range(1, 7)))
+    docs = load_wide(spark, sf, "documents", "doc_id", "text")
+    tagged = tag_entities(docs, "text", gazetteer, "doc_id")
+    return tagged.select("doc_id", F.explode("entities").alias("label", "_n")).select("doc_id", "label", _joined("_n").alias("names"))
+
+
 def action_verbs(spark, sf):
     docs = load_wide(spark, sf, "documents", "doc_id", "text").withColumn("_w", tags.tokens("text"))
     return docs.select("doc_id", _joined(tags.action_verbs("_w", FORMS)).alias("verbs"))
@@ -156,6 +172,18 @@ QUERIES = {
     "entity_gazetteer": (entity_gazetteer, f"""WITH g AS (SELECT DISTINCT unnest({TOKENS % 'text'}) AS n FROM benchmark),
         t AS (SELECT DISTINCT doc_id, unnest({TOKENS % 'text'}) AS n FROM documents)
         SELECT doc_id, CASE WHEN length(n) % 2 = 0 THEN 'even' ELSE 'odd' END AS label, {_agg('n')} AS names FROM t JOIN g USING (n) GROUP BY 1, 2"""),
+    "entity_gazetteer_long": (entity_gazetteer_long, rf"""WITH w AS (SELECT string_split(text, ' ') AS w FROM benchmark),
+        r AS (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, range(1, 7) k(n)),
+        g AS (SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS name, 'words ' || n AS label FROM r),
+        gr AS (SELECT name, label, {TOKENS % 'name'} AS k, array_to_string({TOKENS % 'name'}, ' ') AS run FROM g),
+        lens AS (SELECT DISTINCT len(k) AS n FROM gr WHERE len(k) > 0),
+        tk AS (SELECT doc_id, {TOKENS % 'text'} AS k FROM documents),
+        p AS (SELECT doc_id, k, n, unnest(range(1, len(k) - n + 2)) AS i FROM tk, lens),
+        t AS (SELECT DISTINCT doc_id, array_to_string(k[i:i + n - 1], ' ') AS run FROM p),
+        h AS (SELECT doc_id, label, name FROM t JOIN gr USING (run) JOIN documents d USING (doc_id)
+            WHERE name = run OR (contains(d.text, name) AND regexp_matches(d.text, '(^|[^\p{{L}}\p{{N}}])' || regexp_escape(name) || '($|[^\p{{L}}\p{{N}}])')
+                OR (contains(d.text, name) AND NOT regexp_matches(name, '[\p{{L}}\p{{N}}]$') AND regexp_matches(d.text, '(^|[^\p{{L}}\p{{N}}])' || regexp_escape(name)))))
+        SELECT doc_id, label, {_agg('name')} AS names FROM h GROUP BY 1, 2"""),
     "action_verbs": (action_verbs, f"""WITH fm(f, v) AS (VALUES {FORM_ROWS}),
         t AS (SELECT DISTINCT doc_id, lower(unnest({TOKENS % 'text'})) AS f FROM documents), h AS (SELECT DISTINCT doc_id, v FROM t JOIN fm USING (f))
         SELECT d.doc_id, {_agg('v')} AS verbs FROM documents d LEFT JOIN h USING (doc_id) GROUP BY 1"""),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,36 +65,32 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(_as_column(text), F.lit(TOKEN), F.lit(0))
 
 
-def ngrams(words: Column | str, size: int) -> Column:
-    """Runs of ``size`` neighbouring tokens, joined by one blank."""
-    words = _as_column(words)
-    if size == 1:
-        return words
-    starts = lambda w: F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1)))
-    runs = let(words, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, size), " ")))
-    return F.coalesce(runs, F.array().cast("array<string>"))
-
-
 def _string_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def entity_map(words: Column | str, entities: Mapping[str, str]) -> Column:
+def entity_map(words: Column | str, entities: Mapping[str, str], text: Column | str | None = None) -> Column:
     """Label to sorted distinct names, for names of a small in-plan lexicon.
 
     Single words: ``array_intersect`` hashes both sides, so a row costs its token count
-    plus the lexicon size. Longer names are looked up in the blank-joined tokens. Large
-    gazetteers go through ``operators.tagging.tag_entities``."""
-    return let(_as_column(words), lambda w: _entity_map(w, entities))
+    plus the lexicon size. Longer names are looked up in the blank-joined tokens. Names with
+    punctuation (``Node.js``, ``C++``) are looked up by their words, as texts are cut into words too,
+    and must be in ``text`` as they are written; without ``text`` they are not found. Large gazetteers
+    go through ``operators.gazetteer.tag_entities``."""
+    return let(_as_column(words), lambda w: _entity_map(w, entities, text))
 
 
-def _entity_map(words: Column, entities: Mapping[str, str]) -> Column:
+def _entity_map(words: Column, entities: Mapping[str, str], text: Column | str | None) -> Column:
+    token = regex.compile(TOKEN)
     labels = sorted(set(entities.values()))
     joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    multi = [n for n in sorted(entities) if " " in n]
-    singles = F.array_intersect(words, _string_array([n for n in sorted(entities) if " " not in n]))
-    longer = let(joined, lambda j: F.array_compact(
-        F.array(*[F.when(F.contains(j, F.lit(f" {n} ")), n) for n in multi]).cast("array<string>")))
+    runs = {n: " ".join(token.findall(n)) for n in sorted(entities)}
+    multi = [n for n in runs if runs[n] == n and " " in n]
+    written = [n for n in runs if runs[n] and runs[n] != n and text is not None]
+    singles = F.array_intersect(words, _string_array([n for n in runs if runs[n] == n and " " not in n]))
+    longer = let(joined, lambda j: F.array_compact(F.array(
+        *[F.when(F.contains(j, F.lit(f" {n} ")), n) for n in multi],
+        *[F.when(F.contains(j, F.lit(f" {runs[n]} ")) & F.contains(_as_column(text), F.lit(n)), n) for n in written]).cast("array<string>")))
 
     def by_label(found: Column) -> Column:
         entries = F.array(*[

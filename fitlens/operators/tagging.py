@@ -9,37 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fitlens.functions.tags import ngrams, tokens
+from fitlens.functions.tags import tokens
 from fitlens.operators.rows import each_item
 
 
-def tag_entities(df: DataFrame, text: str, gazetteer: DataFrame, id_col: str = "job_id",
-                 max_words: int | None = None) -> DataFrame:
-    """``id, entities`` for every row that holds a name of a gazetteer table (``name, label``).
-
-    Names are cut into words as texts are, so a name of any length and with any punctuation is
-    found; one with punctuation must also stand in the text as it is written. The lengths to look
-    for are those of the gazetteer (up to ``max_words``, if given). A row's runs of words are made
-    distinct before they are exploded, so a text sends each name once. The join is left to the
-    planner: a small gazetteer is broadcast because its measured size allows it, a large one is
-    shuffled and its hot names split by AQE."""
-    names = gazetteer.select("name", "label").distinct().withColumn("_words", tokens("name"))
-    names = names.select("name", "label", F.array_join("_words", " ").alias("_run"), F.size("_words").alias("_n"))
-    lengths = sorted(r["_n"] for r in names.select("_n").distinct().collect() if 0 < r["_n"] <= (max_words or r["_n"]))
-    runs = F.concat(F.array().cast("array<string>"), *[ngrams("_words", n) for n in lengths])
-    found = (
-        each_item(df.select(id_col, tokens(text).alias("_words")), F.array_distinct(runs), [id_col], "_run")
-        .select(id_col, "_run")
-        .join(names.filter(F.col("_n").isin(lengths)).drop("_n"), "_run")
-    )
-    spelled = found.filter("name <> _run").join(df.select(id_col, F.col(text).alias("_text")), id_col).filter(
-        F.contains("_text", "name"))
-    named = found.filter("name = _run").select(id_col, "name", "label").unionByName(spelled.select(id_col, "name", "label"))
-    per_label = named.groupBy(id_col, "label").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    return per_label.groupBy(id_col).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "names")))).alias("entities"))
-
-
 def tag_verbs(df: DataFrame, text: str, verbs: DataFrame, id_col: str = "job_id") -> DataFrame:
     """``id, action_verbs`` for every row that holds a form of a verb table (``form, lemma``): the
     lemmas, sorted. A text sends each of its words once."""

@@ -9,7 +9,8 @@ from fitlens.functions import tags
 from fitlens.functions.sections import BASIC, Parser, parse_description
 from fitlens.functions.text import clean_text
 from fitlens.lexicon import DEFAULT_LEXICON, Lexicon
-from fitlens.operators.tagging import tag_entities, tag_verbs, tag_with
+from fitlens.operators.gazetteer import tag_entities
+from fitlens.operators.tagging import tag_verbs, tag_with
 
 
 def clean_postings(raw: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, parser: Parser = BASIC,
@@ -28,7 +29,7 @@ def clean_postings(raw: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, parser: P
     df = parse_description(df, "description_clean", lexicon, parser)
     if not load_tagger:
         df = df.withColumn("_words", tags.tokens("description_clean"))
-        df = df.withColumns({"entities": tags.entity_map("_words", lexicon.entities),
+        df = df.withColumns({"entities": tags.entity_map("_words", lexicon.entities, "description_clean"),
                              "action_verbs": tags.action_verbs("_words", lexicon.verbs)})
     if gazetteer is not None:
         found = tag_entities(texts, "description_clean", gazetteer)

@@ -88,7 +88,7 @@ def granular_scores(job_embeddings: DataFrame, profile_embeddings: DataFrame,
     rows = explode_matches(matched)
     content = profile_embeddings.select("profile_version", "ordinal", F.col("full_text").alias("text"))
     content = content.withColumn("_words", tags.tokens("text"))
-    content = content.withColumn("entities", tags.entity_map("_words", lexicon.entities)).select(
+    content = content.withColumn("entities", tags.entity_map("_words", lexicon.entities, "text")).select(
         "profile_version", "ordinal", tags.extracted_skills("text", "entities", lexicon).alias("extracted_skills"),
         "entities", tags.action_verbs("_words", lexicon.verbs).alias("action_verbs"),
         tags.domain_tags("text", lexicon.tag_domains).alias("domain_tags"))

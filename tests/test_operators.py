@@ -1,11 +1,13 @@
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 from pyspark.sql import functions as F
 
+from fitlens.functions import tags
 from fitlens.functions import vectors as v
 from fitlens.lexicon import SCORE_WEIGHTS, validate_weights
-from fitlens.operators import dedup, evaluate, match, quality, rank, tagging
+from fitlens.operators import cells, dedup, evaluate, gazetteer, match, quality, rank, tagging
 
 DATA = "/root/testdata/sf0.01"
 
@@ -60,7 +62,7 @@ def vectors(spark):
 @pytest.mark.parametrize("per_section", [None, {"Summary": 1, "Projects": 3}])
 def test_match_profile(vectors, bound, per_section, monkeypatch):
     jobs, profile, jdf, pdf = vectors
-    monkeypatch.setattr(match, "JOBS_PER_GROUP", 50)
+    monkeypatch.setattr(cells, "JOBS_PER_GROUP", 50)
     got = match.match_profile(jdf, pdf, 5, per_section, max_profile_rows=bound)
     rows = {r["job_id"]: r for r in got.collect()}
     assert len(rows) == len(jobs)
@@ -84,7 +86,7 @@ def test_match_is_narrow(spark):
 def test_match_is_the_same_at_any_bound(spark, vectors, per_section, monkeypatch):
     """Equal and null ids, several overall rows, null vectors and many versions."""
     jobs, profile, _, _ = vectors
-    monkeypatch.setattr(match, "JOBS_PER_GROUP", 7)
+    monkeypatch.setattr(cells, "JOBS_PER_GROUP", 7)
     jdf = spark.createDataFrame([(1, jobs[0][1]), (1, jobs[1][1]), (None, jobs[2][1]), (None, None), (3, jobs[3][1])],
                                 "job_id long, embedding array<float>")
     rows = [(f"v{v}", i, "overall_resume" if i < 2 else s, None if i == 9 else x) for v in range(4) for i, s, x in profile[v:v + 14]]
@@ -101,6 +103,49 @@ def test_match_is_the_same_at_any_bound(spark, vectors, per_section, monkeypatch
     assert result(1, nothing) == result(10, nothing)
 
 
+def clustered(rng, n, dim=16, centres=40):
+    middle = rng.normal(size=(centres, dim))
+    return (middle[rng.integers(0, centres, n)] + 0.15 * rng.normal(size=(n, dim))).astype("float32")
+
+
+@pytest.mark.parametrize("per_section", [None, {"a": 2, "b": 4}])
+def test_cells_against_brute_force(spark, per_section, monkeypatch):
+    """Both sides large: cells are left out, and the rows are those of all comparisons. A third of the
+    profile is one vector, some are null or zero, some postings too, and one is opposite to all."""
+    monkeypatch.setattr(cells, "JOBS_PER_GROUP", 60)
+    rng = np.random.default_rng(3)
+    base = clustered(rng, 1200)
+    base[rng.random(1200) < 0.33] = base[0]
+    profile = [(i, "overall_resume" if i == 7 else "ab"[i % 2], base[i].tolist()) for i in range(1200)]
+    profile[20] = (20, "a", [0.0] * 16)
+    asked = clustered(np.random.default_rng(3), 1300)[1000:]
+    jobs = [(i, v.tolist()) for i, v in enumerate(asked)] + [(900, None), (901, [0.0] * 16), (902, (-base.mean(0)).tolist())]
+    jdf = spark.createDataFrame(jobs, "job_id long, embedding array<float>").repartition(5)
+    pdf = spark.createDataFrame(profile, "ordinal int, section string, embedding array<float>").repartition(4)
+    small = pdf.filter("ordinal < 30").withColumn("profile_version", F.lit("small"))
+    both = pdf.withColumn("profile_version", F.lit("large")).unionByName(small)
+    report = {}
+    got = match.match_profile(jdf, both, 3, per_section, max_profile_rows=64, report=report)
+    rows = {(r.profile_version, r.job_id): r for r in got.collect()}
+    assert len(rows) == 2 * len(jobs)
+    plain = match.match_profile(jdf, both, 3, per_section, max_profile_rows=5000).collect()
+    for r in plain:
+        assert rows[(r.profile_version, r.job_id)] == r
+    expected = brute(jobs, profile, 3, per_section)
+    assert all([m["ordinal"] for m in rows[("large", job)]["matches"]] == expected[job] for job, _ in jobs)
+    assert report["cells"] > 15 and 0 < report["compared"] < 0.5 * report["of"]
+
+
+def test_cells_hold_texts_once(spark):
+    """Texts are joined to the best rows and never sent to the cells."""
+    rng = np.random.default_rng(5)
+    pdf = spark.createDataFrame([(i, "s", "text " * 50 + str(i), v.tolist()) for i, v in enumerate(clustered(rng, 300))],
+                                "ordinal int, section string, text string, embedding array<float>")
+    jdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(rng, 40))], "job_id long, embedding array<float>")
+    got = match.match_profile(jdf, pdf, 2, max_profile_rows=20).collect()
+    assert all(m["text"].endswith(f" {m['ordinal']}") and m["content_type"] is None for r in got for m in r.matches)
+
+
 def test_many_versions_in_bounded_batches(spark, vectors, monkeypatch):
     jobs, profile, jdf, _ = vectors
     monkeypatch.setattr(match, "_OUTPUT_BYTES", 50_000)
@@ -194,17 +239,72 @@ def test_gazetteer_names_of_any_shape(spark):
                                "job_id long, text string")
     gaz = spark.createDataFrame([("Bank of New York Mellon", "ORG"), ("Node.js", "PRODUCT"), ("C++", "PRODUCT"), ("Paris", "GPE"), ("!?", "ORG")],
                                 "name string, label string")
-    got = {r["job_id"]: r["entities"] for r in tagging.tag_entities(df, "text", gaz).collect()}
+    got = {r["job_id"]: r["entities"] for r in gazetteer.tag_entities(df, "text", gaz).collect()}
     assert got == {1: {"ORG": ["Bank of New York Mellon"], "PRODUCT": ["C++", "Node.js"], "GPE": ["Paris"]}}
-    assert [r["entities"] for r in tagging.tag_entities(df, "text", gaz, max_words=1).collect()] == [{"GPE": ["Paris"], "PRODUCT": ["C++"]}]
-    assert tagging.tag_entities(df, "text", gaz.limit(0)).collect() == []
+    assert [r["entities"] for r in gazetteer.tag_entities(df, "text", gaz, max_words=1).collect()] == [{"GPE": ["Paris"], "PRODUCT": ["C++"]}]
+    assert gazetteer.tag_entities(df, "text", gaz.limit(0)).collect() == []
+
+
+def plain_entities(text, names, longest):
+    """Every name at every word of the text, by plain comparison."""
+    token = regex.compile(tags.TOKEN)
+    found, hits = list(token.finditer(text or "")), []
+    for name, label in names:
+        words = token.findall(name)
+        for i in range(len(found) - len(words) + 1 if words else 0):
+            if [m.group() for m in found[i:i + len(words)]] == words:
+                at = found[i].start() - token.search(name).start()
+                if name == " ".join(words) or (at >= 0 and text[at:at + len(name)] == name):
+                    hits.append((i, len(words), name, label))
+    if longest:
+        kept, end = [], 0
+        for i in range(len(found)):
+            here = [h for h in hits if h[0] == i]
+            if here and i >= end:
+                most = max(h[1] for h in here)
+                kept += [h for h in here if h[1] == most]
+                end = i + most
+        hits = kept
+    return {label: sorted({h[2] for h in hits if h[3] == label}) for label in {h[3] for h in hits}}
+
+
+@pytest.mark.parametrize("longest", [False, True])
+@pytest.mark.parametrize("size", [16 << 20, 300])
+def test_gazetteer_against_plain_search(spark, monkeypatch, size, longest):
+    """One trie, and parts of a table too large for one; a third of the names begin with the same word."""
+    monkeypatch.setattr(gazetteer, "TRIE_BYTES", size)
+    monkeypatch.setattr(gazetteer, "GROUP", 40)
+    rng = np.random.default_rng(9)
+    words = ["the", "a", "Node", "js", "of", "New", "York", "x-ray", "it's", "C", "\u00e9t\u00e9"]
+    gaps = [" ", " ", " ", ", ", ".", " (", ") ", "-", "\n", "++ "]
+
+    def text(n, lead=""):
+        return lead + "".join(rng.choice(words) + rng.choice(gaps) for _ in range(n))
+    names = {(text(rng.integers(1, 6), "the " if k % 3 == 0 else "").strip(), ["ORG", "GPE"][k % 2]) for k in range(150)}
+    names |= {("Node.js", "PRODUCT"), ("C++", "PRODUCT"), (".js", "PRODUCT"), ("!?", "ORG"), ("", "ORG"), ("New York", "ORG"), ("New York", "GPE")}
+    texts = [text(rng.integers(0, 60)) for _ in range(60)] + [None, "", "Node.js", "C++", "x.js", "the " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "job_id long, text string").repartition(3)
+    gaz = spark.createDataFrame([*names, (None, "ORG"), ("the", None)], "name string, label string")
+    got = {r["job_id"]: r["entities"] for r in gazetteer.tag_entities(df, "text", gaz, longest=longest).collect()}
+    want = {k: plain_entities(t, sorted(names), longest) for k, t in enumerate(texts)}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_in_plan_names_with_punctuation(spark):
+    """The small lexicon in the plan and the table follow one rule."""
+    names = {"Node.js": "PRODUCT", "C++": "PRODUCT", "Power BI": "PRODUCT", "Paris": "GPE", "!?": "ORG"}
+    df = spark.createDataFrame([(1, "We use Node.js and C++ in Paris, Power BI too"), (2, "Node js and C, Power-BI"), (3, "")], "job_id long, text string")
+    table = spark.createDataFrame(list(names.items()), "name string, label string")
+    by_table = {r.job_id: r.entities for r in gazetteer.tag_entities(df, "text", table).collect()}
+    in_plan = {r.job_id: r.e for r in df.select("job_id", tags.entity_map(tags.tokens("text"), names, "text").alias("e")).collect() if r.e}
+    assert by_table == in_plan == {1: {"PRODUCT": ["C++", "Node.js", "Power BI"], "GPE": ["Paris"]}}
 
 
 def test_gazetteer_table_and_model_hooks(spark):
     df = spark.createDataFrame([(1, "Ann met Power BI at New York"), (2, "nothing here")], "job_id long, text string")
     gaz = spark.createDataFrame([("Ann", "PERSON"), ("Power BI", "PRODUCT"), ("New York", "GPE")],
                                 "name string, label string")
-    rows = tagging.tag_entities(df, "text", gaz).collect()
+    rows = gazetteer.tag_entities(df, "text", gaz).collect()
     assert [(r["job_id"], r["entities"]) for r in rows] == [
         (1, {"PERSON": ["Ann"], "PRODUCT": ["Power BI"], "GPE": ["New York"]})]
 

@@ -8,7 +8,7 @@ The groups also tell which points are held against each other at all. Similar se
 shingles, and there are more groups than these can touch, so some group is equal in both.
 Sets meet at equal groups, a bucket each; per bucket an R-tree is searched. The pairs that
 survive are compared whole, first with the earliest that may be similar, which joins crowds
-of near copies, then within the buckets whose sets are still apart."""
+of near copies, then, in rounds, within the buckets whose sets are still apart."""
 
 from __future__ import annotations
 
@@ -31,6 +31,9 @@ _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 PART_SHINGLES = 1 << 21
 #: Points of a leaf, and nodes under a node, of the trees.
 LEAF, FAN = 32, 8
+#: Pairs of a set and bucket that the first round after the leaders compares at most; each round takes
+#: four times as many, until none are left.
+FIRST_PAIRS = 1024
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -232,10 +235,6 @@ def _leaders(shared: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return _by_bucket(rows).mapInArrow(run, "a long, b long").distinct()
 
 
-def _similar(size_a: int, size_b: int, common: int, percent: int):
-    return common * (100 + percent) >= percent * (size_a + size_b)
-
-
 def _whole_sets(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     """``num, own``: the shingles of the sets asked for (``num, sid, _key``), from the texts."""
     rows = docs.select("text", F.xxhash64("doc_id", "text").alias("_key")).join(asked, "_key").select("num", "sid", "text")
@@ -255,56 +254,68 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda name: sets.select(F.col("num").alias(name), F.col("own").alias(f"of_{name}"))
     common = F.size(F.array_intersect("of_a", "of_b"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(
-        _similar(F.size("of_a"), F.size("of_b"), common, percent)).select("a", "b")
+        common * (100 + percent) >= percent * (F.size("of_a") + F.size("of_b"))).select("a", "b")
 
 
-def _rest(shared: DataFrame, roots: DataFrame, points: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` of the buckets whose sets are not all joined yet: those outside the largest component
-    of a bucket are searched for among all its other sets. A bucket gives fewer links than sets."""
+def _rest(shared: DataFrame, roots: DataFrame, points: DataFrame, percent: int, low: int, high: int) -> DataFrame:
+    """Pairs ``a, b`` of the buckets whose sets are not all joined yet: those outside the largest component
+    of a bucket are searched for among all its other sets. Of what the bound leaves to a set the places
+    from ``low`` to ``high`` are given, if not joined; a pair of a set with itself says that more follow.
+    A pair that meets in several of the buckets is given in one of them."""
     # The only pair of a bucket of two has been compared.
     open_ = shared.filter("n > 2").join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
     apart = open_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     open_ = written(open_.join(apart, "key", "left_semi"))
+    keys = open_.groupBy("num").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     largest = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(
         F.max_by("root", F.struct("m", "root")).alias("largest"))
     asks = F.col("root") != F.col("largest")
     home = F.pmod(F.xxhash64("num"), _parts()).cast("int")
     rows = open_.join(largest, "key").select("key", "band", "num", "root", asks.alias("asks"), home.alias("home"), F.explode(
         F.when(asks, F.sequence(F.lit(0), _parts() - 1)).otherwise(F.array(home))).alias("part"))
-    rows = rows.withColumn("here", F.col("part") == F.col("home")).join(points, ["num", "band"]).join(sets, "num").drop("band", "home")
+    rows = rows.withColumn("here", F.col("part") == F.col("home")).drop("home").join(
+        points, ["num", "band"]).drop("band").join(keys, "num")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in _buckets(batches):
-            num, size = bucket["num"].to_numpy(), bucket["size"].to_numpy()
-            own = bucket["own"].combine_chunks()
-            counts = _wide(bucket["counts"].to_pylist(), bucket["groups"][0].as_py())
-            here = np.flatnonzero(bucket["here"].to_numpy())
-            asking = np.flatnonzero(bucket["asks"].to_numpy())
+            num, size, root = (bucket[c].to_numpy() for c in ("num", "size", "root"))
+            asks = bucket["asks"].to_numpy()
+            here, asking = np.flatnonzero(bucket["here"].to_numpy()), np.flatnonzero(asks)
             if not len(here) or not len(asking):
                 continue
-            tree, root = RTree(counts[here], size[here]), dict(enumerate(bucket["root"].to_pylist()))
-            above: dict[int, int] = {}
-
-            def top(r: int) -> int:
-                while r in above:
-                    r = above[r]
-                return r
-
-            links = []
+            # Keys below that of the bucket: a pair with one of these in common meets there.
+            own = bucket["key"][0].as_py()
+            below = [set(keys[:bisect.bisect_left(keys, own)]) for keys in bucket["keys"].to_pylist()]
+            counts = _wide(bucket["counts"].to_pylist(), bucket["groups"][0].as_py())
+            tree = RTree(counts[here], size[here])
             for i in asking.tolist():
-                for j in here[tree.search(counts[i], size[i], percent)].tolist():
-                    x, y = top(root[i]), top(root[j])
-                    if x == y:
-                        continue
-                    common = len(np.intersect1d(own[i].values.to_numpy(), own[j].values.to_numpy(), assume_unique=True))
-                    if _similar(size[i], size[j], common, percent):
-                        above[max(x, y)] = min(x, y)
-                        links.append((num[i], num[j]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+                found = np.sort(here[tree.search(counts[i], size[i], percent)])
+                other = [j for j in found[low:high] if root[j] != root[i] and not (asks[j] and num[j] < num[i]) and below[i].isdisjoint(below[j])]
+                other = num[[*other, i] if len(found) > high else other]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(other, num[i])), pa.array(np.maximum(other, num[i]))], ["a", "b"])
 
     return _by_bucket(rows).mapInArrow(run, "a long, b long").distinct()
 
 
+def _joined(sets: DataFrame, points: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """``num, root`` of all sets that are similar to another: the components of all similar pairs."""
+    links = written(_verified(_leaders(shared, points, percent), sets, percent))
+    low, high = 0, FIRST_PAIRS
+    while True:
+        roots = written(components(links)).select(F.col("node").alias("num"), "root")
+        pairs = written(_rest(shared, roots, points, percent, low, high))
+        more = written(_verified(pairs.filter("a < b"), sets, percent))
+        last = pairs.filter("a = b").isEmpty()
+        if last and more.isEmpty():
+            return roots
+        # A set stands for all that are joined with it.
+        links = roots.select(F.col("root").alias("a"), F.col("num").alias("b")).unionByName(more)
+        if last:
+            return written(components(links)).select(F.col("node").alias("num"), "root")
+        low, high = high, 4 * high
+
+
 def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``; other columns are
     ignored). Two rows link if the sets of their lower-cased word shingles have a Jaccard
@@ -323,11 +334,7 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     asked = sets.select("num", "sid", "_key").join(shared.select("num").distinct(), "num", "left_semi")
     whole = written(_whole_sets(docs, asked, width))
     shared = shared.drop("size")
-    links = written(_verified(_leaders(shared, points, percent), whole, percent))
-    roots = written(components(links)).select(F.col("node").alias("num"), "root")
-    more = written(_rest(shared, roots, points, whole, percent))
-    if not more.isEmpty():
-        roots = written(components(links.unionByName(more))).select(F.col("node").alias("num"), "root")
+    roots = _joined(whole, points, shared, percent)
 
     least = each.filter("size > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     rooted = written(sets.select("sid", "num").join(roots, "num", "left").join(least, "sid").select("sid", F.coalesce("root", "num").alias("root"), "least"))

@@ -82,8 +82,9 @@ def test_other_parameters(docs_of, width, percent):
 
 
 def test_crowd_that_does_not_link(docs_of, monkeypatch):
-    """Near copies a little below the threshold of each other, some pairs above: only the second pass finds these."""
+    """Near copies a little below the threshold of each other, some pairs above: only the rounds after the leaders find these."""
     monkeypatch.setattr(overlap, "PART_SHINGLES", 2000)
+    monkeypatch.setattr(overlap, "FIRST_PAIRS", 3)
     rng, base = random.Random(4), [f"b{i}" for i in range(300)]
     rows = list(enumerate(edited(rng, base, rng.choice([3, 6, 8, 9])) for _ in range(150)))
     want = brute(rows)

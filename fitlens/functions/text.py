@@ -147,3 +147,11 @@ def contains_any(text: Column, words) -> Column:
         test = F.contains(text, F.lit(word))
         hit = hit | test if i else test
     return hit
+
+
+def one_value(body: Column) -> Column:
+    """Whether a text is one JSON value and nothing else. The JSON readers stop at the end of the first
+    value; put into a list and into an object, no text with more behind it reads as the only item of both."""
+    in_list = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
+    in_object = F.json_object_keys(F.concat(F.lit('{"v":'), body, F.lit("}"))).isNotNull()
+    return F.coalesce(in_list & in_object, F.lit(False))

@@ -7,12 +7,14 @@ used is kept as a row with a reason instead of being dropped or failing the job.
 from __future__ import annotations
 
 import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitlens.functions.text import let
+from fitlens.functions.text import let, one_value
 from fitlens.operators.rows import each_item
+from fitlens.sources.splits import read_split
 
 # Accepted field names in order, and the default of each canonical column.
 ALIASES = {
@@ -28,12 +30,39 @@ DATE_ALIASES = ("date_posted", "posted_date")
 CANONICAL = (*ALIASES, "date_posted", "source")
 
 
-def read_posting_text(spark: SparkSession, path: str) -> DataFrame:
-    """``file, value``: the text of every ``*.json`` file directly in a folder."""
-    return (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
-        .select(F.col("_metadata.file_name").alias("file"), "value")
-    )
+#: Files of up to so many bytes are read whole, each by one task.
+WHOLE_BYTES = 32 << 20
+
+
+def read_posting_text(spark: SparkSession, path: str, up_to: int | None = None) -> DataFrame:
+    """``file, value``: the text of every ``*.json`` file directly in a folder, of up to so many bytes."""
+    texts = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    if up_to is not None:
+        texts = texts.filter(F.col("_metadata.file_size") <= up_to)
+    return texts.select(F.col("_metadata.file_name").alias("file"), "value")
+
+
+def _without_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """``file, pos, doc, reason`` of the files without a byte, which Spark lists but does not read. They are
+    invalid like any other that holds no JSON."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
+    listed = found.inputFiles()
+    if found.select("path").count() == len(listed):
+        return spark.createDataFrame([], "file string, pos int, doc variant, reason string")
+    names = spark.createDataFrame([(unquote(f.rsplit("/", 1)[1]),) for f in listed], "file string")
+    read = found.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"))
+    return names.join(read, "file", "left_anti").select(
+        "file", F.lit(0).alias("pos"), F.lit(None).cast("variant").alias("doc"), F.lit("invalid_file").alias("reason"))
+
+
+def parse_files(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """``file, pos, doc, reason`` as ``parse_postings`` gives them. Small files are read whole, larger ones
+    in ranges by many tasks, with the same rows."""
+    small = parse_postings(read_posting_text(spark, path, whole_bytes)).unionByName(_without_bytes(spark, path))
+    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("length")
+    if sizes.filter(F.col("length") > whole_bytes).isEmpty():
+        return small
+    return small.unionByName(read_split(spark, path, whole_bytes))
 
 
 def parse_postings(texts: DataFrame) -> DataFrame:
@@ -44,10 +73,9 @@ def parse_postings(texts: DataFrame) -> DataFrame:
     a variant of its own, so only single postings, not files, meet the variant size limit.
     """
     body = F.trim(F.col("value"), F.lit(" \t\r\n﻿"))
-    # The list reader stops at the closing bracket; text behind it makes the file invalid.
-    as_list = F.when(body.rlike(r"(?s)\A\[.*\]\z"),
-                     F.from_json(body, "array<variant>", {"allowSingleQuotes": "false"}))
-    as_object = F.when(body.rlike(r"(?s)\A\{.*\}\z"), F.try_parse_json(body))
+    whole = one_value(body)
+    as_list = F.when(whole & body.startswith("["), F.from_json(body, "array<variant>", {"allowSingleQuotes": "false"}))
+    as_object = F.when(whole & body.startswith("{"), F.try_parse_json(body))
     docs = F.when(as_object.isNotNull(), F.array(as_object)).otherwise(as_list)
     none = F.array(F.lit(None).cast("variant"))
     parsed = texts.select("file", docs.alias("_docs")).withColumn("_bad", F.col("_docs").isNull())
@@ -141,4 +169,4 @@ def normalize_postings(parsed: DataFrame, source: str = "manual",
 def read_postings(spark: SparkSession, path: str, source: str = "manual",
                   as_of: datetime.date | None = None) -> DataFrame:
     """All postings of a folder, good and rejected, told apart by ``reason``."""
-    return normalize_postings(parse_postings(read_posting_text(spark, path)), source, as_of)
+    return normalize_postings(parse_files(spark, path), source, as_of)

@@ -17,7 +17,7 @@ def read_profile(spark: SparkSession, path: str) -> DataFrame:
 
     ``sections`` is an array in document order. Sections that are no list are skipped, and
     so is a ``Bullet`` that is no list. A missing path raises."""
-    text = spark.read.option("wholetext", True).text(path).select(
+    text = spark.read.text(path, wholetext=True).select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.json\z", "").alias("profile_version"), "value")
     return text.select("profile_version", parse_sections(F.col("value")).alias("sections"))
 

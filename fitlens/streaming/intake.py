@@ -22,8 +22,8 @@ def start_intake(store: Store, settings: Settings, checkpoint: str, clean: bool
     ``intake_counts``."""
     spark = store.spark
     files = (
-        spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json")
-        .option("maxFilesPerTrigger", max_files).text(settings.postings)
+        spark.readStream.option("pathGlobFilter", "*.json")
+        .option("maxFilesPerTrigger", max_files).text(settings.postings, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file"), "value")
     )
 

@@ -35,23 +35,18 @@ def _keyed(sections: DataFrame, encoder: str) -> DataFrame:
     return sections.withColumns({"text_hash": F.xxhash64("text"), "encoder": F.lit(encoder)})
 
 
-_VECTOR_KEY = ["job_id", "section", "text_hash", "encoder"]
+VECTOR_KEY = ["job_id", "section", "text_hash", "encoder"]
 
 
 def new_sections(sections: DataFrame, embedded: DataFrame, encoder: str = DEFAULT_ENCODER) -> DataFrame:
     """Sections without a vector of this encoder for their present text, so that a repeated run
     embeds only what is new."""
-    return _keyed(sections, encoder).join(embedded.select(*_VECTOR_KEY), _VECTOR_KEY, "left_anti")
-
-
-def held_vectors(sections: DataFrame, embedded: DataFrame, encoder: str = DEFAULT_ENCODER) -> DataFrame:
-    """Vectors of this encoder for texts that postings still have."""
-    return embedded.join(_keyed(sections, encoder).select(*_VECTOR_KEY), _VECTOR_KEY, "left_semi")
+    return _keyed(sections, encoder).join(embedded.select(*VECTOR_KEY), VECTOR_KEY, "left_anti")
 
 
 def stale_vectors(sections: DataFrame, embedded: DataFrame, encoder: str = DEFAULT_ENCODER) -> DataFrame:
     """Vectors of other encoders, or of texts that no posting has any more."""
-    return embedded.join(_keyed(sections, encoder).select(*_VECTOR_KEY), _VECTOR_KEY, "left_anti")
+    return embedded.join(_keyed(sections, encoder).select(*VECTOR_KEY), VECTOR_KEY, "left_anti")
 
 
 def _vector(text: str, embed, dim: int, load):

@@ -16,7 +16,7 @@ from fitlens.operators.quality import outcome_rollup
 from fitlens.plans.clean import clean_postings
 from fitlens.operators.rows import small_side
 from fitlens.plans.embed import (
-    embed_again, embed_profiles, embed_sections, held_vectors, new_sections, posting_sections, stale_vectors)
+    VECTOR_KEY, embed_again, embed_profiles, embed_sections, new_sections, posting_sections, stale_vectors)
 from fitlens.plans.score import COMPONENTS, granular_scores, rank_postings, rankings_table, score_postings
 from fitlens.session import ensure_checkpoint_dir
 from fitlens.sources import exports
@@ -142,14 +142,8 @@ def vectorize(store: Store, settings: Settings) -> None:
     sections = posting_sections(store.read("clean_postings"))
     known = store.read_or_empty("job_embeddings")
     fresh = embed_sections(new_sections(sections, known, encoder), **how)
-    if not stale_vectors(sections, known, encoder).isEmpty():
-        # Texts or the encoder changed since: rewrite the table from the vectors that still hold.
-        # The checkpoint lets the table be read and overwritten in one step.
-        ensure_checkpoint_dir(store.spark)
-        kept = held_vectors(sections, known, encoder)
-        store.write("job_embeddings", kept.unionByName(fresh).checkpoint(eager=True))
-    else:
-        store.write("job_embeddings", fresh, "append")
+    # Where texts or the encoder changed since, the buckets with their vectors are written again.
+    store.snapshots.upsert("job_embeddings", fresh, stale_vectors(sections, known, encoder), VECTOR_KEY)
     if settings.profile:
         profiles = read_profile(store.spark, settings.profile)
         store.write("profile_embeddings", embed_profiles(profiles, **how))
@@ -166,8 +160,8 @@ def rank(store: Store, settings: Settings) -> DataFrame:
     scored = score_postings(store.read("raw_postings"), store.read("clean_postings"), jobs, profile,
                             settings.lexicon, settings.weights)
     ranked = rank_postings(scored)
-    store.replace_version("rankings", rankings_table(ranked), profile)
-    store.replace_version("granular_scores", granular_scores(jobs, profile, lexicon=settings.lexicon), profile)
+    store.replace_versions({"rankings": rankings_table(ranked),
+                            "granular_scores": granular_scores(jobs, profile, lexicon=settings.lexicon)}, profile)
     if settings.results:
         stamp = datetime.datetime.now().strftime("%Y%m%d_%H%M%S")
         settings.exported = {"csv": f"{settings.results}/rankings_{stamp}", "json": f"{settings.results}/detailed_{stamp}"}

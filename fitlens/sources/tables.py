@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitlens import schemas
 from fitlens.operators.dedup import only_new
+from fitlens.sources.snapshots import Change, Layout, Snapshots
 
-PARTITIONED = {"rankings": "profile_version", "granular_scores": "profile_version"}
+#: Tables whose parts are replaced, several tables together.
+LAYOUTS = {"rankings": Layout(schemas.RANKINGS, "profile_version"),
+           "granular_scores": Layout(schemas.GRANULAR_SCORES, "profile_version"),
+           "job_embeddings": Layout(schemas.JOB_EMBEDDINGS, "job_id", bucketed=True)}
 DERIVED = ("clean_postings", "job_embeddings", "profile_embeddings", "rankings", "granular_scores")
 
 
@@ -36,6 +42,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.snapshots = Snapshots(spark, root, LAYOUTS)
 
     def path(self, name: str) -> str:
         if name not in schemas.TABLES:
@@ -44,6 +51,8 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         """A stage table; a table never written raises ``FileNotFoundError``."""
+        if name in LAYOUTS:
+            return self.snapshots.read(name)
         try:
             return self.spark.read.schema(schemas.TABLES[name]).parquet(self.path(name))
         except AnalysisException as error:
@@ -63,44 +72,30 @@ class Store:
         return self.read(name) if self.exists(name) else self.spark.createDataFrame([], schemas.TABLES[name])
 
     def write(self, name: str, df: DataFrame, mode: str = "overwrite") -> None:
+        if name in LAYOUTS:
+            self.snapshots.commit({name: Change(df, whole=mode == "overwrite")})
+            return
         columns = [f.name for f in self.spark.createDataFrame([], schemas.TABLES[name]).schema]
-        writer = df.select(*columns).write.mode(mode)
-        if name in PARTITIONED:
-            writer = writer.partitionBy(PARTITIONED[name])
-        writer.parquet(self.path(name))
+        df.select(*columns).write.mode(mode).parquet(self.path(name))
 
     def append_new(self, name: str, df: DataFrame, key) -> None:
         """Append the rows whose key is not there yet. Running it again adds nothing."""
         self.write(name, only_new(df, self.read_or_empty(name), key), "append")
 
-    def empty_versions(self, name: str, versions: DataFrame) -> None:
-        """Empty the partitions of the given profile versions, one folder each."""
-        column = PARTITIONED[name]
-        if not self.exists(name):
-            return
-        held = self.read(name).select(column, F.col("_metadata.file_path").alias("file"))
-        none = self.spark.createDataFrame([], schemas.TABLES[name]).drop(column)
-        folders = held.join(versions.select(column).distinct(), column, "left_semi").select(
-            F.regexp_replace("file", "/[^/]*$", "").alias("folder")).distinct()
-        for row in folders.collect():
-            none.write.mode("overwrite").parquet(row["folder"])
-
-    def replace_version(self, name: str, df: DataFrame, versions: DataFrame | None = None) -> None:
-        """Replace the rows of the profile versions in ``df``; others stay. Of the versions given,
-        the old rows go first, so that a version without new rows keeps none."""
-        if versions is not None:
-            self.empty_versions(name, versions)
-        columns = [f.name for f in self.spark.createDataFrame([], schemas.TABLES[name]).schema]
-        (df.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(PARTITIONED[name]).parquet(self.path(name)))
+    def replace_versions(self, frames: Mapping[str, DataFrame], versions: DataFrame) -> None:
+        """Replace the rows of the given profile versions in several tables at once; other versions stay, and
+        one without new rows keeps none. A failure on the way leaves all tables as they were."""
+        versions = versions.select("profile_version").distinct()
+        self.snapshots.commit({name: Change(df, versions) for name, df in frames.items()})
 
     def clear(self, names=DERIVED) -> dict[str, int]:
         """Empty tables by overwriting them, children before parents. Returns the rows each
         held. Raw postings are kept unless named."""
-        removed = {}
-        for name in sorted(names, key=list(schemas.TABLES).index, reverse=True):
-            if self.exists(name):
-                removed[name] = self.read(name).count()
+        removed = {name: self.read(name).count() for name in sorted(names, key=list(schemas.TABLES).index, reverse=True)
+                   if self.exists(name)}
+        self.snapshots.commit({name: Change(whole=True) for name in removed if name in LAYOUTS})
+        for name in removed:
+            if name not in LAYOUTS:
                 (self.spark.createDataFrame([], schemas.TABLES[name]).write.mode("overwrite")
                  .option("partitionOverwriteMode", "static").parquet(self.path(name)))
         return removed

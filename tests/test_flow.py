@@ -191,8 +191,8 @@ def test_hooks_options_and_encoders(spark, tmp_path, folder):
     for table in ("job_embeddings", "profile_embeddings"):
         assert {(r["encoder"], len(r["embedding"])) for r in store.read(table).collect()} == {("length/2", 2)}
     assert store.read("rankings").count() == 2
-    store.replace_version("rankings", store.read("rankings").limit(0), store.read("profile_embeddings"))
-    assert store.read("rankings").count() == 0
+    store.replace_versions({"rankings": store.read("rankings").limit(0)}, store.read("profile_embeddings"))
+    assert store.read("rankings").count() == 0 and store.read("granular_scores").count() > 0
 
     def load_tagger():
         return lambda texts: pd.DataFrame({"entities": [{"X": ["y"]} for _ in texts], "action_verbs": [["do"] for _ in texts]})

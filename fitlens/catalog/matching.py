@@ -178,8 +178,9 @@ def summary_export(spark, sf):
 
 
 def ranking_metrics(spark, sf):
-    stats = ranking_quality(_scored_documents(spark, sf)).drop("quartiles")
-    return stats.select(*[F.round(c, 6).alias(c) for c in stats.columns])
+    stats = ranking_quality(_scored_documents(spark, sf))
+    quartiles = [F.round(F.col("quartiles")[k], 6).alias(name) for k, name in enumerate(("first_quartile", "median", "third_quartile"))]
+    return stats.select(*[F.round(c, 6).alias(c) for c in stats.columns if c != "quartiles"], *quartiles)
 
 
 def _hash_check(src, key, text, p):
@@ -258,5 +259,6 @@ QUERIES = {
     "summary_export": (summary_export, f"""{_RANKED} SELECT rank, company, job_title, NULL::VARCHAR AS location, skill_match_count, skill_gap_count,
         NULL::VARCHAR AS job_url, NULL::VARCHAR AS date_posted, round(s, 6) AS composite_score, round(s, 6) AS overall_similarity FROM fin"""),
     "ranking_metrics": (ranking_metrics, f"""{_RANKED} SELECT round(min(s), 6) AS min_score, round(max(s), 6) AS max_score, round(avg(s), 6) AS avg_score,
-        round(stddev_samp(s), 6) AS sd_score, round(corr(skill_match_count::DOUBLE, s), 6) AS skill_correlation FROM fin"""),
+        round(stddev_samp(s), 6) AS sd_score, round(corr(skill_match_count::DOUBLE, s), 6) AS skill_correlation,
+        round(quantile_cont(s, 0.25), 6) AS first_quartile, round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.75), 6) AS third_quartile FROM fin"""),
 }

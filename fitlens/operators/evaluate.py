@@ -11,7 +11,9 @@ from fitlens.functions.text import _as_column
 from fitlens.lexicon import FIT_THRESHOLD, validate_weights
 from fitlens.functions.sections import Parser, parse_description
 from fitlens.lexicon import DEFAULT_LEXICON, Lexicon
+from fitlens.operators.quantile import exact_quantiles
 from fitlens.operators.rank import global_rank
+from fitlens.operators.rows import stored
 
 
 def label_metrics(df: DataFrame, truth: Column | str, predicted: Column | str,
@@ -63,14 +65,14 @@ def parse_quality(parsed: DataFrame) -> DataFrame:
 
 def ranking_quality(scored: DataFrame, score: str = "composite_score",
                     matches: str = "skill_match_count") -> DataFrame:
-    """Spread of the scores and their correlation with the skill matches. The quartiles are
-    approximate, so memory stays bounded at any size."""
-    s = F.col(score)
-    return scored.agg(
+    """Spread of the scores with their exact quartiles, and their correlation with the skill matches."""
+    narrow = stored(scored.select(F.col(score).alias("s"), F.col(matches).cast("double").alias("m")))
+    quartiles = exact_quantiles(narrow, "s", (0.25, 0.5, 0.75))
+    s = F.col("s")
+    return narrow.agg(
         F.min(s).alias("min_score"), F.max(s).alias("max_score"), F.avg(s).alias("avg_score"),
-        F.stddev_samp(s).alias("sd_score"),
-        F.percentile_approx(s, [0.25, 0.5, 0.75]).alias("quartiles"),
-        F.corr(F.col(matches).cast("double"), s).alias("skill_correlation"))
+        F.stddev_samp(s).alias("sd_score"), F.corr("m", s).alias("skill_correlation")).select(
+        "*", F.array(*[F.lit(q).cast("double") for q in quartiles]).alias("quartiles"))
 
 
 def composite(weights: Mapping[str, float] | None = None) -> Column:

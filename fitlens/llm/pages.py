@@ -4,8 +4,8 @@ The pages of a host are merged into one tree of style nodes (a path of tags and
 is important if its pages lay out its children in many ways (presentation) or if its texts
 differ from page to page (content), both measured as entropy; branches that are unimportant
 throughout are removed from each page, and so are the elements that HTML itself or a usual
-class name marks as navigation, notice, advert, form or comment; if that leaves nothing, marked
-text stays. Where a page marks an article that holds most of its unmarked text, only that is
+class name marks as navigation, notice, advert, form or comment; if that leaves nothing, text that
+only a class name marks stays. Where a page marks an article that holds most of its unmarked text, only that is
 taken."""
 
 from __future__ import annotations
@@ -37,6 +37,14 @@ NOISE_WORDS = frozenset(
     "consent cookie cookies disqus footer gdpr header-bar login masthead menu modal nav navbar navigation newsletter notice "
     "notification pagination pager popup promo promotion related recommended reply replies respond share sharing shares sidebar "
     "signup skip social sponsor sponsored subscribe subscription tagcloud toc toolbar topbar widget".split())
+#: In a compound name like ``no-sidebar`` these say that the element is none of the kind; the others
+#: only say that it holds something of the kind, as in ``ad-slot``.
+NEGATING = frozenset("no not non has have with without hide hides is".split())
+HOLDERS = frozenset(
+    "area bar block bottom box button buttons column container content element frame group holder inner item items left link links "
+    "list outer overlay panel placeholder region right row section site slot thread top unit wrap wrapper".split())
+#: Compound names whose last part says too little.
+NOISE_NAMES = frozenset("site-header page-banner global-header top-header site-info back-to-top table-of-contents related-posts related-articles".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 CONTENT_TAGS = frozenset(["article", "main"])
 #: Elements of running text: inside an article a class name does not take them away.
@@ -48,7 +56,9 @@ CLOSED_BY = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",))
              "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
              "option": ("option", ("select", "datalist"))}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+# The rest of a tag. Possessive, so that no part of it is read twice.
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>""")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z][a-z-]*[a-z]|[a-z]")
 
@@ -56,6 +66,23 @@ _NAME = re.compile(r"[a-z][a-z-]*[a-z]|[a-z]")
 #: against its own layout, and the share of the host's most important text below which a branch
 #: is noise.
 MIN_PAGES, BELOW, NOISE = 5, 0.9, 0.2
+#: Levels of the tree; what lies deeper counts to the node of the last level.
+MAX_DEPTH = 128
+
+
+def _names_noise(word: str) -> int:
+    """What a word of a class or id says: its last part names the thing (``site-footer``), unless another
+    negates it; a first part names what a holder holds (``ad-slot``)."""
+    parts = [p for p in re.split(r"[-_]+", word) if p]
+    if word in NOISE_WORDS or "-".join(parts) in NOISE_NAMES:
+        return WORD
+    if len(parts) < 2 or NOISE_WORDS.isdisjoint(parts):
+        return PLAIN
+    if not NEGATING.isdisjoint(parts):
+        return PLAIN
+    if parts[-1] in NOISE_WORDS or parts[0] in NOISE_WORDS and all(p in HOLDERS or p.isdigit() or p in NOISE_WORDS for p in parts[1:]):
+        return WORD
+    return HINT
 
 
 def _marked(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
@@ -73,10 +100,7 @@ def _marked(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
                     noise = max(noise, WORD if "form" in words else TAG)
             else:
                 if tag not in ("body", "html", *CONTENT_TAGS) and not (in_article and tag in TEXT_TAGS):
-                    if not NOISE_WORDS.isdisjoint(words):
-                        noise = max(noise, WORD)
-                    elif any(not NOISE_WORDS.isdisjoint(re.split(r"[-_]", w)) for w in words):
-                        noise = max(noise, HINT)
+                    noise = max([noise, *map(_names_noise, words)])
                 if name == "class" and words:
                     style = f"{tag}.{'.'.join(sorted(words))}"
     return style, noise
@@ -98,7 +122,9 @@ def parse(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
     White space in a block is one space, character references are decoded, empty blocks left out."""
     blocks: list[Block] = []
     children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, int, bool]] = [("", "", PLAIN, False)]  # tag, path, mark, inside
+    # Tag, path, mark, whether in an article, depth of the path, path of the nearest block.
+    stack: list[tuple[str, str, int, bool, int, str]] = [("", "", PLAIN, False, 0, "")]
+    open_: dict[str, int] = {}
     parts: list[str] = []
     text = page or ""
     at, end, owner = 0, len(text), stack[0]
@@ -107,47 +133,55 @@ def parse(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
         if parts:
             joined = " ".join("".join(parts).split())
             if joined:
-                blocks.append(Block(owner[1], joined, owner[2], owner[3]))
+                blocks.append(Block(owner[5], joined, owner[2], owner[3]))
             parts.clear()
 
+    def cut(k):
+        for tag, *_ in stack[k:]:
+            open_[tag] -= 1
+        del stack[k:]
+
     def close(names, scope=()):
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                flush()
-                del stack[k:]
-                return
-            if stack[k][0] in scope:
-                return
+        # Only where such a tag is open is the stack searched for it.
+        if any(open_.get(n) for n in names):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in names:
+                    flush()
+                    cut(k)
+                    return
+                if stack[k][0] in scope:
+                    return
 
     def add(piece):
         nonlocal owner
         if piece:
             if not parts or stack[-1][2] != owner[2]:
                 flush()
-                k = len(stack) - 1
-                while k and stack[k][0] not in BLOCKS:
-                    k -= 1
-                owner = (stack[k][0], stack[k][1], stack[-1][2], stack[-1][3])
+                owner = stack[-1]
             parts.append(entities.unescape(piece) if "&" in piece else piece)
 
     while at < end:
-        m = _TOKEN.search(text, at)
+        m = _OPEN.search(text, at)
         if not m:
             add(text[at:])
             break
         add(text[at:m.start()])
-        at = m.end()
-        tag = m[2]
+        at, tag = m.end(), m[2]
         if tag is None:
+            # A comment or declaration, to the end of the page if nothing ends it.
+            mark = "-->" if m[0] == "<!--" else ">"
+            found = text.find(mark, at)
+            at = found + len(mark) if found >= 0 else end
             continue
-        tag = tag.lower()
+        rest = _REST.match(text, at)
+        if not rest:
+            break  # a tag that nothing ends has the rest of the page
+        at, tag = rest.end(), tag.lower()
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_.get(tag):
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if tag in BLOCKS:
             flush()
@@ -161,29 +195,33 @@ def parse(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
         elif tag == "br":
             add(" ")
         top = stack[-1]
-        style, noise = _marked(tag, m[3], top[3])
-        path = f"{top[1]}/{style}"
-        seen = children.setdefault(top[1], [])
-        if not seen or seen[-1] != style:
-            seen.append(style)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+        style, noise = _marked(tag, rest[1], top[3])
+        path, depth = top[1], top[4]
+        if depth < MAX_DEPTH:
+            path, depth = f"{path}/{style}", depth + 1
+            seen = children.setdefault(top[1], [])
+            if not seen or seen[-1] != style:
+                seen.append(style)
+        if tag in VOID or rest[1].endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
-            closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(text, at)
-            at = closing.end() if closing else end
+            closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(text, at)
+            found = text.find(">", closing.end()) if closing else -1
+            at = found + 1 if found >= 0 else end
             continue
         # The words of a wrapper say nothing of an article below it.
         above = PLAIN if tag in CONTENT_TAGS and top[2] < TAG else top[2]
-        stack.append((tag, path, max(above, noise), top[3] or tag in CONTENT_TAGS))
+        open_[tag] = open_.get(tag, 0) + 1
+        stack.append((tag, path, max(above, noise), top[3] or tag in CONTENT_TAGS, depth, path if tag in BLOCKS else top[5]))
     flush()
     return blocks, children
 
 
 def main_text(page: str | None, noise_paths=frozenset()) -> str:
     """Blocks that count, joined by an empty line. Entropy takes nothing of a marked article and never
-    empties a page: if it would leave no block at all, only the marked elements go."""
+    empties a page, and class names do not either; what the tags themselves mark never stays."""
     blocks, _ = parse(page)
-    good = [b for b in blocks if not b.noise] or [b for b in blocks if b.mark < TAG] or blocks
+    good = [b for b in blocks if not b.noise] or [b for b in blocks if b.mark < TAG]
     important = [b for b in good if b.inside or b.path not in noise_paths] if noise_paths else good
     good = important or good
     # An article has the text where it holds at least half of what nothing marks.

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from fitlens.llm import pages
 
@@ -28,6 +29,8 @@ def test_markup():
     assert pages.main_text(page) == "T & x\n\nOnebold two three\n\nNext é\n\na\n\nb"
     assert pages.main_text("a < b &lt; c") == "a < b < c"
     assert pages.main_text("<p>open <!-- never closed <p>x") == "open"
+    assert pages.main_text("<p>one</p><p title=it's>two</p><p title = 'a>b'>three</p><p x=\"y>z\" checked>four</p>") == "one\n\ntwo\n\nthree\n\nfour"
+    assert pages.main_text("<p>kept</p><a href=x") == "kept" and pages.main_text("<p>kept<script>x") == "kept"
     assert pages.main_text(None) == pages.main_text("") == pages.main_text("<style>p{}</style>") == ""
     assert pages.main_text("<p>" + "word " * 100_000).count("word") == 100_000
 
@@ -77,6 +80,35 @@ def test_marks_do_not_empty_a_page():
     assert pages.main_text("<nav>menu</nav><div class=sidebar>side</div><p>Text</p>") == "Text"
 
 
+def test_only_navigation_is_empty():
+    assert pages.main_text("<nav>menu</nav><footer>imprint</footer>") == ""
+    assert pages.main_text("<nav><p>menu</p></nav><aside>side</aside><script>x</script>") == ""
+
+
+def test_compound_class_names():
+    """The last part names the thing, a first part what a holder holds; outside and inside of an article."""
+    text = "<h1>Title</h1><p>Text of the page</p>"
+    want = "Title\n\nText of the page"
+    for name in ("site-footer", "post-comments", "cookie-banner", "ad-slot", "ads_wrapper", "main-nav", "comment-list", "newsletter-signup",
+                 "sidebar-left", "ad-unit-2", "site-header", "related-posts", "share-buttons"):
+        noise = f'<div class="x {name}"><p>noise of some words</p></div>'
+        assert pages.main_text(f"<body><div>{text}</div>{noise}</body>") == want, name
+        assert pages.main_text(f"<article>{text}{noise}</article>") == want, name
+    for name in ("no-sidebar", "has-ads", "layout-with-menu", "skip-target", "related-work", "notice-of-meeting", "navigation-theory"):
+        kept = f'<div class="{name}"><p>kept</p></div>'
+        assert pages.main_text(f"<article>{text}{kept}</article>") == f"{want}\n\nkept", name
+
+
+def test_hostile_markup_is_linear():
+    """Unclosed tags, quotes, comments and deep nesting of a megabyte each."""
+    for piece in ("<a ", "<", "<!--", "<p ", "<div>", "<font>x", "</p", "<script></script ", "<a b='", '<a b="', "<li>", "<p>x<b>", "&lt;", "<td>", "</div>", "<a ='\"", "<!"):
+        page = "<p>Start</p>" + piece * (1_000_000 // len(piece))
+        begin = time.perf_counter()
+        blocks, children = pages.parse(page)
+        assert time.perf_counter() - begin < 20 and blocks[0].text == "Start", piece
+        assert max(map(len, children), default=0) < 2000
+
+
 def test_a_teaser_is_not_the_page():
     teaser = "<article><p>Short card</p></article>"
     assert pages.main_text(f"<div><p>{'Long text of the page. ' * 9}</p></div>{teaser}").startswith("Long text")

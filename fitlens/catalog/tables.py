@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fitlens.catalog.shared import load, load_wide
 from fitlens.operators import dedup, evaluate, quality
+from fitlens.operators.learn import fit_logistic
 from fitlens.operators.rank import top_rows
 from fitlens.plans.run import classify_intake
 from fitlens.sources import tables
@@ -174,6 +175,45 @@ def confusion(spark, sf):
     return evaluate.confusion(df, F.col("quality").cast("int"), (F.col("n_chars") > 600).cast("int"))
 
 
+def label_model(spark, sf):
+    """Quality labels learned from the length of a text and from two words; the labelled documents judged
+    at a threshold of the probability."""
+    docs = load_wide(spark, sf, "documents", "doc_id", "text")
+    low = F.lower("text")
+    features = {"length": F.log1p(F.length("text").cast("double")), "first": F.contains(low, F.lit("the")).cast("double"),
+                "second": F.contains(low, F.lit("de ")).cast("double")}
+    df = load(spark, sf, "labels").join(docs, "doc_id").select("quality", *[c.alias(n) for n, c in features.items()])
+    fit = fit_logistic(df, F.col("quality") == 1, {n: F.col(n) for n in features}, ridge=1.0)
+    out = evaluate.label_metrics(df, F.col("quality") == 1, fit.probability() >= 0.75)
+    return out.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")],
+                      *[F.round(F.lit(w), 5).alias(f"w_{n}") for n, w in fit.weights.items()])
+
+
+def _model_check(rounds=12):
+    """Newton steps in SQL: a step solves the four equations by elimination, each an expression of sums."""
+    x = ["1.0", "a", "b", "c"]
+    z = " + ".join(f"w{i} * {v}" for i, v in enumerate(x))
+    p = f"(1 / (1 + exp(-({z}))))"
+    steps = ["s0 AS (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3)"]
+    for k in range(rounds):
+        sums = ", ".join(f"sum({p} * (1 - {p}) * {x[i]} * {x[j]}) + {int(i == j > 0)} AS m{i}{j}" for i in range(4) for j in range(4))
+        rest = ", ".join(f"sum((y - {p}) * {x[i]}) - {int(i > 0)} * any_value(w{i}) AS m{i}4" for i in range(4))
+        steps.append(f"e{k}_0 AS (SELECT {', '.join(f'any_value(w{i}) AS w{i}' for i in range(4))}, {sums}, {rest} FROM d CROSS JOIN s{k})")
+        for at in range(4):
+            rows = ", ".join(
+                (f"m{at}{j} / m{at}{at} AS m{at}{j}" if i == at else f"m{i}{j} - m{i}{at} * m{at}{j} / m{at}{at} AS m{i}{j}")
+                for i in range(4) for j in range(5))
+            steps.append(f"e{k}_{at + 1} AS (SELECT w0, w1, w2, w3, {rows} FROM e{k}_{at})")
+        steps.append(f"s{k + 1} AS (SELECT {', '.join(f'w{i} + m{i}4 AS w{i}' for i in range(4))} FROM e{k}_4)")
+    return f"""WITH d AS MATERIALIZED (SELECT (quality = 1)::INT::DOUBLE AS y, ln(1 + length(text)::DOUBLE) AS a, contains(lower(text), 'the')::INT::DOUBLE AS b,
+            contains(lower(text), 'de ')::INT::DOUBLE AS c FROM labels JOIN documents USING (doc_id)), {', '.join(s.replace(' AS (', ' AS MATERIALIZED (', 1) for s in steps)},
+        j AS (SELECT y = 1 AS t, {p} >= 0.75 AS p, w0, w1, w2, w3 FROM d CROSS JOIN s{rounds}),
+        n AS (SELECT count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn,
+            any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3 FROM j)
+        SELECT tp, fp, fn, tn, {_RATIO.format(a='tp', b='tp + fp')} AS precision, {_RATIO.format(a='tp', b='tp + fn')} AS recall,
+            {_RATIO.format(a='2 * tp', b='2 * tp + fp + fn')} AS f1, round(w0, 5) AS w_intercept, round(w1, 5) AS w_length, round(w2, 5) AS w_first, round(w3, 5) AS w_second FROM n"""
+
+
 _RATIO = "CASE WHEN {b} = 0 THEN 0.0 ELSE round(({a})::DOUBLE / ({b}), 6) END"
 _KEYED = """p AS (SELECT event_type AS file, event_id AS pos, value < 2 AS bad, 'u' || user_id AS company, 'T' || user_id % 3 AS job_title, ts::DATE AS date_posted FROM events),
 k AS (SELECT DISTINCT company, job_title, date_posted FROM p WHERE file = 'signup'),
@@ -223,5 +263,6 @@ QUERIES = {
             count(*) FILTER (quality = 1 AND n_chars <= 600) AS fn, count(*) FILTER (quality <> 1 AND n_chars <= 600) AS tn FROM labels JOIN documents USING (doc_id) GROUP BY 1)
         SELECT lang, tp, fp, fn, tn, {_RATIO.format(a='tp', b='tp + fp')} AS precision, {_RATIO.format(a='tp', b='tp + fn')} AS recall,
                {_RATIO.format(a='2 * tp', b='2 * tp + fp + fn')} AS f1 FROM c"""),
+    "label_model": (label_model, _model_check()),
     "confusion": (confusion, "SELECT quality::INT AS truth, (n_chars > 600)::INT AS predicted, count(*) AS n_rows FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2"),
 }

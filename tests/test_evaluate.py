@@ -2,8 +2,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fitlens.operators import quantile
+from fitlens.functions.sections import QUALIFICATION_SIGNALS, confidence
+from fitlens.operators import learn, quantile
 
 
 @pytest.mark.parametrize("few", [1, 50, 10_000])
@@ -20,3 +22,49 @@ def test_exact_quantiles(spark, monkeypatch, few):
         want = np.quantile(values, probabilities)
         assert quantile.exact_quantiles(df, "v", probabilities) == pytest.approx(list(want), rel=1e-14, abs=1e-300)
     assert quantile.exact_quantiles(df.limit(0), "v", (0.5,)) == [None]
+
+
+def newton(x, y, ridge):
+    """Logistic regression by plain numpy."""
+    x = np.column_stack((np.ones(len(x)), x))
+    pull, beta = np.array([0.0] + [ridge] * (x.shape[1] - 1)), np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (y - p) - pull * beta)
+    return beta
+
+
+@pytest.mark.parametrize("ridge", [0.0, 2.0])
+def test_logistic_against_numpy(spark, ridge):
+    rng = np.random.default_rng(4)
+    x = np.column_stack((rng.normal(size=500), rng.integers(0, 2, 500), rng.exponential(size=500)))
+    y = rng.random(500) < 1 / (1 + np.exp(-(x @ [1.5, -2.0, 0.5] - 0.3)))
+    rows = [(bool(b), *map(float, r)) for b, r in zip(y, x)] + [(None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "good boolean, a double, b double, c double").repartition(3)
+    fit = learn.fit_logistic(df, "good", {n: F.col(n) for n in "abc"}, ridge)
+    assert fit.converged and list(fit.weights) == ["intercept", "a", "b", "c"]
+    want = newton(x, y, ridge)
+    assert list(fit.weights.values()) == pytest.approx(list(want), rel=1e-8)
+    p = {(r.a, r.b): r.p for r in df.select("a", "b", fit.probability().alias("p")).collect()}
+    assert p[(rows[0][1], rows[0][2])] == pytest.approx(1 / (1 + math.exp(-(want[0] + x[0] @ want[1:]))), rel=1e-8)
+
+
+def test_logistic_without_a_solution(spark):
+    df = spark.createDataFrame([(k > 5, float(k), 2.0 * k) for k in range(10)], "y boolean, a double, b double")
+    with pytest.raises(ValueError, match="sums of others"):
+        learn.fit_logistic(df, "y", {"a": F.col("a"), "b": F.col("b")})
+    assert not learn.fit_logistic(df, "y", {"a": F.col("a")}, most_rounds=12).converged
+    assert learn.fit_logistic(df, "y", {"a": F.col("a"), "b": F.col("b")}, ridge=0.1).converged
+    with pytest.raises(ValueError, match="no row"):
+        learn.fit_logistic(df.withColumn("y", F.lit(None).cast("boolean")), "y", {"a": F.col("a")})
+
+
+def test_learned_signals_rank_items(spark):
+    """Labels that contradict the shipped weights turn them round."""
+    items = [("5 years of x", False)] * 8 + [("degree in y", True)] * 8 + [("responsible for z", True)] * 7 + [("responsible for w", False), ("other", False), ("other", True)]
+    df = spark.createDataFrame(items, "text string, ok boolean")
+    fit, signals = learn.learned_signals(df, "text", "ok", QUALIFICATION_SIGNALS)
+    weights = dict(signals)
+    assert fit.converged and weights[r"\d+\+?\s*years?"] < 0 < weights["responsible for"] and weights["degree|diploma|certificat"] > 0.2
+    scored = {r.text: r.c for r in df.select("text", confidence("text", signals, 0.5).alias("c")).collect()}
+    assert scored["5 years of x"] < scored["other"] < scored["degree in y"]

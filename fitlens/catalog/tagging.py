@@ -30,6 +30,10 @@ NAME_ROWS = ", ".join(f"('{n}', '{label}')" for n, label in NAMES.items())
 FORM_ROWS = ", ".join(f"('{f}', '{v}')" for f, v in FORMS.items())
 
 
+EXCEPTION_ROWS = ", ".join(f"('{f}', '{v or ''}')" for f, v in lx.VERB_EXCEPTIONS.items())
+VERB_CASES = " ".join(f"WHEN regexp_matches(w, '{test}') THEN regexp_replace(w, '{off}', '{put}')" for test, off, put in lx.VERB_RULES)
+
+
 def _keywords(source, text, key, out):
     return rf"""{out} AS (SELECT DISTINCT {key}, regexp_extract({text}, '(?i)' || regexp_escape(k), 0) AS w
         FROM {source}, kw WHERE contains(lower({text}), k))"""
@@ -93,6 +97,11 @@ def action_verbs(spark, sf):
     return docs.select("doc_id", _joined(tags.action_verbs("_w", FORMS)).alias("verbs"))
 
 
+def action_verbs_unseen(spark, sf):
+    docs = load_wide(spark, sf, "documents", "doc_id", "text").withColumn("_w", tags.tokens("text"))
+    return docs.select("doc_id", _joined(tags.unseen_verbs("_w", FORMS)).alias("verbs"))
+
+
 def skill_match_gap(spark, sf):
     """Documents against the skills of one profile made of all benchmark items. The profile
     side is a set of list words, at most the length of the list."""
@@ -187,6 +196,12 @@ QUERIES = {
     "action_verbs": (action_verbs, f"""WITH fm(f, v) AS (VALUES {FORM_ROWS}),
         t AS (SELECT DISTINCT doc_id, lower(unnest({TOKENS % 'text'})) AS f FROM documents), h AS (SELECT DISTINCT doc_id, v FROM t JOIN fm USING (f))
         SELECT d.doc_id, {_agg('v')} AS verbs FROM documents d LEFT JOIN h USING (doc_id) GROUP BY 1"""),
+    "action_verbs_unseen": (action_verbs_unseen, f"""WITH ex(f, v) AS (VALUES {EXCEPTION_ROWS}), fm(f, v) AS (VALUES {FORM_ROWS}),
+        t AS (SELECT DISTINCT doc_id, lower(unnest({TOKENS % 'text'})) AS w FROM documents),
+        l AS (SELECT doc_id, w, CASE {VERB_CASES} END AS v FROM t WHERE regexp_matches(w, '(?:ing|ed)$') AND w NOT IN (SELECT f FROM fm)),
+        h AS (SELECT DISTINCT doc_id, CASE WHEN ex.f IS NOT NULL THEN nullif(ex.v, '') WHEN regexp_matches(l.v, '[aeiouy]') AND length(l.v) >= 3 THEN l.v END AS v
+            FROM l LEFT JOIN ex ON ex.f = l.w)
+        SELECT d.doc_id, coalesce(string_agg(v, '|' ORDER BY v) FILTER (v IS NOT NULL), '') AS verbs FROM documents d LEFT JOIN h USING (doc_id) GROUP BY 1"""),
     "skill_match_gap": (skill_match_gap, f"""WITH {KEYWORDS}, pw(k, i) AS (VALUES {PROFILE_WORDS}), {_keywords('documents', 'text', 'doc_id', 'h')},
         known AS (SELECT DISTINCT k FROM benchmark, pw WHERE contains(lower(text), k)),
         m AS (SELECT doc_id, w, lower(w) IN (SELECT k FROM known) AS ok FROM h)

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fitlens.functions.text import _as_column, contains_any, let
-from fitlens.lexicon import DEFAULT_LEXICON, ENTITY_SKILL_LABELS, Lexicon
+from fitlens.lexicon import DEFAULT_LEXICON, ENTITY_SKILL_LABELS, VERB_EXCEPTIONS, VERB_RULES, Lexicon
 
 TOKEN = r"[\p{L}\p{N}]++(?:[-'][\p{L}\p{N}]++)*+"
 
@@ -118,6 +118,30 @@ def action_verbs(words: Column | str, forms: Mapping[str, str]) -> Column:
     return F.array_sort(F.array_distinct(F.transform(present, lambda f: F.element_at(table, f))))
 
 
+def verb_lemma(word: Column, rules: Sequence[tuple[str, str, str]] = VERB_RULES,
+               exceptions: Mapping[str, str | None] = VERB_EXCEPTIONS) -> Column:
+    """Lemma of a lower-case gerund or past form by ordered suffix rules; null if the word is no such form,
+    or if what is left of it is no syllable. A native expression: no rule is tried after one that fits."""
+    out = None
+    for test, off, put in rules:
+        fits, lemma = word.rlike(test), F.regexp_replace(word, off, put)
+        out = F.when(fits, lemma) if out is None else out.when(fits, lemma)
+    cut = F.when(out.rlike(r"^.*[aeiouy].*$") & (F.length(out) >= 3), out)
+    known = F.create_map(*[F.lit(x) for pair in sorted(exceptions.items()) for x in (pair[0], pair[1] or "")])
+    exception = F.try_element_at(known, word) if exceptions else F.lit(None).cast("string")
+    return F.when(exception.isNotNull(), F.nullif(exception, F.lit(""))).otherwise(cut)
+
+
+def unseen_verbs(words: Column | str, forms: Mapping[str, str], rules: Sequence[tuple[str, str, str]] = VERB_RULES,
+                 exceptions: Mapping[str, str | None] = VERB_EXCEPTIONS) -> Column:
+    """Lemmas, sorted and unique, of the gerunds and past forms that a verb list (form to lemma) lacks. Each
+    different word of a text is looked at once."""
+    low = F.array_distinct(F.transform(_as_column(words), F.lower))
+    likely = F.filter(F.array_except(low, _string_array(sorted(forms))), lambda w: w.rlike("(?:ing|ed)$"))
+    found = F.transform(likely, lambda w: verb_lemma(w, rules, exceptions))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
+
+
 def extracted_skills(text: Column | str, entities: Column | str,
                      lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     """Keyword skills and technology-like entities together."""

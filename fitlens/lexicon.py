@@ -166,6 +166,22 @@ def verb_forms(lemmas: Sequence[str] = STARTER_VERBS,
     return forms
 
 
+# For verbs that no list has: gerunds and past forms are cut by the first rule whose test they pass
+# (test, what is cut off, what is put in its place). The exceptions come first; null is no verb.
+VERB_RULES = (
+    (r"(?:bb|dd|gg|kk|mm|nn|pp|rr|tt)(?:ing|ed)$", r".(?:ing|ed)$", ""),
+    (r"[^aeiou]ied$", r"ied$", "y"),
+    (r"(?:at|iz|is|uc|ag|rg|dg|iv|lv|rv|ov|as|us|ur|ir|qu|ib|ud|ut|bl|pl|tl|gl|dl|c)(?:ing|ed)$", r"(?:ing|ed)$", "e"),
+    (r"(?:ing|ed)$", r"(?:ing|ed)$", ""),
+)
+VERB_EXCEPTIONS = {
+    "being": "be", "having": "have", "doing": "do", "going": "go", "making": "make", "taking": "take", "writing": "write", "using": "use",
+    "used": "use", "scaling": "scale", "scaled": "scale", "need": "need", "feed": "feed", "thing": None, "nothing": None, "something": None,
+    "anything": None, "everything": None, "during": None, "morning": None, "evening": None, "according": None, "hundred": None, "speed": None,
+    "seed": None, "indeed": None, "spring": None, "string": None, "ceiling": None,
+}
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """All word lists used while parsing and tagging one corpus."""
@@ -185,6 +201,8 @@ class Lexicon:
     entities: Mapping[str, str] = field(default_factory=lambda: STARTER_ENTITIES)
     verbs: Mapping[str, str] = field(default_factory=verb_forms)
     entity_skill_marks: Sequence[str] = ENTITY_SKILL_MARKS
+    #: Whether gerunds and past forms of verbs that the list lacks count too.
+    guess_verbs: bool = False
 
 
 DEFAULT_LEXICON = Lexicon()

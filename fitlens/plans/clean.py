@@ -29,8 +29,11 @@ def clean_postings(raw: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, parser: P
     df = parse_description(df, "description_clean", lexicon, parser)
     if not load_tagger:
         df = df.withColumn("_words", tags.tokens("description_clean"))
+        verbs_of = tags.action_verbs("_words", lexicon.verbs)
+        if lexicon.guess_verbs:
+            verbs_of = F.array_sort(F.array_union(verbs_of, tags.unseen_verbs("_words", lexicon.verbs)))
         df = df.withColumns({"entities": tags.entity_map("_words", lexicon.entities, "description_clean"),
-                             "action_verbs": tags.action_verbs("_words", lexicon.verbs)})
+                             "action_verbs": verbs_of})
     if gazetteer is not None:
         found = tag_entities(texts, "description_clean", gazetteer)
         none = F.create_map().cast("map<string,array<string>>")

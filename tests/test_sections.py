@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from fitlens.functions import sections as s
 from fitlens.functions import tags
+from fitlens.lexicon import DEFAULT_LEXICON
 
 A = """Harbor Metrics is growing its reporting group.
 
@@ -154,3 +155,15 @@ def test_skill_overlap(spark):
                      tags.match_ratio(m, "j").alias("r")).collect()
     assert rows[0]["m"] == ["SQL"] and rows[0]["g"] == ["r", "Kafka"] and abs(rows[0]["r"] - 1 / 3) < 1e-12
     assert rows[1]["m"] == [] and rows[1]["r"] == 0.0
+
+
+def test_verbs_that_no_list_has(spark):
+    """Gerunds and past forms by ordered suffix rules, exceptions first."""
+    pairs = {"leveraging": "leverage", "planned": "plan", "applied": "apply", "solving": "solve", "handled": "handle", "producing": "produce",
+             "shipping": "ship", "walked": "walk", "automating": "automate", "acquired": "acquire", "executing": "execute", "writing": "write",
+             "mentoring": "mentor", "negotiated": "negotiate", "using": "use", "thing": None, "speed": None, "bed": None, "sting": None}
+    rows = spark.createDataFrame(list(pairs.items()), "w string, want string").select("w", "want", tags.verb_lemma(F.col("w")).alias("got")).collect()
+    assert {r.w: r.got for r in rows} == pairs
+    df = spark.createDataFrame([("Leveraging tools, leveraged and Managing; walked nothing",), ("",), (None,)], "x string")
+    found = [r[0] for r in df.select(tags.unseen_verbs(tags.tokens("x"), DEFAULT_LEXICON.verbs)).collect()]
+    assert found == [["leverage", "walk"], [], None]

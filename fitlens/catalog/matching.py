@@ -13,7 +13,7 @@ from fitlens.operators.evaluate import composite, good_fit, ranking_quality, wei
 from fitlens.operators.match import OVERALL, explode_matches, match_profile
 from fitlens.operators.rows import each_item, small_side
 from fitlens.operators.rank import global_rank, top_rows
-from fitlens.plans.score import rank_postings, score_postings
+from fitlens.plans.score import rank_postings, score_postings, with_unscored
 from fitlens.sources.exports import summary
 from fitlens.sources.profile import parse_sections, profile_rows
 
@@ -151,6 +151,11 @@ def profile_document_rows(spark, sf):
 
 
 def _scored_documents(spark, sf):
+    return _scored(spark, sf)[1]
+
+
+def _scored(spark, sf, processed=None):
+    """Documents as raw postings, and the scores of those that are ``processed``, or of all."""
     docs = load_wide(spark, sf, "documents", "doc_id", "text", "source", "lang")
     raw = docs.select(F.col("doc_id").alias("job_id"), F.col("source").alias("company"), F.col("lang").alias("job_title"),
                       F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("job_url"),
@@ -158,7 +163,16 @@ def _scored_documents(spark, sf):
     clean = docs.select(F.col("doc_id").alias("job_id"), tags.keyword_hits("text", lx.POSTING_SKILLS).alias("extracted_skills"))
     vectors = docs.select(F.col("doc_id").alias("job_id"), F.lit("full_description").alias("section"),
                           embed_text("text", dim=DIM).alias("embedding"))
-    return score_postings(raw, clean, vectors, _benchmark_profile(spark, sf))
+    return raw, score_postings(raw, clean.join(docs.filter(processed).select(F.col("doc_id").alias("job_id")), "job_id", "left_semi")
+                               if processed is not None else clean, vectors, _benchmark_profile(spark, sf))
+
+
+def unscored_postings(spark, sf):
+    """Only the English documents are processed; the others are listed without a score."""
+    raw, scored = _scored(spark, sf, F.col("lang") == "en")
+    return with_unscored(raw, scored).select(
+        "job_id", "company", "job_title", "profile_version", F.round("composite_score", 6).alias("score"),
+        F.size("matched_skills").alias("n_matched"), "skill_gap_count")
 
 
 def score_and_rank(spark, sf):
@@ -256,6 +270,10 @@ QUERIES = {
               UNION ALL SELECT profile_version, (2 + generate_subscripts(bl, 1))::INT, 'Projects', sub, 'bullet', unnest(bl) FROM b)
         SELECT profile_version, ordinal, section, subsection, content_type, substr(t, 1, 500) AS text FROM r"""),
     "score_and_rank": (score_and_rank, f"{_RANKED} SELECT job_id, company, rank, round(s, 6) AS score, skill_match_count, skill_gap_count, ratio, best FROM fin"),
+    "unscored_postings": (unscored_postings, f"""{_RANKED} SELECT d.doc_id AS job_id, d.source AS company, d.lang AS job_title,
+        CASE WHEN lang = 'en' THEN 'items' END AS profile_version, CASE WHEN lang = 'en' THEN round(s, 6) END AS score,
+        CASE WHEN lang = 'en' THEN skill_match_count END AS n_matched, CASE WHEN lang = 'en' THEN skill_gap_count END AS skill_gap_count
+        FROM documents d LEFT JOIN fin ON job_id = d.doc_id"""),
     "summary_export": (summary_export, f"""{_RANKED} SELECT rank, company, job_title, NULL::VARCHAR AS location, skill_match_count, skill_gap_count,
         NULL::VARCHAR AS job_url, NULL::VARCHAR AS date_posted, round(s, 6) AS composite_score, round(s, 6) AS overall_similarity FROM fin"""),
     "ranking_metrics": (ranking_metrics, f"""{_RANKED} SELECT round(min(s), 6) AS min_score, round(max(s), 6) AS max_score, round(avg(s), 6) AS avg_score,

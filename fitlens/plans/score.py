@@ -75,6 +75,13 @@ def score_postings(raw: DataFrame, clean: DataFrame, job_embeddings: DataFrame,
         "date_posted")
 
 
+def with_unscored(raw: DataFrame, scored: DataFrame) -> DataFrame:
+    """All postings, left outer: the scored ones once per profile version, and those that are not processed
+    or have no vector once, with null scores and no version."""
+    meta = ["company", "job_title", "location", "job_url", "date_posted"]
+    return raw.select("job_id", *meta).join(scored.drop(*meta), "job_id", "left").select(*scored.columns)
+
+
 def rank_postings(scored: DataFrame) -> DataFrame:
     """Ranks 1..n per profile version by composite score, ties by id."""
     return global_rank(scored, [F.desc("composite_score"), "job_id"], group=["profile_version"])

@@ -9,9 +9,10 @@ from fitlens.catalog.shared import load, load_wide
 from fitlens.catalog.tagging import KEYWORDS, PROFILE_WORDS, _keywords
 from fitlens.functions import tags
 from fitlens.functions.vectors import cosine, embed_text
+from fitlens.operators.agreement import kendall_tau
 from fitlens.operators.evaluate import composite, good_fit, ranking_quality, weight_grid
 from fitlens.operators.match import OVERALL, explode_matches, match_profile
-from fitlens.operators.rows import each_item, small_side
+from fitlens.operators.rows import each_item, small_side, stored
 from fitlens.operators.rank import global_rank, top_rows
 from fitlens.plans.score import rank_postings, score_postings, with_unscored
 from fitlens.sources.exports import summary
@@ -141,6 +142,15 @@ def weight_search(spark, sf):
     return best.select("point", F.round("rank_correlation", 6).alias("rank_correlation"))
 
 
+def score_agreement(spark, sf):
+    """Kendall's tau-b of the two similarities, as they are and in steps with many ties."""
+    scores = _component_scores(spark, sf).withColumns({"own_step": F.round("own", 1), "overall_step": F.round("overall", 1)})
+    scores = stored(scores)
+    pairs = (("own", "overall"), ("own_step", "overall"), ("own_step", "overall_step"))
+    found = [(a, b, kendall_tau(scores, a, b)) for a, b in pairs]
+    return spark.createDataFrame(found, "a string, b string, tau double").select("a", "b", F.round("tau", 6).alias("tau"))
+
+
 def profile_document_rows(spark, sf):
     items = load(spark, sf, "benchmark").select(
         F.col("item_id").cast("string").alias("profile_version"),
@@ -259,6 +269,12 @@ QUERIES = {
         sc AS (SELECT 'v' || own.label AS profile_version, vec_id, {_cos('x.e', 'own.c')} AS s FROM x CROSS JOIN own)
         SELECT profile_version, vec_id, row_number() OVER (PARTITION BY profile_version ORDER BY s DESC, vec_id) AS rank, round(s, 6) AS score FROM sc"""),
     "fit_flag": (fit_flag, f"{_COMPONENTS} SELECT vec_id, round(own * 0.6 + overall * 0.4, 6) AS score, own * 0.6 + overall * 0.4 >= 0.2 AS is_fit FROM sc"),
+    "score_agreement": (score_agreement, f"""{_COMPONENTS}, v AS (SELECT vec_id, own, overall, round(own, 1) AS own_step, round(overall, 1) AS overall_step FROM sc),
+        p AS (SELECT sign(x.own - y.own) AS a, sign(x.overall - y.overall) AS b, sign(x.own_step - y.own_step) AS c, sign(x.overall_step - y.overall_step) AS d
+              FROM v x, v y WHERE x.vec_id < y.vec_id)
+        SELECT 'own' AS a, 'overall' AS b, round(sum(a * b) / sqrt(sum(abs(a))) / sqrt(sum(abs(b))), 6) AS tau FROM p
+        UNION ALL SELECT 'own_step', 'overall', round(sum(c * b) / sqrt(sum(abs(c))) / sqrt(sum(abs(b))), 6) FROM p
+        UNION ALL SELECT 'own_step', 'overall_step', round(sum(c * d) / sqrt(sum(abs(c))) / sqrt(sum(abs(d))), 6) FROM p"""),
     "weight_search": (weight_search, f"""{_COMPONENTS}, g(point, a, b) AS (VALUES (0, 1.0, 0.0), (1, 0.0, 1.0), (2, 0.5, 0.5), (3, 0.9, 0.1)),
         r AS (SELECT point, vec_id, row_number() OVER (PARTITION BY point ORDER BY a::DOUBLE * own + b::DOUBLE * overall DESC, vec_id) AS rank FROM sc CROSS JOIN g)
         SELECT point, round(corr(rank, vec_id), 6) AS rank_correlation FROM r GROUP BY 1"""),

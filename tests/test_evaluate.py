@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fitlens.functions.sections import QUALIFICATION_SIGNALS, confidence
-from fitlens.operators import learn, quantile
+from fitlens.operators import agreement, learn, quantile
 
 
 @pytest.mark.parametrize("few", [1, 50, 10_000])
@@ -68,3 +68,39 @@ def test_learned_signals_rank_items(spark):
     assert fit.converged and weights[r"\d+\+?\s*years?"] < 0 < weights["responsible for"] and weights["degree|diploma|certificat"] > 0.2
     scored = {r.text: r.c for r in df.select("text", confidence("text", signals, 0.5).alias("c")).collect()}
     assert scored["5 years of x"] < scored["other"] < scored["degree in y"]
+
+
+def tau(a, b):
+    """Kendall's tau-b by all pairs."""
+    x, y = np.sign(np.subtract.outer(a, a)), np.sign(np.subtract.outer(b, b))
+    return float((x * y).sum() / math.sqrt((x != 0).sum()) / math.sqrt((y != 0).sum()))
+
+
+@pytest.mark.parametrize("rows", [7, 100_000])
+def test_kendall_against_all_pairs(spark, monkeypatch, rows):
+    """One range and many, ties in one or both, a value that most rows have."""
+    monkeypatch.setattr(agreement, "RANGE_ROWS", rows)
+    monkeypatch.setattr(agreement, "MOST_RANGES", 9)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=400)
+    for a, b in ((x, x + rng.normal(size=400)), (np.round(x, 1), np.round(-x + rng.normal(size=400))), (np.where(rng.random(400) < 0.6, 0.0, x), rng.integers(0, 3, 400) * 1.0),
+                 (x[:80], x[:80]), (x[:80], -x[:80]), (x[:2], x[:2])):
+        df = spark.createDataFrame([*zip(a.tolist(), b.tolist()), (None, 1.0), (math.nan, 2.0)], "a double, b double").repartition(3)
+        assert agreement.kendall_tau(df, "a", "b") == pytest.approx(tau(a, b), abs=1e-12)
+    assert agreement.kendall_tau(df.withColumn("b", F.lit(1.0)), "a", "b") is None and agreement.kendall_tau(df.limit(0), "a", "b") is None
+
+
+def test_inversions():
+    rng = np.random.default_rng(8)
+    v, w = rng.integers(0, 40, 500).astype(float), rng.integers(1, 5, 500)
+    assert agreement.inversions(v, w) == sum(int(w[i] * w[j]) for i in range(500) for j in range(i + 1, 500) if v[i] > v[j])
+
+
+def test_weights_that_agree(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 3))
+    rows = [(*map(float, r), float(t)) for r, t in zip(x, x @ [0.75, 0.25, 0.0])]
+    df = spark.createDataFrame(rows, "a double, b double, c double, truth double")
+    local = lambda d, s, t: tau(*np.array([tuple(r) for r in d.select(s, t).collect()]).T)
+    weights, value = agreement.search_weights(df, ["a", "b", "c"], "truth", objective=local)
+    assert value > 0.98 and abs(weights["a"] - 0.75) < 0.1 and weights["c"] < 0.1 and sum(weights.values()) == pytest.approx(1.0)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, value) -> Broadcast:
+    """``value`` sent to the tasks with the code of its classes. A plain broadcast names a class by its
+    module, which executors without this package cannot import."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared: Broadcast):
+    """What was sent; to be built once per task."""
+    return pickle.loads(shared.value)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row, though the body uses it often."""
     return F.transform(F.array(value), body)[0]

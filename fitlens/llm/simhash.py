@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitlens.llm.common import written
+from fitlens.llm.common import received, sent, written
 from fitlens.llm.graph import components
 
 SEED, WIDTH, MAX_BITS = 42, 4, 4
@@ -158,13 +158,14 @@ def close_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     masks, reach = _blocks(max_bits)
     levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(1, n) / PER_SHARD)))))
     # At most 2^16 nodes for each of a few blocks: the size does not depend on the corpus.
-    shared = spark.sparkContext.broadcast([Tree(sample, m, levels) for m in masks])
+    shared = sent(spark, [Tree(sample, m, levels) for m in masks])
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(shared.value), 1 << levels), np.int64)
+        trees = received(shared)
+        totals = np.zeros((len(trees), 1 << levels), np.int64)
         for batch in batches:
             own = batch.column("fp").to_numpy().view(np.uint64)
-            for k, tree in enumerate(shared.value):
+            for k, tree in enumerate(trees):
                 totals[k] += np.bincount(tree.home(own), minlength=1 << levels)
         k, shard = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(shard), pa.array(totals[k, shard])], ["k", "shard", "n"])
@@ -177,11 +178,12 @@ def close_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     shared_parts = spark.sparkContext.broadcast(parts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = received(shared)
         for batch in batches:
             own = batch.column("fp").to_numpy().view(np.uint64)
             for i in range(0, len(own), 2000):
                 some = own[i:i + 2000]
-                for k, tree in enumerate(shared.value):
+                for k, tree in enumerate(trees):
                     home = tree.home(some)
                     row, at = tree.lookups(some, reach)
                     many = shared_parts.value[k]

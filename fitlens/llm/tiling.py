@@ -15,6 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+
+from fitlens.llm.common import received, sent
 
 _WORD = re.compile(r"\w+")
 MIN_TILE, COVERAGE = 5, 0.6
@@ -120,19 +123,20 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE
     """``doc_id, item_id, covered_words, coverage, n_tiles`` for every document row and item
     (``doc_id, text`` and ``item_id, text``; other columns are ignored) whose words the tiles cover
     to at least ``coverage``. Words are runs of letters, digits and underscores in lower case.
-    Null and empty texts match nothing; equal rows give equal rows.
+    Null and empty texts match nothing; equal rows give equal rows; ids may be of any plain type.
 
     The documents are read once for each block of items of at most ``block_bytes`` (or one item),
     so what is sent to the tasks is bounded, and no rows are shuffled."""
     spark, narrow = docs.sparkSession, docs.select("doc_id", "text")
     kinds = [narrow.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, covered_words long, coverage double, n_tiles long"
+    item_kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     result = spark.createDataFrame([], schema)
     for items in _blocks(benchmark, min_tile, block_bytes):
-        shared = spark.sparkContext.broadcast(items)
+        shared = sent(spark, items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
+            own = received(shared)
             for batch in batches:
                 rows, found = [], []
                 for i, text in enumerate(batch.column("text").to_pylist()):
@@ -142,10 +146,10 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(rows, pa.int64())),
                      *(pa.array([m[k] for m in found], t) for k, t in
-                       enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64())))],
+                       enumerate((item_kind, pa.int64(), pa.float64(), pa.int64())))],
                     ["doc_id", "item_id", "covered_words", "coverage", "n_tiles"])
 
-        result = result.unionByName(narrow.mapInArrow(run, schema.replace(f"item_id {kinds[1]}", "item_id long")))
+        result = result.unionByName(narrow.mapInArrow(run, schema))
     return result
 
 
@@ -154,10 +158,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TIL
     """The rows of ``docs``, with all their columns, that ``leaked_items`` finds nothing in."""
     spark = docs.sparkSession
     for items in _blocks(benchmark, min_tile, block_bytes):
-        shared = spark.sparkContext.broadcast(items)
+        shared = sent(spark, items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
+            own = received(shared)
             for batch in batches:
                 at = batch.schema.get_field_index("text")
                 clean = [all(m[2] < coverage for m in own.matches(t)) for t in batch.column(at).to_pylist()]

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fitlens.llm.common import received, sent
+
 MARK = "▁"
 _PRETOKEN = re.compile(f"{MARK}+[^{MARK}]*")
 #: Rounds after which sequences still unfinished (long runs without white space) go on with a
@@ -179,12 +181,12 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     counts; no rows give no rows. The vocabulary is read once, on the driver, and is the only
     thing sent to the tasks; its size is that of the file."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_merges(model_path))
+    shared = sent(spark, read_merges(model_path))
     narrow = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(shared.value)
+        count = counter(received(shared))
         for batch in batches:
             n = pa.array(count(batch.column("text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays(

@@ -60,6 +60,12 @@ def test_empty_and_long(docs_of, empty_docs, spark, odd_texts):
     assert tiling.without_leaks(docs_of(["a", None]), bench.limit(0)).count() == 2
 
 
+def test_string_ids(docs_of, spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([("i-1", words), (None, words + " more")], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in tiling.leaked_items(docs_of([words, "w1 w2"]), bench).collect()} == {(0, "i-1"), (0, None)}
+
+
 def test_planted_leaks(spark):
     """Every document that holds an item's words in one run is found, and none without half of them."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")

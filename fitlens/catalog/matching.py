@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fitlens import lexicon as lx
-from fitlens.catalog.shared import load, load_wide
+from fitlens.catalog.parsing import QUAL_ITEMS, RESP_ITEMS, SECTIONS
+from fitlens.catalog.shared import load, load_wide, postings
 from fitlens.catalog.tagging import KEYWORDS, PROFILE_WORDS, _keywords
 from fitlens.functions import tags
+from fitlens.functions.sections import parse_description
 from fitlens.functions.vectors import cosine, embed_text
 from fitlens.operators.agreement import kendall_tau
 from fitlens.operators.evaluate import composite, good_fit, ranking_quality, weight_grid
 from fitlens.operators.match import OVERALL, explode_matches, match_profile
 from fitlens.operators.rows import each_item, small_side, stored
 from fitlens.operators.rank import global_rank, top_rows
+from fitlens.plans.embed import posting_sections
 from fitlens.plans.score import rank_postings, score_postings, with_unscored
 from fitlens.sources.exports import summary
-from fitlens.sources.profile import parse_sections, profile_rows
+from fitlens.sources.profile import parse_sections, profile_rows, technical_skills_text
 
 DIM = 64
 PER_SECTION = {"TechnicalSkills": 1, "Projects": 3, "Summary": 2}
@@ -160,6 +163,10 @@ def profile_document_rows(spark, sf):
     return profile_rows(profiles, lx.STORED_TEXT_CHARS)
 
 
+def first_skills_row(spark, sf):
+    return technical_skills_text(_benchmark_profile(spark, sf)).select("profile_version", "text")
+
+
 def _scored_documents(spark, sf):
     return _scored(spark, sf)[1]
 
@@ -193,6 +200,19 @@ def score_and_rank(spark, sf):
         F.array_join(F.transform("best_resume_matches", lambda m: m["ordinal"].cast("string")), "|").alias("best"))
 
 
+def weighted_composite(spark, sf):
+    """Postings parsed, embedded and scored by the four declared weights."""
+    docs = postings(spark, sf).select(F.col("doc_id").alias("job_id"), F.col("body").alias("description_clean"))
+    clean = parse_description(docs, "description_clean").withColumn(
+        "extracted_skills", tags.keyword_hits("description_clean", lx.POSTING_SKILLS))
+    texts = posting_sections(clean).filter(F.col("section").isin("full_description", "responsibilities"))
+    vectors = texts.select("job_id", "section", embed_text("text", dim=DIM).alias("embedding"))
+    none = F.lit(None).cast("string")
+    raw = docs.select("job_id", *[none.alias(c) for c in ("company", "job_title", "location", "job_url")], none.cast("date").alias("date_posted"))
+    scored = score_postings(raw, clean, vectors, _benchmark_profile(spark, sf), weights=lx.SCORE_WEIGHTS)
+    return scored.select("job_id", F.round("composite_score", 6).alias("score"), F.round("overall_similarity", 6).alias("overall"))
+
+
 def summary_export(spark, sf):
     out = summary(rank_postings(_scored_documents(spark, sf)))
     return out.select("rank", "company", "job_title", "location", "skill_match_count", "skill_gap_count", "job_url",
@@ -285,11 +305,22 @@ QUERIES = {
               UNION ALL SELECT profile_version, 2, 'Projects', sub, 'subsection', sub || ' ' || array_to_string(bl, ' ') FROM b
               UNION ALL SELECT profile_version, (2 + generate_subscripts(bl, 1))::INT, 'Projects', sub, 'bullet', unnest(bl) FROM b)
         SELECT profile_version, ordinal, section, subsection, content_type, substr(t, 1, 500) AS text FROM r"""),
+    "first_skills_row": (first_skills_row, """SELECT 'items' AS profile_version, arg_min(text, item_id) AS text FROM benchmark WHERE item_id % 3 = 0"""),
     "score_and_rank": (score_and_rank, f"{_RANKED} SELECT job_id, company, rank, round(s, 6) AS score, skill_match_count, skill_gap_count, ratio, best FROM fin"),
     "unscored_postings": (unscored_postings, f"""{_RANKED} SELECT d.doc_id AS job_id, d.source AS company, d.lang AS job_title,
         CASE WHEN lang = 'en' THEN 'items' END AS profile_version, CASE WHEN lang = 'en' THEN round(s, 6) END AS score,
         CASE WHEN lang = 'en' THEN skill_match_count END AS n_matched, CASE WHEN lang = 'en' THEN skill_gap_count END AS skill_gap_count
         FROM documents d LEFT JOIN fin ON job_id = d.doc_id"""),
+    "weighted_composite": (weighted_composite, f"""{SECTIONS}, {QUAL_ITEMS}, {RESP_ITEMS}, pw(k, i) AS (VALUES {PROFILE_WORDS}),
+        known AS (SELECT k FROM pw, benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark WHERE item_id % 3 = 0) AND contains(lower(text), k)),
+        m AS (SELECT doc_id, kind, avg(CASE WHEN EXISTS (SELECT 1 FROM known WHERE contains(lower(item), k)) THEN 1.0 ELSE 0.0 END) AS m FROM qi GROUP BY 1, 2),
+        r AS (SELECT doc_id, string_agg(txt, ' ' ORDER BY o) AS t FROM rb GROUP BY 1 HAVING string_agg(txt, ' ' ORDER BY o) <> ''),
+        {_hash_check('p', 'doc_id', 'body', 'd')}, {_hash_check('r', 'doc_id', 't', 'a')}, {_hash_check('benchmark', 'item_id', 'text', 'k')},
+        mean AS (SELECT list(m ORDER BY i) AS e FROM (SELECT i, avg(v)::FLOAT::DOUBLE AS m FROM (
+            SELECT unnest(e) AS v, generate_subscripts(e, 1) AS i FROM k_e) GROUP BY i)),
+        f AS (SELECT d_e.id, {_cos('d_e.e', 'mean.e')} AS s, coalesce({_cos('a_e.e', 'mean.e')}, 0) AS al FROM d_e LEFT JOIN a_e USING (id) CROSS JOIN mean)
+        SELECT f.id AS job_id, round(0.4::DOUBLE * s + 0.3::DOUBLE * coalesce(q.m, 0) + 0.2::DOUBLE * al + 0.1::DOUBLE * coalesce(b.m, 0), 6) AS score, round(s, 6) AS overall
+        FROM f LEFT JOIN m q ON q.doc_id = f.id AND q.kind = 'required' LEFT JOIN m b ON b.doc_id = f.id AND b.kind = 'bonus'"""),
     "summary_export": (summary_export, f"""{_RANKED} SELECT rank, company, job_title, NULL::VARCHAR AS location, skill_match_count, skill_gap_count,
         NULL::VARCHAR AS job_url, NULL::VARCHAR AS date_posted, round(s, 6) AS composite_score, round(s, 6) AS overall_similarity FROM fin"""),
     "ranking_metrics": (ranking_metrics, f"""{_RANKED} SELECT round(min(s), 6) AS min_score, round(max(s), 6) AS max_score, round(avg(s), 6) AS avg_score,

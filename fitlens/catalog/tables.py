@@ -143,6 +143,12 @@ def unprocessed_latest(spark, sf):
         "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
+def unprocessed_postings(spark, sf):
+    orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.to_date("o_orderdate").alias("date_posted"))
+    done = load(spark, sf, "lineitem").filter("l_quantity > 40").select(F.col("l_orderkey").alias("job_id"))
+    return tables.unprocessed(orders, done).select("job_id", F.col("date_posted").cast("string").alias("day"))
+
+
 def top_head(spark, sf):
     return top_rows(load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"])
 
@@ -255,6 +261,8 @@ QUERIES = {
         UNION ALL SELECT doc_id, 'text:longer_than_2000' FROM documents WHERE lang <> 'es' AND length(text) > 2000
         UNION ALL SELECT doc_id, 'source:longer_than_4' FROM documents WHERE length(source) > 4"""),
     "unprocessed_latest": (unprocessed_latest, "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey"),
+    "unprocessed_postings": (unprocessed_postings, """SELECT o_orderkey AS job_id, o_orderdate::DATE::VARCHAR AS day FROM orders
+        WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40) ORDER BY o_orderdate DESC, o_orderkey"""),
     "top_head": (top_head, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5"),
     "first_per_section": (first_per_section, "SELECT label, round(arg_min(embedding[1]::DOUBLE, vec_id), 6) AS first_value FROM embeddings GROUP BY 1"),
     "sql_params": (sql_params, """SELECT a.o_orderstatus, n, last_key FROM (SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY 1) a

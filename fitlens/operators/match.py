@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,13 +118,13 @@ def match_profile(jobs: DataFrame, profile: DataFrame, top_n: int = 5,
     """
     if "profile_version" not in profile.columns:
         profile = profile.withColumn("profile_version", F.lit("default"))
-    dim = _dimension(profile)
     rows = _bounded(profile, max_profile_rows)
     if rows is None:
-        return _match_large(jobs, profile, top_n, per_section, vector, max_profile_rows, dim, report)
+        return _match_large(jobs, profile, top_n, per_section, vector, max_profile_rows, report)
     if rows.num_rows == 0:
         raise ValueError("the profile has no rows")
-    packed = _Profile(rows, top_n, per_section, dim)
+    dims = pc.list_value_length(rows["embedding"]).drop_null()
+    packed = _Profile(rows, top_n, per_section, dims[0].as_py() if len(dims) else 0)
     others = [c for c in jobs.columns if c != vector]
     found = T.StructType.fromDDL(f"profile_version string, overall_similarity double, matches array<{_MATCH_DDL}>")
     # Rows whose results, texts included, are written at once.
@@ -142,12 +143,6 @@ def match_profile(jobs: DataFrame, profile: DataFrame, top_n: int = 5,
     return jobs.select(*others, vector).mapInArrow(score, T.StructType([*[jobs.schema[c] for c in others], *found.fields]))
 
 
-def _dimension(profile: DataFrame) -> int:
-    """Length of the profile's vectors, 0 if it has none."""
-    first = profile.filter(F.col("embedding").isNotNull()).select(F.size("embedding")).limit(1).collect()
-    return first[0][0] if first else 0
-
-
 def _score_batch(packed: _Profile, vectors: pa.Array) -> pa.Array:
     n, versions = len(vectors), len(packed.groups)
     # Parts arrive version by version within a chunk; the output wants, per posting, one
@@ -178,7 +173,7 @@ def _score_batch(packed: _Profile, vectors: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, stacked.take(interleave))
 
 
-def _match_large(jobs, profile, top_n, per_section, vector, max_rows, dim, report) -> DataFrame:
+def _match_large(jobs, profile, top_n, per_section, vector, max_rows, report) -> DataFrame:
     """The exact match for a profile that does not fit one task: ``best_rows`` over groups of its rows, one
     a version (and section), and one of the first overall row of each version. Postings and rows are
     known by numbers given before the split, so equal and null ids stay apart, and the texts of rows
@@ -187,6 +182,8 @@ def _match_large(jobs, profile, top_n, per_section, vector, max_rows, dim, repor
     others = [c for c in jobs.columns if c not in (vector, "_posting")]
     kept = [c for c in ("profile_version", "ordinal", *_META, "embedding") if c in profile.columns]
     profile = stored(profile.select(*kept).withColumn("_row", F.monotonically_increasing_id()))
+    first = profile.filter(F.col("embedding").isNotNull()).select(F.size("embedding")).limit(1).collect()
+    dim = first[0][0] if first else 0
     named = F.struct(F.lit("best").alias("kind"), "profile_version", *(["section"] if per_section is not None else []))
     limit = F.lit(top_n)
     if per_section is not None:

@@ -117,6 +117,8 @@ class Snapshots:
 
     def commit(self, changes: Mapping[str, Change]) -> None:
         """Make all changes at once. Rows are written first, a folder per table; then the manifest."""
+        if not changes:
+            return
         numbers = self._manifests()
         number = f"{int(numbers[-1] if numbers else 0) + 1:012d}"
         old = stored(self.manifest(numbers[-1])) if numbers else self.manifest()

@@ -119,6 +119,11 @@ def with_processed_flag(raw: DataFrame, clean: DataFrame) -> DataFrame:
         "is_processed", F.coalesce("_done", F.lit(False))).drop("_done")
 
 
+def unprocessed(raw: DataFrame, clean: DataFrame) -> DataFrame:
+    """Raw postings without a clean row, newest first, ties by id; undated ones last."""
+    return raw.join(clean.select("job_id"), "job_id", "left_anti").orderBy(F.desc_nulls_last("date_posted"), "job_id")
+
+
 def sql(spark: SparkSession, query: str, params=None) -> DataFrame:
     """A SQL query with named (dict) or positional (list) parameters, as a frame."""
     return spark.sql(query, args=params) if params else spark.sql(query)

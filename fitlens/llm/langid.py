@@ -18,8 +18,10 @@ from fitlens.llm.common import written
 
 MARK = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: A longer run of letters is scored in parts of this many, which keeps probabilities in range.
-PART = 32
+#: Places of a group of words whose lattices are held at once; a longer word is a group of its own.
+GROUP = 64_000
+#: Sums below this are brought back into the range of doubles, looked for at every so many places.
+SMALL, EVERY = 1e-60, 8
 #: Probability of a character that no piece has, in every language.
 UNKNOWN = 1e-8
 #: Labelled documents per language that a model is fitted on (chosen by hash), rounds of
@@ -29,10 +31,7 @@ CACHED_WORDS = 200_000
 
 
 def words_of(text: str) -> list[str]:
-    found = _LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) > PART:
-        found = [w[i:i + PART] for w in found for i in range(0, len(w), PART)]
-    return found
+    return _LETTERS.findall(text.lower())
 
 
 class Lattice:
@@ -94,23 +93,49 @@ def _extended(p: np.ndarray) -> np.ndarray:
 
 
 def _by_length(words: list[str], size: int = 2000) -> Iterator[np.ndarray]:
-    order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-    for i in range(0, len(order), size):
-        yield order[i:i + size]
+    """Groups of words of like lengths, of up to ``size`` words and about ``GROUP`` places."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    begin = 0
+    while begin < len(order):
+        longest = sizes[order[begin:begin + size]] + 2
+        fits = np.flatnonzero(longest * np.arange(1, len(longest) + 1) <= GROUP)
+        end = begin + (fits[-1] + 1 if len(fits) else 1)
+        yield order[begin:end]
+        begin = end
+
+
+def _raised(pending: np.ndarray, scale: np.ndarray) -> None:
+    """Brings sums that are still added to (along the first axis) into range, and notes it in ``scale``."""
+    most = pending.max(0)
+    low = (most > 0) & (most < SMALL)
+    if low.any():
+        pending[:, low] /= most[low]
+        scale[low] += np.log(most[low])
 
 
 def word_scores(lattice: Lattice, p: np.ndarray, words: list[str]) -> np.ndarray:
-    """Log-probability of every word in every language: the sum over all segmentations."""
+    """Log-probability of every word in every language: the sum over all segmentations, of a word of any
+    length. Only the places that a piece can reach are held, and no probability leaves its range."""
     table, out = np.ascontiguousarray(_extended(p).T), np.zeros((len(words), len(p)))
     for chosen in _by_length(words):
         sizes, cells = lattice.grid([words[i] for i in chosen])
         steps, places, n = cells.shape
-        alpha = np.zeros((places + 1, n, len(p)))
+        # The sums at a place and at those after it, in turn.
+        alpha, scale = np.zeros((steps + 1, n, len(p))), np.zeros((n, len(p)))
         alpha[0] = 1
-        for i in range(places):
+        for i in range(places + 1):
+            ends = np.flatnonzero(sizes == i)
+            if len(ends):
+                out[chosen[ends]] = np.log(alpha[i % (steps + 1), ends]) + scale[ends]
+            if i == places:
+                break
+            here = alpha[i % (steps + 1)].copy()
+            alpha[i % (steps + 1)] = 0
             for k in range(min(steps, places - i)):
-                alpha[i + k + 1] += alpha[i] * table[cells[k, i]]
-        out[chosen] = np.log(alpha[sizes, np.arange(n)])
+                alpha[(i + k + 1) % (steps + 1)] += here * table[cells[k, i]]
+            if i % EVERY == EVERY - 1:
+                _raised(alpha, scale)
     return out
 
 
@@ -123,19 +148,33 @@ def expected_pieces(lattice: Lattice, p: np.ndarray, words: list[str], lang: np.
         steps, places, n = cells.shape
         own, every = lang[chosen], np.arange(n)
         alpha, beta = np.zeros((places + 1, n)), np.zeros((places + 1, n))
+        # Logarithms of what the sums at each place were divided by.
+        over_alpha, over_beta = np.zeros((places + 1, n)), np.zeros((places + 1, n))
         alpha[0], beta[sizes, every] = 1, 1
         prob = table[own[None, None, :], cells]
+        scale = np.zeros(n)
         for i in range(places):
+            over_alpha[i] = scale
             for k in range(min(steps, places - i)):
                 alpha[i + k + 1] += alpha[i] * prob[k, i]
+            if i % EVERY == EVERY - 1:
+                _raised(alpha[i + 1:i + 1 + steps], scale)
+        scale = np.zeros(n)
         for i in range(places - 1, -1, -1):
+            over_beta[i + 1] = scale
             for k in range(min(steps, places - i)):
-                beta[i] += beta[i + k + 1] * prob[k, i]
-        share = times[chosen] / beta[0]
+                beta[i] += beta[i + k + 1] * prob[k, i] * np.exp(over_beta[i + k + 1] - scale)
+            if i % EVERY == 0:
+                _raised(beta[i:i + 1], scale)
+        over_beta[0] = scale
+        total = np.log(beta[0]) + over_beta[0]
         for i in range(places):
             for k in range(min(steps, places - i)):
-                out += np.bincount(own * width + cells[k, i], alpha[i] * prob[k, i] * beta[i + k + 1] * share,
-                                   minlength=table.size)
+                with np.errstate(over="ignore"):
+                    moved = np.exp(over_alpha[i] + over_beta[i + k + 1] - total)
+                share = alpha[i] * prob[k, i] * beta[i + k + 1]
+                share = np.where(share > 0, share * moved, 0.0) * times[chosen]
+                out += np.bincount(own * width + cells[k, i], share, minlength=table.size)
     return out.reshape(table.shape)[:, :-2]
 
 

@@ -1,4 +1,6 @@
+import math
 import zlib
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -44,6 +46,40 @@ def test_expected_counts():
         assert abs(got[k] - slope) < 1e-3
 
 
+def log_probability(word, p):
+    """The same sum place by place with whole numbers as fractions, which know no range."""
+    text, sums = "▁" + word, [Fraction(1)] + [Fraction(0)] * (len(word) + 1)
+    for i in range(len(text)):
+        for k, x in enumerate(PIECES):
+            if text.startswith(x, i):
+                sums[i + len(x)] += sums[i] * Fraction(p[k])
+        if text[i] not in PIECES:
+            sums[i + 1] += sums[i] * Fraction(langid.UNKNOWN)
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+def test_words_of_any_length():
+    """Runs far beyond the range of doubles are one lattice: known and unknown letters, short words beside them."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet(np.ones(len(PIECES)), 2)
+    words = ["ab", "".join(rng.choice(list("ab"), 400)), "z" * 150, "".join(rng.choice(list("abz"), 300)), "a", "b" * 33]
+    lattice = langid.Lattice(PIECES)
+    for group in (64_000, 50):
+        langid.GROUP = group
+        got = langid.word_scores(lattice, p, words)
+        assert np.allclose(got, [[log_probability(w, row) for row in p] for w in words], rtol=1e-12)
+    langid.GROUP = 64_000
+    long = langid.word_scores(lattice, p, ["ab" * 100_000])
+    assert np.isfinite(long).all()
+    times = np.array([1.0, 2.0, 1.0, 3.0, 1.0, 1.0])
+    found = langid.expected_pieces(lattice, p[:1], words, np.zeros(6, int), times)[0]
+    for k in range(len(PIECES)):
+        up = p[0].copy()
+        up[k] *= 1 + 1e-4
+        slope = sum(t * (log_probability(w, up) - log_probability(w, p[0])) for w, t in zip(words, times)) / 1e-4
+        assert abs(found[k] - slope) < 0.05 + 1e-3 * abs(slope)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = {r.doc_id: r for r in langid.languages(docs, PATH).collect()}

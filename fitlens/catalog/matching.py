@@ -14,7 +14,7 @@ from fitlens.functions.vectors import cosine, embed_text
 from fitlens.operators.agreement import kendall_tau
 from fitlens.operators.evaluate import composite, good_fit, ranking_quality, weight_grid
 from fitlens.operators.match import OVERALL, explode_matches, match_profile
-from fitlens.operators.rows import each_item, small_side, stored
+from fitlens.operators.rows import each_item, small_side, stored, written
 from fitlens.operators.rank import global_rank, top_rows
 from fitlens.plans.embed import posting_sections
 from fitlens.plans.score import rank_postings, score_postings, with_unscored
@@ -201,12 +201,13 @@ def score_and_rank(spark, sf):
 
 
 def weighted_composite(spark, sf):
-    """Postings parsed, embedded and scored by the four declared weights."""
+    """Postings parsed, embedded and scored by the four declared weights. The parse and the vectors have
+    several readers, so each is computed once."""
     docs = postings(spark, sf).select(F.col("doc_id").alias("job_id"), F.col("body").alias("description_clean"))
-    clean = parse_description(docs, "description_clean").withColumn(
-        "extracted_skills", tags.keyword_hits("description_clean", lx.POSTING_SKILLS))
+    clean = written(parse_description(docs, "description_clean").withColumn(
+        "extracted_skills", tags.keyword_hits("description_clean", lx.POSTING_SKILLS)))
     texts = posting_sections(clean).filter(F.col("section").isin("full_description", "responsibilities"))
-    vectors = texts.select("job_id", "section", embed_text("text", dim=DIM).alias("embedding"))
+    vectors = written(texts.select("job_id", "section", embed_text("text", dim=DIM).alias("embedding")))
     none = F.lit(None).cast("string")
     raw = docs.select("job_id", *[none.alias(c) for c in ("company", "job_title", "location", "job_url")], none.cast("date").alias("date_posted"))
     scored = score_postings(raw, clean, vectors, _benchmark_profile(spark, sf), weights=lx.SCORE_WEIGHTS)

@@ -70,3 +70,9 @@ def test_plans(spark):
     assert "TakeOrderedAndProject" in plan_of(QUERIES["top_head"](spark, DATA))
     for name in QUERIES:
         assert "CartesianProduct" not in plan_of(QUERIES[name](spark, DATA)), name
+
+
+def test_weighted_composite_parses_and_embeds_once(spark):
+    """The parse and the vectors are read by several branches, which must not compute them again."""
+    plan = plan_of(QUERIES["weighted_composite"](spark, DATA))
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan

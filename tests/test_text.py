@@ -90,3 +90,27 @@ def test_named_entities_follow_the_standard_table(spark):
     ("&#99999999999999999999;", "�"), ("&#xffffffffffffffffff;", "�"), ("&#128;", "€"), ("&#x1F600;", "\U0001f600")])
 def test_numbers_of_any_length(one, ref, char):
     assert one(t.decode_entities, x=f"a{ref}b") == f"a{char}b"
+
+
+def test_default_embedder_holds_one_slice_of_a_batch(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from fitlens.functions import vectors
+
+    make = vectors.hashed_embedder
+
+    def strict(dim):
+        embed = make(dim)
+
+        def run(texts):
+            if len(texts) > 256:
+                raise ValueError("a whole batch at once")
+            return embed(texts)
+        return run
+    texts = [None, "", *(f"word{i % 7} and Ünder {i}" for i in range(898))]
+    monkeypatch.setattr(vectors, "hashed_embedder", strict)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = [r.v for r in df.select("id", vectors.embed_text("text", dim=8).alias("v")).orderBy("id").collect()]
+    assert np.array_equal(np.array(got, "float32"), np.stack(make(8)(pd.Series(texts))))
+    assert df.filter("id < 0").select(vectors.embed_text("text", dim=8)).collect() == []

@@ -24,7 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with Jaccard 0.8 or more over five-word shingles."""
+    """One document of each component of texts with Jaccard 0.8 or more over five-word shingles. Pairs come
+    from the vantage-point search of SimHash fingerprints, then from shared shingles; whole sets decide."""
     return similar.one_of_similar(docs)
 
 

@@ -3,8 +3,12 @@
 Two sets as similar as that share one of the first fifth of their shingles, in whatever order all
 sets are sorted. Shingles are ordered from rare to common, so few documents meet at one, and
 those are compared by size, place, SimHash and at last by their whole sets. Only pairs that
-pass the last test link. A radius of bits that covers 0.8 leaves vantage-point blocks of a few
-bits, whose look-ups would reach most shards; hence the search by shingles here."""
+pass the last test link.
+
+The vantage-point search of ``simhash`` comes first: sets whose fingerprints it joins are compared
+whole, and those that are similar link. A radius of bits that covers 0.8 leaves vantage-point blocks
+of a few bits, whose look-ups would reach most shards; so the shingles look for what is left, which is
+only pairs that the fingerprints have not joined yet."""
 
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fitlens.llm.common import written
 from fitlens.llm.graph import components
-from fitlens.llm.simhash import _LOWER, SEED, keep_rows
+from fitlens.llm.simhash import _LOWER, SEED, close_links, keep_rows
 
 WIDTH = 5
 #: Most differing bits of a candidate pair; at 0.8 they are 10 on average, with a deviation of 3.
@@ -134,21 +138,36 @@ def _similar(pairs: DataFrame, each: DataFrame, docs: DataFrame) -> DataFrame:
     return written(compared.filter(9 * common >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b"))
 
 
+def _near_in_bits(sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of set names to compare: the sets of one fingerprint with the first of them, and the
+    first sets of fingerprints that the vantage-point search joins."""
+    firsts = sets.groupBy("fp").agg(F.min(F.struct("sid", "size")).alias("f")).select("fp", "f.*")
+    same = firsts.alias("a").join(sets.alias("b"), (F.col("a.fp") == F.col("b.fp")) & (F.col("a.sid") != F.col("b.sid")))
+    links = written(close_links(firsts.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb")))
+    close = links.join(firsts.alias("a"), F.col("fa") == F.col("a.fp")).join(firsts.alias("b"), F.col("fb") == F.col("b.fp"))
+    sizes = 5 * F.least("a.size", "b.size") >= 4 * F.greatest("a.size", "b.size")
+    pair = F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")
+    return same.filter(sizes).select(*pair).unionByName(close.filter(sizes).select(*pair))
+
+
 def similar_links(each: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges ``a, b`` between set names (``sid``) whose components are those of all similar pairs."""
     sets = written(each.dropDuplicates(["sid"]).select("sid", "size", "fp", "prefix"))
+    near = _similar(_near_in_bits(sets.filter("size > 0").select("sid", "size", "fp")), each, docs)
+    joined = written(components(near)).select(F.col("node").alias("sid"), "root")
     index = sets.select("sid", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "sid", "at")
     met = index.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("first")).filter("n > 1")
     met = written(index.join(met, "shingle"))
-    met = written(met.join(sets.select("sid", "size", "fp"), "sid"))
+    met = met.join(sets.select("sid", "size", "fp"), "sid").join(joined, "sid", "left")
+    met = written(met.withColumn("near", F.coalesce("root", "sid")).drop("root"))
     few, crowds = met.filter(F.col("n") <= CROWD), met.filter(F.col("n") > CROWD)
     names = F.col("a.sid").alias("a"), F.col("b.sid").alias("b")
-    meet = F.col("a.shingle") == F.col("b.shingle")
+    meet = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.near") != F.col("b.near"))
 
     pairs = few.alias("a").join(few.alias("b"), meet & (F.col("a.sid") < F.col("b.sid")) & _may_be_similar()).select(*names)
     firsts = crowds.filter("sid = first")
     stars = firsts.alias("a").join(crowds.alias("b"), meet & (F.col("a.sid") != F.col("b.sid")) & _may_be_similar()).select(*names)
-    links = _similar(pairs.unionByName(stars), each, docs)
+    links = near.unionByName(_similar(pairs.unionByName(stars), each, docs))
     if crowds.isEmpty():
         return links
     joined = written(components(links)).select(F.col("node").alias("sid"), "root")

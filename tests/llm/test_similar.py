@@ -71,3 +71,26 @@ def test_null_ids_and_empty(docs_of, empty_docs):
     assert sorted((r.doc_id, r.text) for r in similar.one_of_similar(docs_of(rows)).collect()) == [
         (2, "A b c d e"), (7, ""), (9, "something else")]
     assert similar.one_of_similar(empty_docs).collect() == []
+
+
+def test_fingerprints_are_searched_by_vantage_points(docs_of, spark, monkeypatch):
+    """Near copies link by the vantage-point search, others by shingles only; both end as brute force says."""
+    asked, links = [], []
+    search, compare = similar.close_links, similar._similar
+
+    def spied(fps):
+        asked.append(fps.count())
+        return search(fps)
+
+    def compared(pairs, each, docs):
+        links.append(compare(pairs, each, docs))
+        return links[-1]
+    monkeypatch.setattr(similar, "close_links", spied)
+    monkeypatch.setattr(similar, "_similar", compared)
+    rng, rows = random.Random(5), []
+    for k in range(30):
+        base = [f"v{k}w{i}" for i in range(400)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, edited(rng, base, 1))]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect()) == brute(rows) == list(range(0, 60, 2))
+    assert len(asked) == 1 and asked[0] > 30
+    assert links[0].count() > 10 and links[0].count() + links[1].count() == 30

@@ -254,11 +254,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def keep_rows(docs: DataFrame, winners: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``winners`` (``first``: id and hash of id and text) name, each once."""
-    key = F.xxhash64("doc_id", "text")
-    winners = winners.select(F.col("first.doc_id").alias("_id"), F.col("first._key").alias("_key"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own"), key.alias("_hash"))
-    kept = rows.join(winners, (F.col("_hash") == F.col("_key")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["_own", "_hash"]).select("_row.*")
+    # One key of both, in which two null ids are equal: rows are dealt out once, for the join and for the copies.
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("hash"))
+    # The hash is never null; said so, both keys are of one type, and a cast would have rows dealt twice.
+    hashed = F.coalesce("first._key", F.lit(0).cast("long"))
+    winners = winners.select(F.struct(F.col("first.doc_id").alias("id"), hashed.alias("hash")).alias("_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_own"))
+    return rows.join(winners, F.col("_own") == F.col("_key"), "left_semi").dropDuplicates(["_own"]).select("_row.*")
 
 
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -33,6 +33,8 @@ SAMPLE, CELLS = 50_000, 22
 #: Documents that meet at one shingle, above which one of them is compared with the others first;
 #: then only pairs are left that this has not joined.
 CROWD = 64
+#: Cells, as a power of two, of the map of documents to be read again, which every task holds as bits.
+WANTED = 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,21 +119,36 @@ def _may_be_similar() -> Column:
             & ((F.least("a.size", "b.size") < SMALL) | (bits <= BITS)))
 
 
+def _marked(keys: DataFrame) -> np.ndarray:
+    """Bits of the cells that ``_key`` of the rows fall into, 64 in an entry: 2 MB, however many rows."""
+    marked = keys.selectExpr(f"shiftrightunsigned(_key, {64 - WANTED}) AS cell").selectExpr(
+        "shiftright(cell, 6) AS word", "shiftleft(1L, CAST(cell & 63 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (WANTED - 6), np.uint64)
+    out[marked.column("word").to_numpy()] = marked.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def _similar(pairs: DataFrame, each: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of set names whose sets have Jaccard 0.8 or more, compared whole."""
+    """The pairs ``a, b`` of set names whose sets have Jaccard 0.8 or more, compared whole.
+
+    The texts are not joined to the names, which would shuffle all of them: tasks read them where they lie and
+    pass on the sets of marked documents. Sets that nobody asked for share a cell by chance and find no pair."""
     pairs = written(pairs.distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     keys = each.join(asked, "sid", "left_semi").groupBy("sid").agg(F.min("_key").alias("_key"))
-    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("_key")).join(keys, "_key", "left_semi")
+    marked = docs.sparkSession.sparkContext.broadcast(_marked(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            cell = batch.column("_key").to_numpy().view(np.uint64) >> np.uint64(64 - WANTED)
+            wanted = marked.value[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)
+            for text in batch.column("text").take(pa.array(np.flatnonzero(wanted))).to_pylist():
                 own = shingles(text)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_id_of(own)], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], ["sid", "own"])
 
-    sets = written(rows.select("text").mapInArrow(run, "sid long, own array<long>").dropDuplicates(["sid"]))
+    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("_key"))
+    sets = written(rows.mapInArrow(run, "sid long, own array<long>").dropDuplicates(["sid"]))
     compared = pairs.join(sets.select(F.col("sid").alias("a"), F.col("own").alias("of_a")), "a").join(
         sets.select(F.col("sid").alias("b"), F.col("own").alias("of_b")), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))

@@ -1,9 +1,12 @@
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fitlens.llm import similar
+from fitlens.llm.simhash import keep_rows
 
 
 def shingle_set(text):
@@ -94,3 +97,36 @@ def test_fingerprints_are_searched_by_vantage_points(docs_of, spark, monkeypatch
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect()) == brute(rows) == list(range(0, 60, 2))
     assert len(asked) == 1 and asked[0] > 30
     assert links[0].count() > 10 and links[0].count() + links[1].count() == 30
+
+
+def exchanged(df):
+    """Columns that shuffles of the plan are dealt by."""
+    return re.findall(r"Exchange hashpartitioning\(([^,]*)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_texts_stay_where_they_lie(docs_of, spark, monkeypatch):
+    """Pairs are compared without a shuffle of all texts: only sets of marked documents leave their task."""
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, "x y z u v w"), (3, "x y z u v w"), (None, "p q r s t u"), (None, "p q r s t u")]
+    docs = docs_of(rows)
+    sent = []
+    monkeypatch.setattr(similar, "written", lambda df, write=similar.written: sent.append(df) or write(df))
+    each = similar.written(similar._described(docs))
+    sids = sorted({r.sid for r in each.collect()})
+    pairs = spark.createDataFrame([(a, b) for a in sids for b in sids if a < b], "a long, b long")
+    assert similar._similar(pairs, each, docs).collect() == []
+    (sets,) = [df for df in sent if df.columns == ["sid", "own"]]
+    assert exchanged(sets)
+    assert all("_key" not in by for by in exchanged(sets))
+    assert sorted(r.sid for r in sets.collect()) == sids
+
+    monkeypatch.setattr(similar, "written", lambda df: df)
+    kept = keep_rows(docs, each.groupBy("sid").agg(F.min(F.struct("doc_id", "_key")).alias("first")))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "p q r s t u"), (1, "a b c d e f"), (3, "x y z u v w")]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(" not in plan and "_own" in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = keep_rows(docs, each.groupBy("sid").agg(F.min(F.struct("doc_id", "_key")).alias("first")))
+        assert sum(by.startswith(("_own", "_hash")) for by in exchanged(kept)) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -43,7 +43,17 @@ CHECK_POSTINGS = f"p AS (SELECT doc_id, {POSTING} AS body FROM documents)"
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, body``: every document as a posting."""
     docs = load_wide(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
-    return docs.select("doc_id", F.expr(POSTING).alias("body"))
+    return with_body(docs).select("doc_id", F.expr(over_body(POSTING)).alias("body"))
+
+
+def with_body(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``_body``, the text with words of the lists: put in once, though postings may hold it twice."""
+    return docs.withColumn("_body", F.expr(BODY))
+
+
+def over_body(sql: str) -> str:
+    """The same SQL over ``with_body``."""
+    return sql.replace(BODY, "_body")
 
 
 def any_of(column: str, words) -> str:

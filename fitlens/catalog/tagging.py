@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fitlens import lexicon as lx
 from fitlens.catalog.parsing import QUAL_ITEMS, RESP_ITEMS, Q_TEST, R_TEST
 from fitlens.catalog.shared import (
-    POSTING, any_of, check_html, check_sections, check_whitespace, load, load_wide, text_values)
+    POSTING, any_of, check_html, check_sections, check_whitespace, load, load_wide, over_body, text_values, with_body)
 from fitlens.functions import tags
 from fitlens.operators.rows import each_item
 from fitlens.operators.gazetteer import tag_entities
@@ -119,9 +119,9 @@ HTML_POSTING = f"'<div class=\"x\">' || replace({POSTING}, ', ', ',&nbsp;<b>   <
 
 
 def posting_transform(spark, sf):
-    docs = load_wide(spark, sf, "documents", "doc_id", "text", "source", "lang")
+    docs = with_body(load_wide(spark, sf, "documents", "doc_id", "text", "source", "lang"))
     raw = docs.select(F.col("doc_id").alias("job_id"), F.col("source").alias("job_title"), F.col("lang").alias("company"),
-                      F.lit(None).cast("string").alias("location"), F.expr(HTML_POSTING).alias("job_description"),
+                      F.lit(None).cast("string").alias("location"), F.expr(over_body(HTML_POSTING)).alias("job_description"),
                       F.lit(None).cast("string").alias("job_url"), F.lit(None).cast("date").alias("date_posted"))
     clean = clean_postings(raw, LEX)
     return clean.select(

@@ -40,10 +40,8 @@ BASIC = Parser()
 ENHANCED = Parser("regex", "complement", WIDE_MARKERS, subsections=True, boilerplate=True, confidence=True)
 
 
-def section_tag(low: Column, lexicon: Lexicon = DEFAULT_LEXICON, mode: str = "phrase") -> Column:
-    """``q`` or ``r`` for a lower-cased line that opens a section, otherwise an empty string.
-
-    Qualifications are tried first. ``mode`` is ``phrase`` (substrings) or ``regex``."""
+def _opens(low: Column, lexicon: Lexicon, mode: str) -> tuple[Column, Column]:
+    """Whether a lower-cased line names qualifications, and whether it names responsibilities."""
     if mode == "phrase":
         phrases = (*lexicon.qualification_headers, *lexicon.responsibility_headers)
         is_q = contains_any(low, lexicon.qualification_headers)
@@ -55,10 +53,36 @@ def section_tag(low: Column, lexicon: Lexicon = DEFAULT_LEXICON, mode: str = "ph
         long_enough = False
     else:
         raise ValueError(f"unknown section mode {mode!r}")
-    tag = F.when(is_q, "q").when(is_r, "r").otherwise("")
     # A line shorter than three characters never opens a section; a phrase of three or
     # more already implies that.
-    return tag if long_enough else F.when(F.length(strip(low)) < 3, "").otherwise(tag)
+    if long_enough:
+        return is_q, is_r
+    enough = F.length(strip(low)) >= 3
+    return enough & is_q, enough & is_r
+
+
+def section_tag(low: Column, lexicon: Lexicon = DEFAULT_LEXICON, mode: str = "phrase") -> Column:
+    """``q`` or ``r`` for a lower-cased line that opens a section, otherwise an empty string.
+
+    Qualifications are tried first. ``mode`` is ``phrase`` (substrings) or ``regex``."""
+    is_q, is_r = _opens(low, lexicon, mode)
+    return F.when(is_q, "q").when(is_r, "r").otherwise("")
+
+
+def _first_tags(lines: Column, lexicon: Lexicon, mode: str) -> Column:
+    """``n, q, r``: the number of lower-cased lines, and the first line (from 1) of each tag or 0. What a
+    section is named by is not looked for below the line that opens it."""
+    def step(s: Column, line: Column) -> Column:
+        is_q, is_r = _opens(line, lexicon, mode)
+        tag = (F.when((s["q"] > 0) & (s["r"] > 0), "")
+               .when(s["q"] > 0, F.when(is_r, F.when(is_q, "").otherwise("r")).otherwise(""))
+               .when(s["r"] > 0, F.when(is_q, "q").otherwise(""))
+               .otherwise(section_tag(line, lexicon, mode)))
+        return let(tag, lambda t: F.struct(
+            (s["n"] + 1).alias("n"), F.when(t == "q", s["n"] + 1).otherwise(s["q"]).alias("q"),
+            F.when(t == "r", s["n"] + 1).otherwise(s["r"]).alias("r")))
+
+    return F.aggregate(lines, F.struct(*[F.lit(0).alias(c) for c in "nqr"]), step)
 
 
 def _head(lines: Column, n: Column) -> Column:
@@ -86,10 +110,8 @@ def with_sections(df: DataFrame, text: str, lexicon: Lexicon = DEFAULT_LEXICON,
     if summary_mode not in ("sequential", "complement"):
         raise ValueError(f"unknown summary mode {summary_mode!r}")
     df = df.withColumn("_lines", F.split(F.col(text), "\n", -1))
-    df = df.withColumn("_tags", F.transform(F.split(F.lower(F.col(text)), "\n", -1),
-                                            lambda line: section_tag(line, lexicon, mode)))
-    df = df.withColumn("_q", F.array_position("_tags", "q").cast("int"))
-    df = df.withColumn("_r", F.array_position("_tags", "r").cast("int"))
+    df = df.withColumn("_tags", _first_tags(F.split(F.lower(F.col(text)), "\n", -1), lexicon, mode))
+    df = df.withColumn("_q", F.col("_tags.q")).withColumn("_r", F.col("_tags.r"))
     lines, q, r = F.col("_lines"), F.col("_q"), F.col("_r")
     first = F.least(F.when(q > 0, q), F.when(r > 0, r))
     outside = F.when(first.isNull(), F.col(text)).otherwise(_head(lines, first - 1))
@@ -115,8 +137,9 @@ def bullets(text: Column | str, markers: str = MARKERS) -> Column:
     start = rf"^[{BLANK}]*+{markers}[{BLANK}]++(?=[^{SPACE}])"
     pieces = F.split(text, rf"(?md)(?={start})", -1)
     items = F.filter(pieces, lambda p: p.rlike(rf"(?d)\A{start[1:]}"))
-    return F.transform(items, lambda p: strip(
-        F.regexp_replace(F.regexp_replace(p, rf"(?d)\A{start[1:]}", ""), rf"[{BLANK}]*+\n[{SPACE}]*+", " ")))
+    # Most items are one line, which nothing has to be joined to.
+    return F.transform(F.transform(items, lambda p: strip(F.regexp_replace(p, rf"(?d)\A{start[1:]}", ""))), lambda p: F.when(
+        F.contains(p, F.lit("\n")), F.regexp_replace(p, rf"[{BLANK}]*+\n[{SPACE}]*+", " ")).otherwise(p))
 
 
 def _qualification_class(low: Column, lexicon: Lexicon) -> Column:
@@ -128,12 +151,19 @@ def _skill_type(low: Column, lexicon: Lexicon) -> Column:
 
 
 def _first_class(low: Column, table, default: str) -> Column:
-    """Name of the first class with a matching word, in table order."""
-    (name, words), *rest = table.items()
-    chain = F.when(contains_any(low, words), name)
-    for name, words in rest:
-        chain = chain.when(contains_any(low, words), name)
-    return chain.otherwise(default)
+    """Name of the first class with a matching word, in table order. The words of the class that is the default
+    too are looked for only where a later class matches, as they change nothing else."""
+    names = list(table)
+    at = names.index(default) if default in names[:-1] else len(names)
+    rest, later = F.lit(default), names[at + 1:]
+    if later:
+        chosen = F.when(contains_any(low, table[default]), default)
+        for name in later:
+            chosen = chosen.when(contains_any(low, table[name]), name)
+        rest = F.when(contains_any(low, [w for name in later for w in table[name]]), chosen).otherwise(default)
+    for name in reversed([n for n in names[:at] if n != default]):
+        rest = F.when(contains_any(low, table[name]), name).otherwise(rest)
+    return rest
 
 
 def qualification_class(text: Column | str, context: Column | str,

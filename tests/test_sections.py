@@ -1,6 +1,10 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from fitlens.catalog import all_queries
 from fitlens.functions import sections as s
 from fitlens.functions import tags
 from fitlens.lexicon import DEFAULT_LEXICON
@@ -167,3 +171,39 @@ def test_verbs_that_no_list_has(spark):
     df = spark.createDataFrame([("Leveraging tools, leveraged and Managing; walked nothing",), ("",), (None,)], "x string")
     found = [r[0] for r in df.select(tags.unseen_verbs(tags.tokens("x"), DEFAULT_LEXICON.verbs)).collect()]
     assert found == [["leverage", "walk"], [], None]
+
+
+@pytest.mark.parametrize("mode", ["phrase", "regex"])
+def test_first_tags_are_those_of_all_lines(spark, mode):
+    """Headings below the line that opens their section, and lines with both, change nothing."""
+    lines = ["you have", "you will", "duties and requirements", "plain", "", "qualifications", "the role", "key responsibilities"]
+    rng = random.Random(2)
+    texts = [[rng.choice(lines) for _ in range(rng.randint(1, 6))] for _ in range(60)] + [[], None]
+    df = spark.createDataFrame([(t,) for t in texts], "lines array<string>")
+    rows = df.select(F.transform("lines", lambda x: s.section_tag(x, mode=mode)).alias("tags"),
+                     s._first_tags(F.col("lines"), DEFAULT_LEXICON, mode).alias("first")).collect()
+    for r in rows:
+        if r.tags is None:
+            assert r["first"] is None
+        else:
+            assert r["first"].asDict() == {"n": len(r.tags), **{c: r.tags.index(c) + 1 if c in r.tags else 0 for c in "qr"}}
+
+
+@pytest.mark.parametrize("default", ["b", "a", "d", "none"])
+def test_default_class_is_looked_for_last(spark, default):
+    """Same class as trying all in order; without a word of a later class the default's words are not tried."""
+    table = {"a": ("aa", "ab"), "b": ("bb",), "c": ("cc", "bc"), "d": ("dd",)}
+    texts = [" ".join(t) for n in range(4) for t in itertools.permutations(["aa", "ab", "bb", "cc", "bc", "dd"], n)]
+    got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", s._first_class(F.col("t"), table, default).alias("c"))
+    for t, c in got.collect():
+        assert c == next((name for name, words in table.items() if any(w in (t or "") for w in words)), default)
+    if default == "b":
+        order = str(s._first_class(F.col("t"), table, default))
+        assert order.index("cc") < order.index("bb")
+
+
+def test_words_are_put_into_a_posting_once(spark):
+    """Postings hold the text twice; it is made once."""
+    for name in ("section_union", "posting_transform"):
+        plan = all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(", that , ") + plan.count(",  that ,  ") == 1

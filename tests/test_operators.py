@@ -136,6 +136,41 @@ def test_cells_against_brute_force(spark, per_section, monkeypatch):
     assert report["cells"] > 15 and 0 < report["compared"] < 0.5 * report["of"]
 
 
+def test_cells_of_sparse_vectors(spark, monkeypatch):
+    """Vectors that do not cluster, of counts of few and of many tokens: cells among the first axes leave out
+    much, and the rows are those of all comparisons, ties included. Units are cut, and postings dealt in parts."""
+    monkeypatch.setattr(cells, "JOBS_PER_GROUP", 40)
+    monkeypatch.setattr(cells, "PART_BYTES", 8 * 32 * 150)
+    monkeypatch.setattr(cells, "TILE_ROWS", 7)
+    rng = np.random.default_rng(11)
+
+    def counts(n, sizes):
+        return [np.bincount(rng.integers(0, 32, size), minlength=32).astype("float32").tolist() for size in rng.choice(sizes, n)]
+    base = counts(1500, [1, 2, 3, 4, 5, 6, 8, 120, 400])
+    profile = [(i, "overall_resume" if i == 7 else "s", v) for i, v in enumerate(base)]
+    jobs = list(enumerate(counts(40, [150, 300]) + counts(5, [2]) + [[1.0] + [0.0] * 31]))
+    jdf = spark.createDataFrame(jobs, "job_id long, embedding array<float>").repartition(3)
+    pdf = spark.createDataFrame(profile, "ordinal int, section string, embedding array<float>").repartition(4)
+    report = {}
+    rows = {r.job_id: r for r in match.match_profile(jdf, pdf, 3, max_profile_rows=64, report=report).collect()}
+    for r in match.match_profile(jdf, pdf, 3, max_profile_rows=5000).collect():
+        assert rows[r.job_id] == r
+    assert 0 < report["compared"] < 0.7 * report["of"]
+
+
+def test_candidates_hold_the_best():
+    """What single precision leaves out is not among the best, ties and many equal values included."""
+    rng = np.random.default_rng(2)
+    values = np.round(rng.random((50, 400)), 2)
+    off = (values + rng.uniform(-1e-5, 1e-5, values.shape)).astype("float32")
+    least = np.where(np.arange(50) % 2, 0.98, 0.0)
+    job, row = cells._candidates(off, least, 3, 1.1e-5)
+    got = set(zip(job.tolist(), row.tolist()))
+    third = np.sort(values, axis=1)[:, -3]
+    assert {(i, j) for i, j in zip(*np.nonzero((values >= third[:, None]) & (values >= least[:, None])))} <= got
+    assert len(got) < values.size / 10
+
+
 def test_cells_hold_texts_once(spark):
     """Texts are joined to the best rows and never sent to the cells."""
     rng = np.random.default_rng(5)

@@ -2,8 +2,8 @@
 
 Two sets as similar as that share one of the first fifth of their shingles, in whatever order all
 sets are sorted. Shingles are ordered from rare to common, so few documents meet at one, and
-those are compared by size, place, SimHash and at last by their whole sets. Only pairs that
-pass the last test link.
+those are compared by size, place, parities and at last by their whole sets. Only pairs that
+pass the last test link, and no test before it leaves out a similar pair.
 
 The vantage-point search of ``simhash`` comes first: sets whose fingerprints it joins are compared
 whole, and those that are similar link. A radius of bits that covers 0.8 leaves vantage-point blocks
@@ -24,12 +24,11 @@ from fitlens.llm.graph import components
 from fitlens.llm.simhash import _LOWER, SEED, close_links, keep_rows
 
 WIDTH = 5
-#: Most differing bits of a candidate pair; at 0.8 they are 10 on average, with a deviation of 3.
-#: Sets of fewer than ``SMALL`` shingles are compared whole without that test.
-BITS, SMALL = 24, 64
-#: Documents whose shingles tell rare from common ones, and cells that they are counted in. The
-#: order decides how many pairs are compared, never which are found.
-SAMPLE, CELLS = 50_000, 22
+#: Longs of the parities of a set: bit k says if an odd number of its shingles falls into cell k.
+PARITIES = 16
+#: Documents whose shingles tell rare from common ones, cells that they are counted in, as a power of
+#: two, and those of one block. The order decides how many pairs are compared, never which are found.
+SAMPLE, CELLS, BLOCK = 50_000, 22, 12
 #: Documents that meet at one shingle, above which one of them is compared with the others first;
 #: then only pairs are left that this has not joined.
 CROWD = 64
@@ -56,6 +55,13 @@ def simhash_of(shingle_set: np.ndarray) -> np.uint64:
     return np.packbits(2 * ones > len(shingle_set), bitorder="little").view("<u8")[0]
 
 
+def parities_of(shingle_set: np.ndarray) -> np.ndarray:
+    """A shingle that only one of two sets holds changes one parity, so sets differ in at least as many
+    shingles as parities."""
+    cell = (shingle_set & np.uint64(64 * PARITIES - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=64 * PARITIES) & 1, bitorder="little").view("<i8")
+
+
 def _id_of(shingle_set: np.ndarray) -> int:
     from xxhash import xxh3_64_intdigest
 
@@ -63,36 +69,49 @@ def _id_of(shingle_set: np.ndarray) -> int:
 
 
 def _common(docs: DataFrame) -> np.ndarray:
-    """How often the sample has the shingles of each cell."""
+    """How often the sample has the shingles of each cell, in steps of an eighth of a doubling; 0: once at most.
+
+    Tasks put the steps of a block of cells into one row, so the driver gets a byte a cell."""
     n = docs.count()
     share = int(min(1.0, SAMPLE / max(1, n)) * (1 << 30))
+    cells, width = 1 << CELLS, 1 << min(BLOCK, CELLS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELLS, np.int64)
+        total = np.zeros(cells, np.int32)
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 np.add.at(total, (shingles(text) >> np.uint64(64 - CELLS)).astype(np.int64), 1)
-        cell = np.flatnonzero(total)
-        for i in range(0, len(cell), 100_000):
-            some = cell[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+        for block, own in enumerate(total.reshape(-1, width)):
+            if len(cell := np.flatnonzero(own)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), pa.array([cell.astype(np.int32)], pa.list_(pa.int32())),
+                     pa.array([own[cell]], pa.list_(pa.int32()))], ["block", "cells", "n"])
+
+    def steps(rows: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.int64)
+        for cell, n in zip(rows.column("cells").chunks, rows.column("n").chunks):
+            np.add.at(total, cell.flatten().to_numpy(), n.flatten().to_numpy())
+        step = np.rint(8 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pa.table({"block": rows.column("block")[:1], "steps": pa.array([step.tobytes()], pa.binary())})
 
     sample = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(share))
-    counted = sample.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
-    out = np.zeros(1 << CELLS, np.int32)
-    out[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
-    return out
+    counted = sample.select("text").mapInArrow(count, "block long, cells array<int>, n array<int>").groupBy("block").applyInArrow(
+        steps, "block long, steps binary").toArrow()
+    out = np.zeros((cells // width, width), np.uint8)
+    for block, step in zip(counted.column("block").to_pylist(), counted.column("steps")):
+        out[block] = np.frombuffer(step.as_buffer(), np.uint8)
+    return out.ravel()
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """``doc_id, _key, sid, size, fp, prefix`` of every row: ``sid`` names the set of its shingles,
-    ``prefix`` has the rarest of these, among which a similar set must have one too."""
+    """``doc_id, _key, sid, size, fp, odd, prefix`` of every row: ``sid`` names the set of its shingles, ``odd``
+    has its parities, ``prefix`` the rarest shingles, among which a similar set must have one too."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, sizes, fps, prefixes = [], [], [], []
+            sids, sizes, fps, odds, prefixes = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text)
                 n = len(own)
@@ -100,23 +119,24 @@ def _described(docs: DataFrame) -> DataFrame:
                 sids.append(_id_of(own))
                 sizes.append(n)
                 fps.append(simhash_of(own) if n else np.uint64(0))
+                odds.append(parities_of(own))
                 prefixes.append(own[order[:n - -(-4 * n // 5) + 1]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("_key"), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "_key", "sid", "size", "fp", "prefix"])
+                 pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(odds, pa.list_(pa.int64())),
+                 pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "_key", "sid", "size", "fp", "odd", "prefix"])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))
-    return keyed.mapInArrow(run, f"doc_id {kind}, _key long, sid long, size long, fp long, prefix array<long>")
+    return keyed.mapInArrow(run, f"doc_id {kind}, _key long, sid long, size long, fp long, odd array<long>, prefix array<long>")
 
 
 def _may_be_similar() -> Column:
     """For rows a and b that meet at a shingle: all similar pairs pass at their first common one."""
     both = F.col("a.size") + F.col("b.size")
     left = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
-    bits = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
-    return ((5 * F.least("a.size", "b.size") >= 4 * F.greatest("a.size", "b.size")) & (9 * left >= 4 * both)
-            & ((F.least("a.size", "b.size") < SMALL) | (bits <= BITS)))
+    differ = sum((F.bit_count(F.col("a.odd")[k].bitwiseXOR(F.col("b.odd")[k])) for k in range(PARITIES)), F.lit(0))
+    return (5 * F.least("a.size", "b.size") >= 4 * F.greatest("a.size", "b.size")) & (9 * left >= 4 * both) & (9 * differ <= both)
 
 
 def _marked(keys: DataFrame) -> np.ndarray:
@@ -169,13 +189,13 @@ def _near_in_bits(sets: DataFrame) -> DataFrame:
 
 def similar_links(each: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges ``a, b`` between set names (``sid``) whose components are those of all similar pairs."""
-    sets = written(each.dropDuplicates(["sid"]).select("sid", "size", "fp", "prefix"))
+    sets = written(each.dropDuplicates(["sid"]).select("sid", "size", "fp", "odd", "prefix"))
     near = _similar(_near_in_bits(sets.filter("size > 0").select("sid", "size", "fp")), each, docs)
     joined = written(components(near)).select(F.col("node").alias("sid"), "root")
     index = sets.select("sid", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "sid", "at")
     met = index.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("first")).filter("n > 1")
     met = written(index.join(met, "shingle"))
-    met = met.join(sets.select("sid", "size", "fp"), "sid").join(joined, "sid", "left")
+    met = met.join(sets.select("sid", "size", "odd"), "sid").join(joined, "sid", "left")
     met = written(met.withColumn("near", F.coalesce("root", "sid")).drop("root"))
     few, crowds = met.filter(F.col("n") <= CROWD), met.filter(F.col("n") > CROWD)
     names = F.col("a.sid").alias("a"), F.col("b.sid").alias("b")

@@ -99,6 +99,65 @@ def test_fingerprints_are_searched_by_vantage_points(docs_of, spark, monkeypatch
     assert links[0].count() > 10 and links[0].count() + links[1].count() == 30
 
 
+def asked_pairs(monkeypatch):
+    """Numbers of different pairs that are compared whole, in a list that fills as they are."""
+    asked, compare = [], similar._similar
+    monkeypatch.setattr(similar, "_similar", lambda pairs, each, docs: asked.append(pairs.distinct().count()) or compare(pairs, each, docs))
+    return asked
+
+
+def test_crowd_that_is_not_similar_is_not_compared_whole(docs_of, spark, monkeypatch):
+    """Texts with three quarters in common share frequent shingles and are close in bits; few of their pairs are compared."""
+    monkeypatch.setattr(similar, "CROWD", 8)
+    rng, base = random.Random(17), [f"h{i}" for i in range(260)]
+    rows = [(k, edited(rng, base, rng.randrange(4, 6))) for k in range(120)]
+    rows += [(200 + k, text + " tail") for k, text in rows[:9]]
+    asked = asked_pairs(monkeypatch)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect()) == brute(rows)
+    sets = [shingle_set(t) for _, t in rows]
+    similar_pairs = sum(5 * len(a & b) >= 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert sum(asked) <= 2 * similar_pairs + 100
+
+
+def test_fingerprints_decide_nothing(docs_of, spark, monkeypatch):
+    """Similar texts link however far apart their fingerprints are."""
+    described = similar._described
+    monkeypatch.setattr(similar, "_described", lambda docs: described(docs).withColumn("fp", F.xxhash64("sid")))
+    rng, rows = random.Random(23), []
+    for k in range(30):
+        base = [f"f{k}w{i}" for i in range(200)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, edited(rng, base, 2))]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect()) == brute(rows) == list(range(0, 60, 2))
+
+
+def test_parities_differ_in_no_more_than_the_sets():
+    rng = random.Random(29)
+    for n in (0, 1, 40, 900, 5000):
+        words = [f"p{rng.randrange(3000)}" for _ in range(n)]
+        a, b = similar.shingles(" ".join(words)), similar.shingles(edited(rng, words, n // 90) if n else "")
+        bits = sum(int(x).bit_count() for x in (similar.parities_of(a) ^ similar.parities_of(b)).view("u8"))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert len(similar.parities_of(a)) == similar.PARITIES
+
+
+def test_driver_gets_a_byte_a_cell(docs_of, monkeypatch):
+    """Steps of the counts follow the counts themselves, and a cell costs the driver one byte."""
+    monkeypatch.setattr(similar, "CELLS", 14)
+    got, frame = [], type(docs_of(["a"]))
+    monkeypatch.setattr(frame, "toArrow", lambda self, read=frame.toArrow: got.append(read(self)) or got[-1])
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(2000)) for _ in range(40)]
+    steps = similar._common(docs_of([*texts, None, ""]))
+    counts = [0] * (1 << similar.CELLS)
+    for text in texts:
+        for x in similar.shingles(text).tolist():
+            counts[x >> 64 - similar.CELLS] += 1
+    assert [*steps.nonzero()[0]] == [k for k, n in enumerate(counts) if n > 1]
+    order = sorted((n, int(steps[k])) for k, n in enumerate(counts) if n)
+    assert [step for _, step in order] == sorted(step for _, step in order) and len({*order}) > 5
+    assert sum(x.nbytes for x in got) <= 1.1 * len(steps)
+
+
 def exchanged(df):
     """Columns that shuffles of the plan are dealt by."""
     return re.findall(r"Exchange hashpartitioning\(([^,]*)", df._jdf.queryExecution().executedPlan().toString())

@@ -1,5 +1,10 @@
+import os
+import re
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -7,7 +12,7 @@ from pyspark.sql import functions as F
 from fitlens.functions import tags
 from fitlens.functions import vectors as v
 from fitlens.lexicon import SCORE_WEIGHTS, validate_weights
-from fitlens.operators import cells, dedup, evaluate, gazetteer, match, quality, rank, tagging
+from fitlens.operators import cells, dedup, evaluate, gazetteer, match, quality, rank, rows, tagging
 
 DATA = "/root/testdata/sf0.01"
 
@@ -158,6 +163,55 @@ def test_cells_of_sparse_vectors(spark, monkeypatch):
     assert 0 < report["compared"] < 0.7 * report["of"]
 
 
+def test_cells_hold_vectors_once(spark, monkeypatch):
+    """However many blocks the postings come in, rows and postings are not shuffled for their comparison."""
+    monkeypatch.setattr(cells, "JOBS_PER_GROUP", 40)
+    monkeypatch.setattr(cells, "PART_BYTES", 8 * 16 * 300)
+    plans = []
+
+    def kept(df, *args, keep):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, *args)
+    for name in ("stored", "appended"):
+        if hasattr(cells, name):
+            monkeypatch.setattr(cells, name, partial(kept, keep=getattr(cells, name)))
+    rng = np.random.default_rng(9)
+    base = clustered(rng, 900)
+    jobs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(np.random.default_rng(9), 1060)[900:])], "job_id long, embedding array<float>")
+    pdf = spark.createDataFrame([(i, "s", v.tolist()) for i, v in enumerate(base)], "ordinal int, section string, embedding array<float>")
+    rows = {r.job_id: r for r in match.match_profile(jobs, pdf, 3, max_profile_rows=64).collect()}
+    assert all(rows[r.job_id] == r for r in match.match_profile(jobs, pdf, 3, max_profile_rows=5000).collect())
+    compared = [re.search(r"(MapInArrow|CoGroupsInArrow)[^\n]*similarity.*", p, re.S) for p in plans]
+    compared = [m.group() for m in compared if m]
+    assert len(compared) > 2 * 160 / 40 - 1
+    assert not any("Exchange" in p for p in compared)
+
+
+def test_equal_vectors_of_a_batch():
+    """Of equal vectors of a group the first stay, as many as are wanted, by ordinal."""
+    v = [[1.0, 2.0], [1.0, 2.0], [1.0, 2.0], [3.0, 0.0], [1.0, 2.0], [1.0, 2.0]]
+    batch = pa.RecordBatch.from_pydict({"_hash": pa.array([5, 5, 5, 5, 5, 5]), "ordinal": pa.array([4, 1, 2, 0, 3, 9]),
+                                        "_row": pa.array([0, 1, 2, 3, 4, 5]), "embedding": pa.array(v, pa.list_(pa.float32()))})
+    # All hashes are the same, as if those of different vectors met: no row of another vector may go.
+    group = np.array([0, 0, 0, 0, 0, 1])
+    kept = cells._firsts(batch, group, np.array([2, 1]))
+    assert {1, 2, 3, 5} <= set(kept.tolist())
+    apart = batch.set_column(0, "_hash", pa.array([5, 5, 5, 6, 5, 5]))
+    assert cells._firsts(apart, group, np.array([2, 1])).tolist() == [1, 2, 3, 5]
+
+
+def test_rank_of_written_rows(spark):
+    """Ranks do not depend on how sorted rows are kept, and their folder goes when asked to."""
+    df = spark.range(500).select(F.col("id"), (F.col("id") * 37 % 101).alias("score")).repartition(7)
+    folders = []
+    got = rank.global_rank(df, [F.desc("score"), "id"], keep=partial(rows.written, folders=folders))
+    assert sorted(got.collect()) == sorted(rank.global_rank(df, [F.desc("score"), "id"]).collect())
+    folder = folders[0].removeprefix("file:")
+    assert os.path.isdir(folder)
+    rows.dropped(spark, folders)
+    assert not os.path.exists(folder) and folders == []
+
+
 def test_candidates_hold_the_best():
     """What single precision leaves out is not among the best, ties and many equal values included."""
     rng = np.random.default_rng(2)
